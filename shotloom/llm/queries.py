@@ -17,8 +17,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.media_columns import summary
+
+    return summary(read(spark, sf_dir, "documents"))
+
+
+def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.quality_rules import apply_policy, ledger, measure
+
+    decided = apply_policy(ledger(measure(read(spark, sf_dir, "documents"))), "v2")
+    return decided.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+
+
+def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.quality_mil import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_media_audio": op6_media_audio,
+    "op7_rule_ledger": op7_rule_ledger,
+    "op10_attention_mil": op10_attention_mil,
 }
 
 ORACLES: dict[str, str] = {}
