@@ -17,6 +17,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.ngram_join import link
+
+    return link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotloom.llm.media_columns import summary
 
@@ -38,6 +44,7 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_ngram_join": op5_ngram_join,
     "op6_media_audio": op6_media_audio,
     "op7_rule_ledger": op7_rule_ledger,
     "op10_attention_mil": op10_attention_mil,
