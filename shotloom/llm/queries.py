@@ -36,6 +36,12 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.substring_dedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotloom.llm.quality_mil import classify
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_media_audio": op6_media_audio,
     "op7_rule_ledger": op7_rule_ledger,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_attention_mil": op10_attention_mil,
 }
 
