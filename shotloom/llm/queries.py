@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from shotloom.llm._words import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.secret_scan import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +61,8 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_media_audio": op6_media_audio,
