@@ -221,3 +221,14 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     least = classes.select("h1", "h2", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = base.drop("signs").join(least, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
+
+
+def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """One document of each linked group, that with the least id, with all its columns; one row of those that share its id.
+
+    Documents without words stay, and so do rows without an id.
+    """
+    found = link(documents, text=text, id=id, **options)
+    keep = found.where("doc_id is not null and (n_shingles = 0 or doc_id = component_id)").select(F.col("doc_id").alias(id)).distinct()
+    named = documents.where(F.col(id).isNotNull()).join(keep, id, "left_semi").dropDuplicates([id]).select(documents.columns)
+    return named.unionByName(documents.where(F.col(id).isNull()))

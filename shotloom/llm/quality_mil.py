@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm._words import Words, map_texts, only
+from shotloom.llm._words import Words, chunks, map_texts, only
 
 PASSAGE = 64
 FOLDS = 5
@@ -159,3 +159,16 @@ def score(documents: DataFrame, model: AttentionMIL, text: str = "text", id: str
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return score(documents, train(documents, labels))
+
+
+def accept(documents: DataFrame, model: AttentionMIL, text: str = "text") -> DataFrame:
+    """The rows, all columns, whose score reaches the threshold."""
+    at = documents.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, at, 1 << 20):
+                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array(model.score(*passages(texts)) >= THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -24,15 +24,14 @@ not removed from. An empty table gives an empty one; further columns are ignored
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from shotloom.llm._words import U64, Words, as_long, digest, map_texts, only, settle, shared_folder, windows
+from shotloom.llm._words import U64, Words, as_long, chunks, digest, map_texts, only, settle, shared_folder, windows
 
 
 def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
@@ -147,34 +146,71 @@ def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "do
     return base, settle(hits, folder, "hits")
 
 
-def dedup(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with_text adds kept_text (kept words joined by one space), for which texts are joined once more."""
+def _later(base: DataFrame, size: int) -> DataFrame:
+    """(k1, k2, head): the least id of each class of equal word sequences that are long enough."""
+    return base.where(f"n_words >= {size} and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
+
+
+def dedup(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     folder = shared_folder(documents.sparkSession)
     base, hits = find(documents, size, text, id, folder)
-    rows = base.drop("halves")
-    heads = rows.where(f"n_words >= {size} and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
-    rows = rows.join(heads, ["k1", "k2"], "left")
+    rows = base.drop("halves").join(_later(base, size), ["k1", "k2"], "left")
     later = (F.col("n_words") >= size) & F.col("doc_id").isNotNull() & (F.col("head") < F.col("doc_id"))
 
     def cut(part: pa.RecordBatch, packed: list[bytes]) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
-        gone, kept = [], []
-        for starts, x in zip(part.column(4), packed, strict=True):
-            words = unpack(x).split()
-            flags = covered(len(words), starts.values.to_numpy(), size)
-            gone.append(int(flags.sum()))
-            kept.append(b" ".join(w for w, f in zip(words, flags.tolist(), strict=True) if not f))
-        out = {"doc_id": part.column(0), "k1": part.column(1), "k2": part.column(2), "gone": gone, "sha": [hashlib.sha256(x).hexdigest() for x in kept]}
-        return out | ({"kept_text": [x.decode() for x in kept]} if with_text else {})
+        kept = [keep(unpack(x), starts.values.to_numpy(), size) for starts, x in zip(part.column(4), packed, strict=True)]
+        return {"doc_id": part.column(0), "k1": part.column(1), "k2": part.column(2), "gone": [n for n, _ in kept], "sha": [hashlib.sha256(x).hexdigest() for _, x in kept]}
 
     texts = pack(documents, text, id).join(hits, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "packed", "starts")
-    removed = map_texts(texts, cut, "doc_id long, k1 long, k2 long, gone long, sha string" + ", kept_text string" * with_text, "packed")
-    out = rows.join(removed, ["doc_id", "k1", "k2"], "left")
+    out = rows.join(map_texts(texts, cut, "doc_id long, k1 long, k2 long, gone long, sha string", "packed"), ["doc_id", "k1", "k2"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    columns = {
-        "n_removed": F.when(later, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))),
-        "kept_sha256": F.when(later, F.lit(nothing)).otherwise(F.coalesce("sha", "whole")),
-    }
-    if with_text:
-        columns["kept_text"] = F.when(later, F.lit("")).otherwise(F.col("kept_text"))
-    return out.select("doc_id", "n_words", *(c.alias(k) for k, c in columns.items()), "k1", "k2")
+    removed = F.when(later, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0)))
+    kept = F.when(later, F.lit(nothing)).otherwise(F.coalesce("sha", "whole"))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
+
+
+def keep(text: bytes, starts: np.ndarray, size: int) -> tuple[int, bytes]:
+    """How many words are covered by the windows, and the others joined by one space."""
+    words = text.split()
+    flags = covered(len(words), starts, size)
+    return int(flags.sum()), b" ".join(w for w, f in zip(words, flags.tolist(), strict=True) if not f)
+
+
+def without_repeats(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows, all columns: a text that loses words becomes its kept words joined by one space, the others stay as they are."""
+    folder = shared_folder(documents.sparkSession)
+    base, hits = find(documents, size, text, id, folder)
+    columns = documents.columns
+    later = base.join(_later(base, size), ["k1", "k2"]).where(f"n_words >= {size} and head < doc_id").select("doc_id", "k1", "k2").distinct()
+    marks = hits.select("doc_id", "k1", "k2", "starts").unionByName(later.withColumn("starts", F.lit(None).cast("array<int>")))
+    at = columns.index(text)
+    fields = documents.schema
+
+    def digests(batches):
+        for batch in batches:
+            for part in chunks(batch, at, 1 << 20):
+                w = Words([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()])
+                spans = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                arrays = [*part.columns, pa.array([digest(h, 3) for h in spans], pa.int64()), pa.array([digest(h, 5) for h in spans], pa.int64()), pa.array([len(h) for h in spans], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "k1_", "k2_", "n_words_"])
+
+    def cut(batches):
+        for batch in batches:
+            for part in chunks(batch, at, 1 << 20):
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                for k, (hit, starts) in enumerate(zip(part.column("hit_").to_pylist(), part.column("starts_"), strict=True)):
+                    if hit:
+                        texts[k] = keep(texts[k], starts.values.to_numpy(), size)[1] if starts.is_valid else b""
+                out = [pa.array(texts, pa.binary()).cast(part.column(at).type) if k == at else part.column(k) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    marked = documents.mapInArrow(digests, _with(fields, ("k1_", "k2_", "n_words_")))
+    marks = marks.select(F.col("doc_id").alias(id), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.lit(True).alias("hit_"), F.col("starts").alias("starts_"))
+    joined = marked.join(marks, [id, "k1_", "k2_"], "left").select(*columns, "hit_", "starts_")
+    return joined.mapInArrow(cut, fields)
+
+
+def _with(fields: StructType, names: tuple[str, ...]) -> StructType:
+    return StructType([*fields.fields, *(StructField(n, LongType()) for n in names)])
