@@ -15,6 +15,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read(spark, sf_dir, "documents"))
 
 
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.html_wrapper import main_text
+
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotloom.llm.packing import pack
 
@@ -48,6 +54,12 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.license_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotloom.llm.substring_dedup import dedup
 
@@ -62,11 +74,13 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_html_wrapper": op2_html_wrapper,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_media_audio": op6_media_audio,
     "op7_rule_ledger": op7_rule_ledger,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_attention_mil": op10_attention_mil,
 }
