@@ -11,10 +11,11 @@ elements there. Linked sets share at least one signature.
 Steps, each bounded in memory and written to the shared folder:
 1. one pass over the texts gives set digests and signatures; equal sets become one class, aggregated before the shuffle;
 2. classes that share a signature are linked to the least of them as candidates. A fixed array of 65,536 counts finds buckets that a
-   frequent signature dominates, and only those are salted: members go to several centres, and these to one;
-3. candidates are compared exactly, best centre first; components are formed; then the remaining candidates across components, and
-   last the pairs across components that share a signature without either being its centre. Each round leaves out what is already
-   joined, so a large group of close copies is compared about once a member, never in all pairs.
+   frequent signature dominates, and only those are salted: minima over salts come first, then the signature's;
+3. candidates are compared exactly, best centre first; components are formed; then the remaining candidates across components;
+4. last, pairs across components that share a signature without either being its centre: directly where the signature has a few sets,
+   else by the rarest elements in which sets differ from their centre (see ``_prefixes``), which is exact too. Each round leaves out what
+   is already joined, so a large group of close copies is compared about once a member, never in all pairs.
 
 Defined results: case is folded for A-Z only. A null or empty text, or one without words, has 0 shingles and links with nothing: its
 component is its own doc_id. Repeated rows are equal sets. Each row gets the component of its text; texts whose least ids
@@ -126,18 +127,30 @@ def sets(documents: DataFrame, width: int = 3, enum: PartEnum | None = None, tex
 
 
 def _salted(rows: DataFrame, salts: int, floor: int) -> DataFrame:
-    """Adds ``salt``: 0, but spread over ``salts`` values where the signature's bucket holds far more rows than the others."""
+    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others."""
     counts = rows.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
     mean = counts.agg(F.sum("count")).first()[0] or 0
     hot = [r["bucket"] for r in counts.where(F.col("count") > max(floor, 8 * mean // BUCKETS)).collect()]  # at most BUCKETS numbers
     if not hot:
-        return rows.withColumn("salt", F.lit(0))
+        return rows.withColumn("salt", F.lit(-1))
     spread = F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")
-    return rows.withColumn("salt", F.when(F.pmod("sign", F.lit(BUCKETS)).isin(hot), spread).otherwise(F.lit(0)))
+    return rows.withColumns({"salt": F.when(F.pmod("sign", F.lit(BUCKETS)).isin(hot), spread).otherwise(F.lit(-1)), "hot": F.lit(True)})
 
 
-def _centred(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.withColumn("centre", F.min("rep").over(Window.partitionBy("sign", *keys)))
+def _centred(rows: DataFrame, salts: int, floor: int) -> DataFrame:
+    """Rows of the signatures that two sets or more have, with ``centre``: the least of their sets, and ``size``: how many they are.
+
+    Signatures in a bucket that a frequent one dominates take another way: minima over salts, then over the signature, and a join whose large
+    side the engine may split.
+    """
+    salted = _salted(rows, salts, floor)
+    same = Window.partitionBy("sign")
+    cold = salted.where("salt < 0").drop("salt").withColumns({"centre": F.min("rep").over(same), "size": F.count("*").over(same)}).where("size > 1")
+    if "hot" not in salted.columns:
+        return cold
+    hot = salted.where("salt >= 0")
+    least = hot.groupBy("sign", "salt").agg(F.min("rep").alias("m"), F.count("*").alias("k")).groupBy("sign").agg(F.min("m").alias("centre"), F.sum("k").alias("size")).where("size > 1")
+    return cold.drop("hot").unionByName(hot.drop("hot", "salt").join(least, "sign"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,6 +179,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(work, "a long, b long")
 
 
+def _pairs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs (a, b) of rows that agree in the keys, are in different components and of sizes that can link."""
+    a, b = (rows.select(*keys, *(F.col(c).alias(f"{x}{c}") for c in ("rep", "n", "component"))) for x in "ab")
+    close = (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+    return a.join(b, keys).where(close).select(F.col("arep").alias("a"), F.col("brep").alias("b"))
+
+
+def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """Rows (centre, element, rep, n, component) such that linked sets of one centre and of different components share an element.
+
+    Let d(x) be the elements in which x differs from the centre. Sets x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements, at most
+    k if they link, so d(x) and d(y) share t = (|d(x)| + |d(y)| - k) / 2 or more. As their sizes differ by k at most, t >= |d(x)| - k; and
+    t >= 9 |d(x)| / 19 where x links with the centre, since then y doesn't. Under any order of the elements the first |d(x)| - t + 1 of both
+    have one in common; rare elements come first. Close copies that all differ among themselves thus meet only where they share a
+    change, and no pairs of a group are formed for what its centre alone has.
+    """
+    stars = owned.where("centre < rep").select("centre", "rep", "n", "component").distinct()
+    left = texts.select(F.col("rep").alias("centre"), F.col("packed").alias("left"))
+    both = stars.join(texts, "rep").join(left, "centre").select("centre", "rep", "n", "component", "left", "packed")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        last, own = None, None
+        for batch in batches:
+            lists, first = [], []
+            for c, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                if c != last:
+                    w = Words([unpack(x.as_py())], lower=True)
+                    last, own = c, shingle_set(w.hash, width)
+                w = Words([unpack(y.as_py())], lower=True)
+                other = shingle_set(w.hash, width)
+                d = np.setxor1d(own, other, assume_unique=True)
+                k = (len(other) + len(other) * 100 // percent) * (100 - percent) // (100 + percent)
+                close = len(d) * (100 + percent) <= (len(own) + len(other)) * (100 - percent)
+                shared = max(1, -(-len(d) * percent // (2 * 100)) if close else len(d) - k)
+                lists.append(as_long(d))
+                first.append(len(d) - min(shared, len(d)) + 1 if len(d) else 0)
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "elements"])
+
+    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>"), folder, "apart")
+    each = apart.select("centre", "rep", F.explode("elements").alias("element"))
+    common = each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1")
+    shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("have", "element"))).alias("shared"))  # at most a set
+    # elements that no other set has come first in the order; they take up places but need no row
+    left_over = F.col("first") - (F.size("elements") - F.size("shared"))
+    kept = apart.join(shared, ["centre", "rep"]).withColumn("take", left_over).where("take > 0")
+    return kept.select("centre", "rep", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e")).select("centre", F.col("e.element").alias("element"), "rep", "n", "component")
+
+
 def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The pairs whose ends are not yet in one component."""
     if parts is None:
@@ -175,7 +239,7 @@ def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, salts: int = 64, floor: int = 200_000, text: str = "text", id: str = "doc_id") -> DataFrame:
+def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, salts: int = 64, floor: int = 200_000, few_members: int = 12, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets."""
     enum = enum or PartEnum(percent)
     folder = shared_folder(documents.sparkSession)
@@ -183,12 +247,8 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     some = base.where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signs").alias("signs")).where("rep is not null")
     rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
-    hot = _salted(rows, salts, floor)
-    members = _centred(hot, "salt").withColumn("top", F.max("rep").over(Window.partitionBy("sign", "salt"))).where("centre < top or salt > 0").select("sign", "salt", "centre", "rep", "n")
-    members = settle(members, folder, "members")
-    centres = _centred(members.where("salt > 0 or rep = centre").where("rep = centre").select("sign", "rep").distinct()).where("centre < rep")
-    stars = members.where("centre < rep").select("centre", "rep").unionByName(centres.select("centre", "rep"))
-    stars = settle(stars.groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
+    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members")
+    stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
 
     ids = members.select("rep").distinct()
 
@@ -208,12 +268,11 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     parts = connected(edges, folder, "parts-2")
 
     # pairs that share a signature of which neither is the centre, across components
-    owned = members.select("sign", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = owned.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
-    owned = owned.join(mixed, "sign")
-    a, b = (owned.select("sign", *(F.col(c).alias(f"{x}{c}") for c in ("rep", "n", "component"))) for x in "ab")
-    close = (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    rest = a.join(b, "sign").where(close).select(F.col("arep").alias("a"), F.col("brep").alias("b")).distinct()
+    owned = settle(owned.join(mixed, "sign").select("sign", "centre", "rep", "n", "size", "component"), folder, "mixed")
+    few = owned.where(F.col("size") <= few_members)
+    rest = _pairs(few, ["sign"], percent).unionByName(_pairs(_prefixes(owned.where(F.col("size") > few_members), texts, width, percent, folder), ["centre", "element"], percent)).distinct()
     rest = rest.join(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
     more = settle(_verified(rest, texts, width, percent), folder, "links-3")
     parts = connected(edges.unionByName(more), folder, "parts-3")
