@@ -116,7 +116,9 @@ def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "do
     # length size / 2
     halves = heads.select(F.explode("halves").alias("hash"), "doc_id", "k1", "k2")
     halves = settle(halves, folder, "halves")
-    alive = halves.join(repeated_hashes(halves.select("hash", "doc_id")).select("hash"), "hash")
+    # written first, so that both sides of the join are plain shuffles and the engine can split a hot hash
+    twice = settle(repeated_hashes(halves.select("hash", "doc_id")).select("hash"), folder, "halves-repeated")
+    alive = halves.join(twice, "hash")
     alive = alive.groupBy("doc_id", "k1", "k2").agg(F.collect_list("hash").alias("hashes"))  # bounded by one text's length
 
     # length size: extend what survived
@@ -141,7 +143,7 @@ def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "do
     texts = pack(documents, text, id).join(alive, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "packed", "hashes")
     grown = settle(map_texts(texts, extend, "doc_id long, k1 long, k2 long, hashes array<long>, starts array<int>", "packed"), folder, "grown")
     full = grown.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("doc_id", "k1", "k2", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
-    least = repeated_hashes(full.select("hash", "doc_id"))
+    least = settle(repeated_hashes(full.select("hash", "doc_id")), folder, "full-repeated")
     hits = full.join(least, "hash").where("first < doc_id").groupBy("doc_id", "k1", "k2").agg(F.collect_list("start").alias("starts"))  # bounded by one text
     return base, settle(hits, folder, "hits")
 
