@@ -14,8 +14,8 @@ Steps, each bounded in memory and written to the shared folder:
    frequent signature dominates, and only those are salted: minima over salts come first, then the signature's;
 3. candidates are compared exactly, best centre first; components are formed; then the remaining candidates across components;
 4. last, pairs across components that share a signature without either being its centre: directly where the signature has a few sets,
-   else by the rarest elements in which sets differ from their centre (see ``_prefixes``), which is exact too. Each round leaves out what
-   is already joined, so a large group of close copies is compared about once a member, never in all pairs.
+   else by the rarest elements in which sets differ from their centre (see ``_prefixes``) and a sketch of all of them, which are exact too,
+   as they only leave out what cannot link. Each round leaves out what is already joined, so a large group of close copies is compared about once a member, never in all pairs.
 
 Defined results: case is folded for A-Z only. A null or empty text, or one without words, has 0 shingles and links with nothing: its
 component is its own doc_id. Repeated rows are equal sets. Each row gets the component of its text; texts whose least ids
@@ -28,11 +28,12 @@ from __future__ import annotations
 import functools
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.llm._words import U64, Words, as_long, map_texts, mix, only, settle, shared_folder, signed, windows
@@ -179,10 +180,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(work, "a long, b long")
 
 
+#: Longs of a difference's sketch.
+SKETCH = 8
+
+
 def _pairs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of rows that agree in the keys, are in different components and of sizes that can link."""
-    a, b = (rows.select(*keys, *(F.col(c).alias(f"{x}{c}") for c in ("rep", "n", "component"))) for x in "ab")
+    """Pairs (a, b) of rows that agree in the keys, are in different components and of sizes that can link.
+
+    Where rows have sketches (a bit for the place of each element in which a set differs from the centre), each bit in which two sketches
+    differ is an element of one set alone, so pairs with more such bits than linked sets may have are left out at once.
+    """
+    sketch = [c for c in rows.columns if c.startswith("bits")]
+    a, b = (rows.select(*keys, *(F.col(c).alias(f"{x}{c}") for c in ("rep", "n", "component", *sketch))) for x in "ab")
     close = (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+    if sketch:
+        apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in sketch))
+        close &= apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
     return a.join(b, keys).where(close).select(F.col("arep").alias("a"), F.col("brep").alias("b"))
 
 
@@ -203,7 +216,7 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
         unpack = zstandard.ZstdDecompressor().decompress
         last, own = None, None
         for batch in batches:
-            lists, first = [], []
+            lists, first, sketches = [], [], []
             for c, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if c != last:
                     w = Words([unpack(x.as_py())], lower=True)
@@ -215,19 +228,25 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
                 close = len(d) * (100 + percent) <= (len(own) + len(other)) * (100 - percent)
                 shared = max(1, -(-len(d) * percent // (2 * 100)) if close else len(d) - k)
                 lists.append(as_long(d))
+                bits = np.zeros(64 * SKETCH, np.uint8)
+                bits[mix(d) & U64(64 * SKETCH - 1)] = 1
+                sketches.append(np.packbits(bits).view(np.int64))
                 first.append(len(d) - min(shared, len(d)) + 1 if len(d) else 0)
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "elements"])
+            flat = np.stack(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
+            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64)), *(pa.array(flat[:, k]) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "elements", *sketch])
 
-    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>"), folder, "apart")
+    sketch = [f"bits{k}" for k in range(SKETCH)]
+    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart")
     each = apart.select("centre", "rep", F.explode("elements").alias("element"))
     common = each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1")
     shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("have", "element"))).alias("shared"))  # at most a set
     # elements that no other set has come first in the order; they take up places but need no row
     left_over = F.col("first") - (F.size("elements") - F.size("shared"))
     kept = apart.join(shared, ["centre", "rep"]).withColumn("take", left_over).where("take > 0")
-    return kept.select("centre", "rep", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e")).select("centre", F.col("e.element").alias("element"), "rep", "n", "component")
+    rows = kept.select("centre", "rep", "n", "component", *sketch, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e"))
+    return rows.select("centre", F.col("e.element").alias("element"), "rep", "n", "component", *sketch)
 
 
 def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
