@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), folder, name)
+        docs = settle(stage(spark, docs, sf_dir), folder, name, release=True)
     return docs

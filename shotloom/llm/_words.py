@@ -9,6 +9,7 @@ All hashes are 64 bits, fixed by seeded constants, and equal on every executor.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -168,10 +169,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/shotloom-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and outlives lost executors."""
+def settle(df: DataFrame, folder: str, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, and outlives lost executors.
+
+    With ``release`` the driver collects its garbage afterwards, on which Spark deletes the shuffle files that only the finished write
+    needed; else they would lie on the executors' disks until the driver's memory fills.
+    """
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
+    if release:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -266,7 +266,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     some = base.where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signs").alias("signs")).where("rep is not null")
     rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
-    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members")
+    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
     stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
 
     ids = members.select("rep").distinct()
@@ -276,7 +276,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
         return {"rep": part.column(0), "packed": [shrink(t) for t in texts]}
 
     packed = map_texts(only(documents, id, text).where(F.col(id).isNotNull()), pack, "rep long, packed binary", text)
-    texts = settle(packed.join(ids, "rep").groupBy("rep").agg(F.first("packed").alias("packed")), folder, "texts")
+    texts = settle(packed.join(ids, "rep").groupBy("rep").agg(F.first("packed").alias("packed")), folder, "texts", release=True)
 
     best = stars.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
     edges = settle(_verified(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), texts, width, percent), folder, "links-1")
@@ -289,11 +289,11 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     # pairs that share a signature of which neither is the centre, across components
     owned = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = owned.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
-    owned = settle(owned.join(mixed, "sign").select("sign", "centre", "rep", "n", "size", "component"), folder, "mixed")
+    owned = settle(owned.join(mixed, "sign").select("sign", "centre", "rep", "n", "size", "component"), folder, "mixed", release=True)
     few = owned.where(F.col("size") <= few_members)
     rest = _pairs(few, ["sign"], percent).unionByName(_pairs(_prefixes(owned.where(F.col("size") > few_members), texts, width, percent, folder), ["centre", "element"], percent)).distinct()
     rest = rest.join(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-    more = settle(_verified(rest, texts, width, percent), folder, "links-3")
+    more = settle(_verified(rest, texts, width, percent), folder, "links-3", release=True)
     parts = connected(edges.unionByName(more), folder, "parts-3")
 
     least = classes.select("h1", "h2", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))

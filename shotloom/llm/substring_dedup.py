@@ -141,11 +141,11 @@ def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "do
         return {"doc_id": part.column(0), "k1": part.column(1), "k2": part.column(2)} | lists
 
     texts = pack(documents, text, id).join(alive, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "packed", "hashes")
-    grown = settle(map_texts(texts, extend, "doc_id long, k1 long, k2 long, hashes array<long>, starts array<int>", "packed"), folder, "grown")
+    grown = settle(map_texts(texts, extend, "doc_id long, k1 long, k2 long, hashes array<long>, starts array<int>", "packed"), folder, "grown", release=True)
     full = grown.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("doc_id", "k1", "k2", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
     least = settle(repeated_hashes(full.select("hash", "doc_id")), folder, "full-repeated")
     hits = full.join(least, "hash").where("first < doc_id").groupBy("doc_id", "k1", "k2").agg(F.collect_list("start").alias("starts"))  # bounded by one text
-    return base, settle(hits, folder, "hits")
+    return base, settle(hits, folder, "hits", release=True)
 
 
 def _later(base: DataFrame, size: int) -> DataFrame:
