@@ -127,9 +127,12 @@ def sets(documents: DataFrame, width: int = 3, enum: PartEnum | None = None, tex
     return map_texts(only(documents, id, text), work, "doc_id long, n_shingles long, h1 long, h2 long, signs array<long>", text)
 
 
-def _salted(rows: DataFrame, salts: int, floor: int) -> DataFrame:
-    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others."""
-    counts = rows.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
+def _salted(rows: DataFrame, every: DataFrame, salts: int, floor: int) -> DataFrame:
+    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others.
+
+    ``every`` has the signatures of all documents, copies included; it is counted without the shuffle that rows need, by bucket in each task.
+    """
+    counts = every.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
     mean = counts.agg(F.sum("count")).first()[0] or 0
     hot = [r["bucket"] for r in counts.where(F.col("count") > max(floor, 8 * mean // BUCKETS)).collect()]  # at most BUCKETS numbers
     if not hot:
@@ -138,13 +141,13 @@ def _salted(rows: DataFrame, salts: int, floor: int) -> DataFrame:
     return rows.withColumns({"salt": F.when(F.pmod("sign", F.lit(BUCKETS)).isin(hot), spread).otherwise(F.lit(-1)), "hot": F.lit(True)})
 
 
-def _centred(rows: DataFrame, salts: int, floor: int) -> DataFrame:
+def _centred(rows: DataFrame, every: DataFrame, salts: int, floor: int) -> DataFrame:
     """Rows of the signatures that two sets or more have, with ``centre``: the least of their sets, and ``size``: how many they are.
 
     Signatures in a bucket that a frequent one dominates take another way: minima over salts, then over the signature, and a join whose large
     side the engine may split.
     """
-    salted = _salted(rows, salts, floor)
+    salted = _salted(rows, every, salts, floor)
     same = Window.partitionBy("sign")
     cold = salted.where("salt < 0").drop("salt").withColumns({"centre": F.min("rep").over(same), "size": F.count("*").over(same)}).where("size > 1")
     if "hot" not in salted.columns:
@@ -266,7 +269,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     some = base.where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signs").alias("signs")).where("rep is not null")
     rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
-    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
+    members = settle(_centred(rows, some.select(F.explode("signs").alias("sign")), salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
     stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
 
     ids = members.select("rep").distinct()
