@@ -180,7 +180,7 @@ def media_tensors(media: DataFrame) -> DataFrame:
         values = []
         for key, wav in zip(part.column(0).to_pylist(), stored, strict=True):
             found, times = tensors(*features(decode_wav(wav)))
-            values.append(found.reshape(len(found), -1))
+            values.append(found.reshape(len(found), TENSOR * MELS))
             for k, (a, e) in enumerate(times):
                 for name, x in zip(out, (key, k, a, e), strict=True):
                     out[name].append(x)

@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm._words import only
-
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 K = len(ALPHABET)
 KINDS = ("assign", "access", "hex", "markov")
@@ -132,10 +130,11 @@ def spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column
 
 
 def scan(documents: DataFrame, table: list[int] | None = None, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to carry, base and found: arrays of (start, end, kind), found with the markov spans added, both ordered."""
+    """doc_id, rest (a struct of the columns to carry), base and found: arrays of (start, end, kind), found with the markov spans added, both ordered."""
     table = table or train(samples(documents.sparkSession))
     body = F.col("body")
-    rows = only(documents, id, text, *carry).select(F.col(id).alias("doc_id"), *carry, F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text}`").isNull().alias("_null"))
+    rows = documents.select(F.col(f"`{id}`").alias("doc_id"), rest.alias("rest"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     assign = spans(body, ASSIGN, 0, lambda m, g: F.length(g) >= 6, 2)
     base = F.array_sort(F.concat(assign, spans(body, ACCESS_LONG, 1, lambda m, g: F.lit(True)), spans(body, HEX_LONG, 2, lambda m, g: F.lit(True))), _ordered)
     more = spans(body, TOKEN, 3, lambda m, g: ratio(m, table) >= CUT)
@@ -165,7 +164,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text", id:
     """The input's rows with every span replaced by the mark; overlapping spans are replaced as one. A null text stays null."""
     columns = documents.columns
     rest = tuple(c for c in columns if c not in (id, text))
-    found = scan(documents.withColumn("_null", F.col(text).isNull()), table, text, id, (*rest, "_null"))
+    found = scan(documents, table, text, id, rest)
     pieces = F.aggregate(
         "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -175,5 +174,5 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text", id:
         ),
         lambda s: F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, F.length("body"))),
     )
-    clean = F.when(F.col("_null"), F.lit(None)).when(F.size("found") == 0, F.col("body")).otherwise(pieces)
-    return found.select(*(F.col("doc_id").alias(c) if c == id else clean.alias(c) if c == text else F.col(c) for c in columns))
+    clean = F.when(F.col("rest._null"), F.lit(None)).when(F.size("found") == 0, F.col("body")).otherwise(pieces)
+    return found.select(*(F.col("doc_id").alias(c) if c == id else clean.alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in columns))
