@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shotloom.llm import oracles
 from shotloom.llm._words import read
 
 
@@ -85,4 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_attention_mil": op10_attention_mil,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_ngram_join": oracles.NGRAM_JOIN,
+    "op7_rule_ledger": oracles.RULE_LEDGER,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+}
