@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from shotloom.config import Config
 from shotloom.functions import paths as P
-from shotloom.operators import evaluation, library, search
+from shotloom.operators import evaluation
+from shotloom.operators import library as shelf
+from shotloom.operators import search as dense
 from shotloom.plans import models
 from shotloom.plans.ingest import Ingest, Stages
 from shotloom.schemas import JOB
@@ -45,24 +47,24 @@ class Engine:
         self._pool = ThreadPoolExecutor(workers)
 
     # search
-    def search(self, query: str, k: int = search.TOP, where: dict | None = None) -> DataFrame:
+    def search(self, query: str, k: int = dense.TOP, where: dict | None = None) -> DataFrame:
         """Up to k representative units, best first; a blank query finds nothing."""
-        units = search.filtered(self.store.units.read(), where)
+        units = dense.filtered(self.store.units.read(), where)
         if not query.strip():
-            return search.results(search.top_k(units.limit(0), [0.0], k))
+            return dense.results(dense.top_k(units.limit(0), [0.0], k))
         vector = models.normalized(self.encode([query.strip()]))[0]
-        return search.results(search.top_k(units, vector.tolist(), k))
+        return dense.results(dense.top_k(units, vector.tolist(), k))
 
-    def search_batch(self, queries: DataFrame, k: int = search.TOP) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int = dense.TOP) -> DataFrame:
         """queries(id, query) to id, rank and the units' data, in one job."""
         dim = models.dimension(self.config.models.visual_encoder)
         embedded = models.embed(queries.select(F.col("id").alias("query_id"), "query"), self.encode, dim, "query", "query_vec")
-        units = search.filtered(self.store.units.read())
-        found = search.top_k_batch(units, embedded, k)
+        units = dense.filtered(self.store.units.read())
+        found = dense.top_k_batch(units, embedded, k)
         return found.withColumnRenamed("query_id", "id").join(units.drop("img_vec", "txt_vec"), "unit_id")
 
-    def more_like(self, unit_id: str, k: int = search.TOP) -> DataFrame:
-        return search.results(search.like_unit(search.filtered(self.store.units.read()), unit_id, k))
+    def more_like(self, unit_id: str, k: int = dense.TOP) -> DataFrame:
+        return dense.results(dense.like_unit(dense.filtered(self.store.units.read()), unit_id, k))
 
     # lookup
     def unit(self, unit_id: str) -> dict:
@@ -102,7 +104,7 @@ class Engine:
 
     # library and jobs
     def library(self) -> DataFrame:
-        return library.status(film_source.scan(self.spark, self.config.paths.films_dir), self.store.films.read())
+        return shelf.status(film_source.scan(self.spark, self.config.paths.films_dir), self.store.films.read())
 
     def ingest(self, path: str) -> dict:
         """Start a job for one film."""
@@ -137,7 +139,7 @@ class Engine:
         """All jobs; those that finished long ago are forgotten."""
         now = time.time() if now is None else now
         with self._lock:
-            self._jobs = {k: j for k, j in self._jobs.items() if j["status"] == "running" or j["finished_at"] is None or now - j["finished_at"] <= library.KEPT}
+            self._jobs = {k: j for k, j in self._jobs.items() if j["status"] == "running" or j["finished_at"] is None or now - j["finished_at"] <= shelf.KEPT}
             rows = [tuple(j[f] for f in JOB.names) for j in self._jobs.values()]
         return self.spark.createDataFrame(rows, JOB)
 

@@ -170,9 +170,9 @@ def media_urls(spark, d):
     return unit_vectors(spark, d).select("unit_id", P.keyframe_url(name).alias("keyframe_url"), P.preview_url(name).alias("preview_url"))
 
 
-@query(f"WITH {UNITS_SQL}, x AS (SELECT unit_id, unnest(v) AS x, unnest(range(64)) AS i, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM units) SELECT unit_id, i::INT AS i, round((CASE WHEN n = 0 THEN x ELSE x / n END)::FLOAT::DOUBLE, 4) AS x FROM x")
+@query(f"WITH {UNITS_SQL}, x AS (SELECT unit_id, unnest(v) AS x, unnest(range(64)) AS i, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM units) SELECT unit_id, i::INT AS i, round((CASE WHEN n = 0 THEN x ELSE x / n END)::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS x FROM x")
 def l2_normalize(spark, d):
-    return unit_vectors(spark, d).select("unit_id", F.posexplode(V.l2_normalize(F.col("txt_vec"))).alias("i", "x")).select("unit_id", "i", F.round(F.col("x").cast("double"), 4).alias("x"))
+    return unit_vectors(spark, d).select("unit_id", F.posexplode(V.l2_normalize(F.col("txt_vec"))).alias("i", "x")).select("unit_id", "i", (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("x"))
 
 
 @query(f"WITH {UNITS_SQL}, x AS (SELECT film_id, scene_id, unnest(v) AS x, unnest(range(64)) AS i FROM units) SELECT film_id, scene_id, i::INT AS i, count(*) AS n, round(avg(x), 6) AS mean FROM x GROUP BY film_id, scene_id, i")
@@ -437,7 +437,7 @@ def gold_set(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 EVAL_SQL = f"WITH {UNITS_SQL}, {BATCH_SQL.format(k=21)}, {GOLD_SQL}"
-RATES = 'count(*) AS evaluated, round(sum((first_rank <= 5)::INT) / count(*)::DOUBLE, 9) AS "hit@5", round(sum((first_rank <= 10)::INT) / count(*)::DOUBLE, 9) AS "hit@10", round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr'
+RATES = 'count(*) AS evaluated, round(count(*) FILTER (WHERE first_rank <= 5) / count(*)::DOUBLE, 9) AS "hit@5", round(count(*) FILTER (WHERE first_rank <= 10) / count(*)::DOUBLE, 9) AS "hit@10", round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr'
 
 
 @query(f"{EVAL_SQL} SELECT id, intent, first_rank::INT AS first_rank, coalesce(first_rank <= 5, false) AS hit5, coalesce(first_rank <= 10, false) AS hit10 FROM firsts")
@@ -450,12 +450,12 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(f"`{c}`", 9) for c in ("hit@5", "hit@10", "mrr")})
 
 
-@query(f'{EVAL_SQL} SELECT evaluated, (SELECT count(*) FROM gold WHERE placeholder) AS skipped, "hit@5", "hit@10", mrr FROM (SELECT {RATES.replace("sum((first_rank <= 5)::INT)", "count_if(first_rank <= 5)").replace("sum((first_rank <= 10)::INT)", "count_if(first_rank <= 10)")} FROM firsts)')
+@query(f'{EVAL_SQL} SELECT evaluated, (SELECT count(*) FROM gold WHERE placeholder) AS skipped, "hit@5", "hit@10", mrr FROM (SELECT {RATES} FROM firsts)')
 def eval_metrics(spark, d):
     return _rounded(evaluation.metrics(*gold_set(spark, d)))
 
 
-@query(f"{EVAL_SQL} SELECT intent, grouping(intent)::INT AS is_total, {RATES.replace('sum((first_rank <= 5)::INT)', 'count_if(first_rank <= 5)').replace('sum((first_rank <= 10)::INT)', 'count_if(first_rank <= 10)')} FROM firsts GROUP BY ROLLUP (intent)")
+@query(f"{EVAL_SQL} SELECT intent, grouping(intent)::INT AS is_total, {RATES} FROM firsts GROUP BY ROLLUP (intent)")
 def eval_rollup(spark, d):
     return _rounded(evaluation.by_intent(*gold_set(spark, d))).withColumn("is_total", F.col("is_total").cast("int"))
 
@@ -695,7 +695,7 @@ def click_rates(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w > INTERVAL 30 MINUTE)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
  SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, session"""
 )

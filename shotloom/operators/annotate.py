@@ -19,7 +19,7 @@ PROMPT = "Describe this film shot in two or three sentences: setting, people, ac
 def requests(shots: DataFrame) -> DataFrame:
     """What a captioner gets for each shot: the first images, their media types, and the prompt."""
     images = F.slice("keyframe_paths", 1, IMAGES)
-    return shots.withColumns({"images": images, "media_types": F.transform(images, P.media_type), "prompt": F.lit(PROMPT)})
+    return shots.withColumns({"images": images, "media_types": F.transform(images, lambda p: P.media_type(p)), "prompt": F.lit(PROMPT)})
 
 
 def call(shots: DataFrame, captioner: Callable[[list[str], list[str]], str]) -> DataFrame:

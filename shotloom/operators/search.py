@@ -47,7 +47,7 @@ def top_k_batch(units: DataFrame, queries: DataFrame, k: int = TOP, vector: str
     if len(rows) > BATCH:
         raise ValueError(f"a batch holds at most {BATCH} queries")
     names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     usable = np.flatnonzero(norms[:, 0] > 0)
     matrix = (matrix / np.where(norms > 0, norms, 1))[usable]

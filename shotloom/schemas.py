@@ -13,9 +13,9 @@ def _struct(*fields: tuple[str, T.DataType] | tuple[str, T.DataType, bool]) -> T
 
 
 S, D, B, I, L = T.StringType(), T.DoubleType(), T.BooleanType(), T.IntegerType(), T.LongType()
-STRINGS = T.ArrayType(S, False)
-DOUBLES = T.ArrayType(D, False)
-VECTOR = T.ArrayType(T.FloatType(), False)
+STRINGS = T.ArrayType(S)
+DOUBLES = T.ArrayType(D)
+VECTOR = T.ArrayType(T.FloatType())
 SPAN = _struct(("film_id", S), ("t_start", D), ("t_end", D))
 
 FILM = _struct(("film_id", S), ("path", S), ("asset_dir", S), ("duration", D), ("fps", D), ("has_embedded_subs", B), ("title", S))
