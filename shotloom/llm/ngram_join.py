@@ -6,7 +6,7 @@ Sizes are cut into bands such that linked sets lie in one band or in neighbourin
 set takes part in two instances. In an instance, linked sets differ in at most k elements (k follows from the band's upper
 size). The shingle domain is hashed into n1 = k // (level + 1) + 1 groups of n2 parts; in at least one group at most ``level`` elements, hence at
 most ``level`` parts, differ. A set therefore emits, for each group, one signature for each subset of n2 - level parts: the hash of its
-elements there. Linked sets share at least one signature.
+elements there. Linked sets share at least one signature. With subsets of one part, spare groups let sets leave out their empty parts.
 
 Steps, each bounded in memory and written to the shared folder:
 1. one pass over the texts gives set digests and signatures; equal sets become one class, aggregated before the shuffle;
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -83,7 +84,9 @@ class PartEnum:
             self.lows.append(self.high(len(self.lows) - 1) + 1)
         # |a ^ b| = S - 2 |a & b| with S = |a| + |b| and |a & b| >= S * p / (100 + p)
         k = 2 * self.high(band) * (100 - self.percent) // (100 + self.percent)
-        return k, k // (self.level + 1) + 1
+        # more groups than needed, by about three times the parts that will be empty in the least sets of this instance
+        spare = math.ceil(3 * (k + 1) * math.exp(-self.lows[max(0, band - 1)] / (k + 1))) if self.parts - self.level == 1 else 0
+        return k, (k + spare) // (self.level + 1) + 1
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set; none where only equal sets can link."""
@@ -102,8 +105,15 @@ class PartEnum:
             # sums of 32-bit halves are exact in doubles up to 2**21 elements a part
             total = np.bincount(part, low, cells).astype(U64) + (np.bincount(part, high, cells).astype(U64) << U64(32))
             total = mix(total + np.arange(cells, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(instance << 20)).reshape(groups, self.parts)
-            for n, subset in enumerate(self.subsets):
-                out.append(mix(total[:, list(subset)].sum(1, dtype=U64) + U64(n + 1)))
+            if self.parts - self.level == 1:
+                # Linked sets agree in cells - k parts or more. A set with fewer empty parts than that agrees with any partner in one that is
+                # not empty, so its empty parts, which unrelated sets have as well, need no signatures.
+                empty = np.bincount(part, minlength=cells) == 0
+                if 0 < empty.sum() < cells - k:
+                    out.append(mix(total.ravel()[~empty] + U64(1)))
+                    continue
+            for subset in self.subsets:
+                out.append(mix(total[:, list(subset)].sum(1, dtype=U64) + U64(len(subset))))
         return np.concatenate(out) if out else np.zeros(0, U64)
 
 
