@@ -9,7 +9,7 @@ most ``level`` parts, differ. A set therefore emits, for each group, one signatu
 elements there. Linked sets share at least one signature. With subsets of one part, spare groups let sets leave out their empty parts.
 
 Steps, each bounded in memory and written to the shared folder:
-1. one pass over the texts gives set digests and signatures; equal sets become one class, aggregated before the shuffle;
+1. the texts give set digests and signatures; equal sets become one class, aggregated before the shuffle;
 2. classes that share a signature are linked to the least of them as candidates. A fixed array of 65,536 counts finds buckets that a
    frequent signature dominates, and only those are salted: minima over salts come first, then the signature's;
 3. candidates are compared exactly, best centre first; components are formed; then the remaining candidates across components;
@@ -118,13 +118,12 @@ class PartEnum:
 
 
 def sets(documents: DataFrame, width: int = 3, enum: PartEnum | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's digest) and its signatures."""
-    enum = enum or PartEnum()
+    """doc_id, n_shingles, h1, h2 (the set's digest) and its signatures (none without ``enum``)."""
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
         w = Words(texts, lower=True)
         found = [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        signs = [as_long(enum.signatures(s)) for s in found]
+        signs = [as_long(enum.signatures(s) if enum else s[:0]) for s in found]
         ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
         return {
             "doc_id": part.column(0),
@@ -137,12 +136,9 @@ def sets(documents: DataFrame, width: int = 3, enum: PartEnum | None = None, tex
     return map_texts(only(documents, id, text), work, "doc_id long, n_shingles long, h1 long, h2 long, signs array<long>", text)
 
 
-def _salted(rows: DataFrame, every: DataFrame, salts: int, floor: int) -> DataFrame:
-    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others.
-
-    ``every`` has the signatures of all documents, copies included; it is counted without the shuffle that rows need, by bucket in each task.
-    """
-    counts = every.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
+def _salted(rows: DataFrame, salts: int, floor: int) -> DataFrame:
+    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others."""
+    counts = rows.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
     mean = counts.agg(F.sum("count")).first()[0] or 0
     hot = [r["bucket"] for r in counts.where(F.col("count") > max(floor, 8 * mean // BUCKETS)).collect()]  # at most BUCKETS numbers
     if not hot:
@@ -151,13 +147,13 @@ def _salted(rows: DataFrame, every: DataFrame, salts: int, floor: int) -> DataFr
     return rows.withColumns({"salt": F.when(F.pmod("sign", F.lit(BUCKETS)).isin(hot), spread).otherwise(F.lit(-1)), "hot": F.lit(True)})
 
 
-def _centred(rows: DataFrame, every: DataFrame, salts: int, floor: int) -> DataFrame:
+def _centred(rows: DataFrame, salts: int, floor: int) -> DataFrame:
     """Rows of the signatures that two sets or more have, with ``centre``: the least of their sets, and ``size``: how many they are.
 
     Signatures in a bucket that a frequent one dominates take another way: minima over salts, then over the signature, and a join whose large
     side the engine may split.
     """
-    salted = _salted(rows, every, salts, floor)
+    salted = _salted(rows, salts, floor)
     same = Window.partitionBy("sign")
     cold = salted.where("salt < 0").drop("salt").withColumns({"centre": F.min("rep").over(same), "size": F.count("*").over(same)}).where("size > 1")
     if "hot" not in salted.columns:
@@ -275,11 +271,12 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets."""
     enum = enum or PartEnum(percent)
     folder = shared_folder(documents.sparkSession)
-    base = settle(sets(documents, width, enum, text, id), folder, "sets")
-    some = base.where("n_shingles > 0")
+    base = settle(sets(documents, width, None, text, id).drop("signs"), folder, "sets")
+    some = sets(documents, width, enum, text, id).where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signs").alias("signs")).where("rep is not null")
+    classes = settle(classes, folder, "classes", release=True)
     rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
-    members = settle(_centred(rows, some.select(F.explode("signs").alias("sign")), salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
+    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
     stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
 
     ids = members.select("rep").distinct()
@@ -310,7 +307,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     parts = connected(edges.unionByName(more), folder, "parts-3")
 
     least = classes.select("h1", "h2", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = base.drop("signs").join(least, ["h1", "h2"], "left")
+    out = base.join(least, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
 
 
