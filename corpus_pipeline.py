@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, near-duplicate join, substring dedup, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the shared folder and reads again as
-the next stage's documents. All but the last keep the columns of ``documents``. Language SQL cannot train the classifier, so there is no
-ORACLE_SQL; tests compare every stage with a brute-force version.
+the next stage's documents. All but the last keep the columns of ``documents``. SQL cannot train the classifier, so ORACLE_SQL is None;
+tests compare every stage with a brute-force version.
 """
 
 from __future__ import annotations
