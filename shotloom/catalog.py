@@ -61,8 +61,9 @@ UNITS_SQL = """units AS (SELECT vec_id AS unit_id, (vec_id % 20)::INT AS film_id
   embedding::DOUBLE[] AS v, (vec_id * 10)::DOUBLE AS t_start, (vec_id * 10)::DOUBLE + 5 + vec_id % 7 AS t_end FROM embeddings)"""
 
 
-def queries_of(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return table(spark, d, "embeddings").where(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def queries_of(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set of the searches: every vector whose id is divisible by 100, against all."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 def raw_shots(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +155,7 @@ def filtered_search(spark, d):
     return search.top_k(search.filtered(unit_vectors(spark, d), {"label": 3, "film_id": None}), vector).select("unit_id", "distance", "rank")
 
 
-BATCH_SQL = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 20),
+BATCH_SQL = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
  d AS (SELECT query_id, unit_id, round(1.0 - list_cosine_similarity(v, qv), 6) AS distance FROM units, q),
  found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id)::INT AS rank FROM d QUALIFY rank <= {k})"""
 
@@ -308,20 +309,20 @@ def strip_tags_unescape(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, substr(text, 1, 200) || chr(10) || 'Mood: ' || lang || ' ,  ' || source || ', ' AS raw FROM documents),
+    """WITH r AS (SELECT doc_id, text || chr(10) || 'Mood: ' || lang || ' ,  ' || source || ', ' AS raw FROM documents),
  l AS (SELECT doc_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM r)
  SELECT doc_id, array_to_string(list_filter(ls, lambda x: x[1:5] <> 'Mood:'), ' ') AS caption,
  array_to_string(list_filter(list_transform(string_split(substr(list_filter(ls, lambda x: x[1:5] = 'Mood:')[-1], 6), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS mood FROM l"""
 )
 def caption_mood_parse(spark, d):
-    raw = F.concat(F.substring("text", 1, 200), F.lit("\nMood: "), F.col("lang"), F.lit(" ,  "), F.col("source"), F.lit(", "))
+    raw = F.concat(F.col("text"), F.lit("\nMood: "), F.col("lang"), F.lit(" ,  "), F.col("source"), F.lit(", "))
     parsed = annotate.parse(table(spark, d, "documents").select("doc_id", raw.alias("raw"), F.array().cast("array<string>").alias("dialogue")))
     return parsed.select("doc_id", "caption", F.array_join("mood", "|").alias("mood"))
 
 
 # --- lexical and hybrid search ---
 
-QUERY_SQL = "qs AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
+QUERY_SQL = "qs AS (SELECT item_id * 100 AS query_id, text AS query FROM benchmark)"
 BM25_SQL = (
     QUERY_SQL
     + """, toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
@@ -336,25 +337,25 @@ BM25_SQL = (
 )
 
 
-def first_words(spark: SparkSession, d: str) -> DataFrame:
-    """Short query texts: the first six words of a benchmark item."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+def query_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark items as query texts, numbered like the query vectors."""
+    return table(spark, d, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10")
 def bm25_top10(spark, d):
-    return lexical.bm25(table(spark, d, "documents"), first_words(spark, d), 10)
+    return lexical.bm25(table(spark, d, "documents"), query_texts(spark, d), 10)
 
 
 def channels(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Two ranked lists of units for the first 20 queries: dense, and by label agreement as a second channel."""
+    """Two ranked lists of units: dense for the query vectors, lexical for the query texts."""
     units, asked = unit_vectors(spark, d), queries_of(spark, d)
     dense = search.top_k_batch(units, asked, 50)
-    lexical_ = lexical.bm25(table(spark, d, "documents").withColumnRenamed("doc_id", "unit_id"), first_words(spark, d).where("query_id < 20"), 50, id="unit_id")
+    lexical_ = lexical.bm25(table(spark, d, "documents").withColumnRenamed("doc_id", "unit_id"), query_texts(spark, d), 50, id="unit_id")
     return {"txt": dense, "lex": lexical_}
 
 
-FUSED_SQL = f"""{UNITS_SQL}, {BATCH_SQL.format(k=50)}, {BM25_SQL.replace("FROM benchmark)", "FROM benchmark WHERE item_id < 20)")},
+FUSED_SQL = f"""{UNITS_SQL}, {BATCH_SQL.format(k=50)}, {BM25_SQL},
  parts AS (SELECT query_id, unit_id, 0.2::DOUBLE / (60 + rank) AS lex, 0.0::DOUBLE AS txt FROM (SELECT query_id, doc_id AS unit_id, rank FROM lex WHERE rank <= 50)
   UNION ALL SELECT query_id, unit_id, 0.0::DOUBLE, 0.4::DOUBLE / (60 + rank) FROM found),
  fused AS (SELECT query_id, unit_id, max(lex) + max(txt) AS score FROM parts GROUP BY query_id, unit_id)"""
@@ -414,23 +415,23 @@ def query_router(spark, d):
 
 # --- evaluation ---
 
-GOLD_SQL = """gold AS (SELECT vec_id AS id, CASE vec_id % 4 WHEN 0 THEN 'vibe' WHEN 1 THEN 'dialogue' WHEN 2 THEN 'visual' ELSE 'plot' END AS intent, label AS wanted, vec_id % 5 = 4 AS placeholder FROM embeddings WHERE vec_id < 20),
- answers AS (SELECT g.id, u.film_id, u.t_start, u.t_end FROM gold g JOIN units u ON u.label = g.wanted AND u.unit_id <> g.id AND u.unit_id < 200 WHERE NOT placeholder),
+GOLD_SQL = """gold AS (SELECT vec_id AS id, CASE vec_id // 100 % 4 WHEN 0 THEN 'vibe' WHEN 1 THEN 'dialogue' WHEN 2 THEN 'visual' ELSE 'plot' END AS intent, label AS wanted, vec_id // 100 % 5 = 4 AS placeholder FROM embeddings WHERE vec_id % 100 = 0),
+ answers AS (SELECT g.id, u.film_id, u.t_start, u.t_end FROM gold g JOIN units u ON u.label = g.wanted AND u.unit_id <> g.id WHERE NOT placeholder),
  ranked AS (SELECT query_id AS id, f.unit_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank FROM found f WHERE f.unit_id <> query_id),
  firsts AS (SELECT g.id, g.intent, min(CASE WHEN a.id IS NOT NULL THEN r.rank END) AS first_rank FROM gold g LEFT JOIN ranked r ON r.id = g.id LEFT JOIN units u ON u.unit_id = r.unit_id
   LEFT JOIN answers a ON a.id = g.id AND a.film_id = u.film_id AND u.t_start >= a.t_start - 5 AND u.t_end <= a.t_end + 5 WHERE NOT g.placeholder GROUP BY g.id, g.intent)"""
 
 
 def gold_set(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """20 queries whose answers are the units of their label, every fifth still a placeholder; and the ranked results."""
+    """The query vectors, whose answers are the units of their label, every fifth still a placeholder; and the ranked results."""
     from pyspark.sql import Window
 
     units = unit_vectors(spark, d)
-    asked = units.where("unit_id < 20").select(F.col("unit_id").alias("id"), F.col("label").alias("wanted"))
-    answers = asked.join(units.where("unit_id < 200"), (F.col("label") == F.col("wanted")) & (F.col("unit_id") != F.col("id"))).groupBy("id").agg(F.collect_list(F.struct(F.col("film_id").cast("string").alias("film_id"), "t_start", "t_end")).alias("real"))
+    asked = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("id"), F.col("label").alias("wanted"))
+    answers = asked.join(units, (F.col("label") == F.col("wanted")) & (F.col("unit_id") != F.col("id"))).groupBy("id").agg(F.collect_list(F.struct(F.col("film_id").cast("string").alias("film_id"), "t_start", "t_end")).alias("real"))
     fake = F.array(F.struct(F.lit(evaluation.PLACEHOLDER).alias("film_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end")))
-    intents = F.array(*map(F.lit, ("vibe", "dialogue", "visual", "plot")))
-    gold = asked.join(answers, "id", "left").select("id", intents[(F.col("id") % 4).cast("int")].alias("intent"), F.when(F.col("id") % 5 == 4, fake).otherwise(F.coalesce("real", F.array(F.struct(F.lit("none").alias("film_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end"))))).alias("acceptable"))
+    intents, nth = F.array(*map(F.lit, ("vibe", "dialogue", "visual", "plot"))), F.floor(F.col("id") / 100)
+    gold = asked.join(answers, "id", "left").select("id", intents[(nth % 4).cast("int")].alias("intent"), F.when(nth % 5 == 4, fake).otherwise(F.coalesce("real", F.array(F.struct(F.lit("none").alias("film_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end"))))).alias("acceptable"))
     found = search.top_k_batch(units, queries_of(spark, d), 21).where("unit_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     placed = found.join(units.select("unit_id", "film_id", "t_start", "t_end"), "unit_id")
     return gold, placed.select(F.col("query_id").alias("id"), "rank", F.col("film_id").cast("string").alias("film_id"), "t_start", "t_end")
@@ -568,13 +569,13 @@ def content_subsegments(spark, d):
 
 # --- library, jobs, tables ---
 
-FILES_SQL = "files AS (SELECT '/films/' || c_name || CASE c_custkey % 4 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' ELSE '.webm' END AS path, c_custkey * 7654321 AS length FROM customer), films AS (SELECT DISTINCT '/films/Customer#' || lpad(o_custkey::VARCHAR, 9, '0') || CASE o_custkey % 4 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' ELSE '.webm' END AS path FROM orders WHERE o_orderkey % 3 = 0)"
+FILES_SQL = "files AS (SELECT '/films/' || c_name || CASE c_custkey % 4 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' ELSE '.webm' END AS path, c_custkey * 7654321 AS length FROM customer), films AS (SELECT DISTINCT '/films/Customer#' || lpad(o_custkey::VARCHAR, 9, '0') || CASE o_custkey % 4 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' ELSE '.webm' END AS path FROM orders WHERE o_orderstatus = 'F')"
 
 
 def files_and_films(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     end = lambda k: F.when(F.col(k) % 4 == 0, ".MKV").when(F.col(k) % 4 == 1, ".mp4").when(F.col(k) % 4 == 2, ".txt").otherwise(".webm")
     files = table(spark, d, "customer").select(F.concat(F.lit("/films/"), F.col("c_name"), end("c_custkey")).alias("path"), (F.col("c_custkey") * 7654321).alias("length"))
-    films = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("/films/Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), end("o_custkey")).alias("path"))
+    films = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("/films/Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), end("o_custkey")).alias("path"))
     return files, films
 
 
@@ -618,15 +619,16 @@ def display_status(spark, d):
 
 
 @query(
-    """WITH old AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, upper(lang) AS text FROM documents WHERE doc_id % 2 = 0)
- SELECT doc_id, text FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.doc_id = old.doc_id) UNION ALL SELECT doc_id, text FROM new"""
+    """WITH new AS (SELECT doc_id, 'quality ' || quality AS text FROM labels UNION ALL SELECT item_id + 1000000000, text FROM benchmark)
+ SELECT doc_id, text FROM documents WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.doc_id = documents.doc_id) UNION ALL SELECT doc_id, text FROM new"""
 )
 def upsert_units(spark, d):
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", "text")
-    new = docs.where("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("text"), "n_chars")
-    again = new.withColumns({"text": F.lit("stale"), "n_chars": F.lit(-1)})
-    return merge(old, last_by_key(new.unionByName(again), "doc_id", "n_chars").select("doc_id", "text"), "doc_id")
+    old = table(spark, d, "documents").select("doc_id", "text")
+    updated = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("text"))
+    added = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text")
+    new = updated.unionByName(added).withColumn("version", F.lit(2))
+    stale = new.withColumns({"text": F.lit("stale"), "version": F.lit(1)})
+    return merge(old, last_by_key(new.unionByName(stale), "doc_id", "version").select("doc_id", "text"), "doc_id")
 
 
 @query("SELECT vec_id AS unit_id, label FROM embeddings WHERE vec_id = 17")
