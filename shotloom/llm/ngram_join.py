@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm._words import U64, Words, as_long, map_texts, mix, only, settle, shared_folder, signed, windows
+from shotloom.llm._words import U64, Words, as_long, discard, map_texts, mix, only, settle, shared_folder, signed, windows
 from shotloom.llm.components import connected
 
 BUCKETS = 1 << 16
@@ -277,6 +277,8 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     classes = settle(classes, folder, "classes", release=True)
     rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
     members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
+    classes = settle(classes.select("h1", "h2", "rep"), folder, "digests")
+    discard(documents.sparkSession, folder, "classes")  # signatures are the largest table, and no longer needed
     stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
 
     ids = members.select("rep").distinct()
@@ -289,10 +291,10 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     texts = settle(packed.join(ids, "rep").groupBy("rep").agg(F.first("packed").alias("packed")), folder, "texts", release=True)
 
     best = stars.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
-    edges = settle(_verified(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), texts, width, percent), folder, "links-1")
+    edges = settle(_verified(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), texts, width, percent), folder, "links-1", release=True)
     parts = connected(edges, folder, "parts-1")
     rest = _across(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), parts).join(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-    more = settle(_verified(rest, texts, width, percent), folder, "links-2")
+    more = settle(_verified(rest, texts, width, percent), folder, "links-2", release=True)
     edges = edges.unionByName(more)
     parts = connected(edges, folder, "parts-2")
 
