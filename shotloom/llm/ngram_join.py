@@ -247,15 +247,15 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
             yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "elements", *sketch])
 
     sketch = [f"bits{k}" for k in range(SKETCH)]
-    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart")
+    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart", release=True)
     each = apart.select("centre", "rep", F.explode("elements").alias("element"))
-    common = each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1")
+    common = settle(each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1"), folder, "common", release=True)
     shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("have", "element"))).alias("shared"))  # at most a set
     # elements that no other set has come first in the order; they take up places but need no row
     left_over = F.col("first") - (F.size("elements") - F.size("shared"))
     kept = apart.join(shared, ["centre", "rep"]).withColumn("take", left_over).where("take > 0")
     rows = kept.select("centre", "rep", "n", "component", *sketch, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e"))
-    return rows.select("centre", F.col("e.element").alias("element"), "rep", "n", "component", *sketch)
+    return settle(rows.select("centre", F.col("e.element").alias("element"), "rep", "n", "component", *sketch), folder, "prefixes", release=True)
 
 
 def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
