@@ -214,7 +214,8 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
     Let d(x) be the elements in which x differs from the centre. Sets x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements, at most
     k if they link, so d(x) and d(y) share t = (|d(x)| + |d(y)| - k) / 2 or more. As their sizes differ by k at most, t >= |d(x)| - k; and
     t >= 9 |d(x)| / 19 where x links with the centre, since then y doesn't. Under any order of the elements the first |d(x)| - t + 1 of both
-    have one in common; rare elements come first. Close copies that all differ among themselves thus meet only where they share a
+    have one in common; elements that no other set has come first, then those that the centre lacks, the rarer first, then the centre's own. What
+    the centre has is left out where the rest fills the first places anyway, as it does for sets unlike the centre. Close copies that all differ among themselves thus meet only where they share a
     change, and no pairs of a group are formed for what its centre alone has.
     """
     stars = owned.where("centre < rep").select("centre", "rep", "n", "component").distinct()
@@ -225,32 +226,35 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
         unpack = zstandard.ZstdDecompressor().decompress
         last, own = None, None
         for batch in batches:
-            lists, first, sketches = [], [], []
+            lists, first, sketches, added = [], [], [], []
             for c, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if c != last:
                     w = Words([unpack(x.as_py())], lower=True)
                     last, own = c, shingle_set(w.hash, width)
                 w = Words([unpack(y.as_py())], lower=True)
                 other = shingle_set(w.hash, width)
-                d = np.setxor1d(own, other, assume_unique=True)
+                more, less = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                d = np.concatenate([more, less])
                 k = (len(other) + len(other) * 100 // percent) * (100 - percent) // (100 + percent)
                 close = len(d) * (100 + percent) <= (len(own) + len(other)) * (100 - percent)
                 shared = max(1, -(-len(d) * percent // (2 * 100)) if close else len(d) - k)
-                lists.append(as_long(d))
+                places = len(d) - min(shared, len(d)) + 1 if len(d) else 0
+                lists.append(as_long(more if len(more) >= places else d))
+                added.append(len(more))
                 bits = np.zeros(64 * SKETCH, np.uint8)
                 bits[mix(d) & U64(64 * SKETCH - 1)] = 1
                 sketches.append(np.packbits(bits).view(np.int64))
-                first.append(len(d) - min(shared, len(d)) + 1 if len(d) else 0)
+                first.append(places)
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             flat = np.stack(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
-            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64)), *(pa.array(flat[:, k]) for k in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "elements", *sketch])
+            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.array(added, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64)), *(pa.array(flat[:, k]) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "added", "elements", *sketch])
 
     sketch = [f"bits{k}" for k in range(SKETCH)]
-    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart", release=True)
-    each = apart.select("centre", "rep", F.explode("elements").alias("element"))
+    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, added int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart", release=True)
+    each = apart.select("centre", "rep", "added", F.posexplode("elements").alias("at", "element")).select("centre", "rep", (F.col("at") >= F.col("added")).alias("own"), "element")
     common = settle(each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1"), folder, "common", release=True)
-    shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("have", "element"))).alias("shared"))  # at most a set
+    shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("own", "have", "element"))).alias("shared"))  # at most a set
     # elements that no other set has come first in the order; they take up places but need no row
     left_over = F.col("first") - (F.size("elements") - F.size("shared"))
     kept = apart.join(shared, ["centre", "rep"]).withColumn("take", left_over).where("take > 0")
