@@ -214,8 +214,8 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
     Let d(x) be the elements in which x differs from the centre. Sets x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements, at most
     k if they link, so d(x) and d(y) share t = (|d(x)| + |d(y)| - k) / 2 or more. As their sizes differ by k at most, t >= |d(x)| - k; and
     t >= 9 |d(x)| / 19 where x links with the centre, since then y doesn't. Under any order of the elements the first |d(x)| - t + 1 of both
-    have one in common; elements that no other set has come first, then those that the centre lacks, the rarer first, then the centre's own. What
-    the centre has is left out where the rest fills the first places anyway, as it does for sets unlike the centre. Close copies that all differ among themselves thus meet only where they share a
+    have one in common; those that the centre lacks come first, the rarer before the others, then the centre's own, in the order of how many sets list
+    them. What the centre has isn't listed where the rest fills the first places anyway, as it does for sets unlike the centre. Close copies that all differ among themselves thus meet only where they share a
     change, and no pairs of a group are formed for what its centre alone has.
     """
     stars = owned.where("centre < rep").select("centre", "rep", "n", "component").distinct()
@@ -255,9 +255,12 @@ def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, fold
     each = apart.select("centre", "rep", "added", F.posexplode("elements").alias("at", "element")).select("centre", "rep", (F.col("at") >= F.col("added")).alias("own"), "element")
     common = settle(each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1"), folder, "common", release=True)
     shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("own", "have", "element"))).alias("shared"))  # at most a set
-    # elements that no other set has come first in the order; they take up places but need no row
-    left_over = F.col("first") - (F.size("elements") - F.size("shared"))
-    kept = apart.join(shared, ["centre", "rep"]).withColumn("take", left_over).where("take > 0")
+    # Elements without a row take up places too: those that the centre lacks and no other set has come first of all. The centre's own come after all
+    # others, those that one set lists before the rest; sets that don't list theirs have no places for them.
+    others = F.size(F.filter("shared", lambda e: ~e["own"]))
+    lacking = F.least(others, F.col("first") - F.col("added") + others)
+    owns = F.col("first") - F.size("elements") + F.size("shared") - others
+    kept = apart.join(shared, ["centre", "rep"]).withColumn("take", F.greatest(lacking, F.lit(0)) + F.greatest(owns, F.lit(0))).where("take > 0")
     rows = kept.select("centre", "rep", "n", "component", *sketch, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e"))
     return settle(rows.select("centre", F.col("e.element").alias("element"), "rep", "n", "component", *sketch), folder, "prefixes", release=True)
 

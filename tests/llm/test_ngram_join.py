@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 
 from shotloom.llm import ngram_join as N
 
@@ -60,6 +61,35 @@ def test_equals_brute_force_on_families_around_the_threshold(spark, options):
     assert got == brute(rows, width, percent)
 
 
+def met(spark, folder, sets, percent):
+    """The pairs that share an element of their prefixes; the first set is the centre."""
+    pack = zstandard.ZstdCompressor().compress
+    texts = spark.createDataFrame([(k, pack(" ".join(sorted(s)).encode())) for k, s in enumerate(sets)], "rep long, packed binary")
+    owned = spark.createDataFrame([(0, k, len(s), k) for k, s in enumerate(sets)], "centre long, rep long, n long, component long")
+    rows = N._prefixes(owned, texts, 1, percent, folder)
+    return {tuple(r) for r in N._pairs(rows, ["centre", "element"], percent).collect()}
+
+
+def test_prefixes_where_only_some_sets_list_what_the_centre_has(spark, tmp_path):
+    centre = {f"c{k}" for k in range(20)}
+    x = {f"c{k}" for k in range(7, 20)} | {"a0", "a1", "a2"}
+    y = x | {f"b{k}" for k in range(4)}
+    assert (1, 2) in met(spark, str(tmp_path / "hand"), [centre, x, y], 80)
+    rng = random.Random(3)
+    for turn, percent in enumerate((80, 80, 90)):
+        size = 40 if percent == 90 else 20
+        sets = [{f"c{k}" for k in range(size)}]
+        for f in range(12):  # removed parts over k, added parts around the number of places
+            away, base = rng.sample(range(size), rng.randrange(4, 9)), {f"f{f}-{k}" for k in range(rng.randrange(1, 5))}
+            for m in range(5):
+                out = away[: len(away) - rng.randrange(2)]
+                sets.append({f"c{k}" for k in range(size) if k not in out} | base | {f"f{f}-{m}-{k}" for k in range(rng.randrange(5))})
+        linked = {(a, b) for a in range(1, len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        star = {a for a in range(1, len(sets)) if 100 * len(sets[a] & sets[0]) >= percent * len(sets[a] | sets[0])}
+        linked = {(a, b) for a, b in linked if not {a, b} <= star}  # both in the centre's component
+        assert linked and linked <= met(spark, str(tmp_path / f"t{turn}"), sets, percent)
+
+
 def test_unlinked_copies_form_few_pairs(spark, monkeypatch):
     """A group of copies that all lie just beyond the threshold isn't compared in all pairs."""
     rows = families(7, 80, 200, [5], 0)
