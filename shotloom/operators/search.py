@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import paths as P
 from shotloom.functions import vectors as V
 
 TOP = 20
-#: Queries of a batch are held by every task; this bounds them.
+#: Queries of a block are held by every task; this bounds them.
 BATCH = 4096
 
 
@@ -40,18 +42,29 @@ def top_k(units: DataFrame, query: Sequence[float] | Column, k: int = TOP, vecto
 def top_k_batch(units: DataFrame, queries: DataFrame, k: int = TOP, vector: str = "txt_vec", id: str = "unit_id", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
     """query_id, id, distance, rank for a batch of queries against all units.
 
-    The batch is bounded (BATCH, checked); larger ones are for the caller to cut. Each task multiplies its units with all queries
-    and keeps k a query, so only k rows a query and task are shuffled.
+    Queries are cut into blocks of BATCH, the results of which are united; the driver holds the queries' vectors. Each task multiplies its
+    units with the queries of a block and keeps k a query, so only k rows a query and task are shuffled.
     """
-    rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).limit(BATCH + 1).collect()
-    if len(rows) > BATCH:
-        raise ValueError(f"a batch holds at most {BATCH} queries")
+    kind = dict(queries.dtypes)[query_id], dict(units.dtypes)[id]
+    asked = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    searched = units.select(id, vector).where(F.col(vector).isNotNull())
+    first = asked.limit(BATCH + 1).collect()
+    rows = iter(first) if len(first) <= BATCH else asked.toLocalIterator()
+    near = [searched.mapInPandas(_nearest(list(islice(rows, BATCH)), k, vector, id), f"query_id {kind[0]}, id {kind[1]}, distance double")]
+    while block := list(islice(rows, BATCH)):
+        near.append(searched.mapInPandas(_nearest(block, k, vector, id), near[0].schema))
+    united = reduce(DataFrame.union, near)
+    ranked = united.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias(query_id), F.col("id").alias(id), "distance", "rank")
+
+
+def _nearest(rows: list[Row], k: int, vector: str, id: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's k nearest units of each query (id, vector)."""
     names = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     usable = np.flatnonzero(norms[:, 0] > 0)
     matrix = (matrix / np.where(norms > 0, norms, 1))[usable]
-    kind = dict(queries.dtypes)[query_id], dict(units.dtypes)[id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[tuple[np.ndarray, np.ndarray]] = []
@@ -71,9 +84,7 @@ def top_k_batch(units: DataFrame, queries: DataFrame, k: int = TOP, vector: str
         for q, (d, own) in enumerate(best):
             yield pd.DataFrame({"query_id": [names[usable[q]]] * len(own), "id": own, "distance": d})
 
-    near = units.select(id, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query_id {kind[0]}, id {kind[1]}, distance double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("query_id").alias(query_id), F.col("id").alias(id), "distance", "rank")
+    return run
 
 
 def results(found: DataFrame) -> DataFrame:

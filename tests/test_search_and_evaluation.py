@@ -177,3 +177,12 @@ def test_motion(spark):
     flows = spark.createDataFrame([("s", k, 1.0, 0.0) for k in range(4)] + [("s", k, 1.0, 0.0) for k in range(4)], "shot_id string, frame int, dx double, dy double")
     row = scenes.motion(flows).first()
     assert row["flow_mean"] == 1.0 and row["global_ratio"] == 1.0 and row["shakiness"] == 0.0 and sum(row["direction_histogram"]) == 8
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    units = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 5)))], "unit_id long, txt_vec array<double>")
+    asked = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(11, 5)))], "query_id long, query_vec array<double>").repartition(3)
+    whole = search.top_k_batch(units, asked, 4).collect()
+    monkeypatch.setattr(search, "BATCH", 3)
+    assert sorted(search.top_k_batch(units, asked, 4).collect()) == sorted(whole) and len(whole) == 44
