@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
 Candidate blocks are the words around license cue words. A block is compressed alone and with each template as zstandard's raw dictionary;
-templates are ranked by the bytes that they save, and the first ones are confirmed by their exact wording: the words that block and template
+templates are ranked by the bytes that they save, and confirmed by their exact wording, the first ones together and then one by one until one is: the words that block and template
 share in order, and every word that was changed, added or left out. What a confirmed match covers is cut out and both sides are searched
 again, so repeated and neighbouring licenses are each found.
 
@@ -16,6 +16,7 @@ are code points, end exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping
 from difflib import SequenceMatcher
 
@@ -43,7 +44,7 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
 }
-CUE = r"(?i)licen[sc]e|copyright|redistribut|permission|all rights reserved"
+CUE = r"(?i)licen[sc]e|copyright|redistribut|permission|all[\W_]+rights[\W_]+reserved"
 _cue = re.compile(CUE)
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
@@ -79,6 +80,23 @@ class Scanner:
     def confirm(self, words: list[str], name: str) -> tuple[float, int, int, str] | None:
         """Share of the template found in order, first and end word of the match, and the differences."""
         template = self.words[name]
+        if found := self._aligned(template, words):
+            return found
+        # words of the template elsewhere led the alignment astray: from each of its words as much as a match may span, the densest first
+        span, wanted = 2 * len(template) + 8, set(template)
+        starts = []
+        for k, w in enumerate(words):
+            if w in wanted and len(words) > span:
+                shared = (Counter(template) & Counter(words[k : k + span])).total()
+                if shared >= self.cover * len(template):
+                    starts.append((-shared, k))
+        for _, k in sorted(starts):
+            if found := self._aligned(template, words[k : k + span]):
+                share, begin, end, changed = found
+                return share, begin + k, end + k, changed
+        return None
+
+    def _aligned(self, template: list[str], words: list[str]) -> tuple[float, int, int, str] | None:
         parts = SequenceMatcher(None, template, words, autojunk=False).get_opcodes()
         same = [(i1, i2, j1, j2) for op, i1, i2, j1, j2 in parts if op == "equal"]
         if not same or sum(i2 - i1 for i1, i2, *_ in same) < self.cover * len(template):
@@ -93,7 +111,7 @@ class Scanner:
         """Word spans around cues, merged, and cut into overlapping parts of at most 8 reaches."""
         spans: list[list[int]] = []
         for k, w in enumerate(raw):
-            if _cue.search(w) or w.lower() == "all" and plain(" ".join(raw[k : k + 3])) == "all rights reserved":
+            if _cue.search(w) or words[k : k + 3] == ["all", "rights", "reserved"]:
                 a, e = max(0, k - self.reach), min(len(raw), k + self.reach + 1)
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = e
@@ -114,8 +132,10 @@ class Scanner:
             if e - a < 3 or not any(_cue.search(w) for w in raw[a:e]) and "reserved" not in words[a:e]:
                 continue
             best = None
-            for saved, name in self.savings(words[a:e])[: self.first]:
-                if saved >= self.least and (m := self.confirm(words[a:e], name)) and (best is None or (m[0], saved) > (best[1][0], best[0])):
+            for rank, (saved, name) in enumerate(self.savings(words[a:e])):
+                if saved < self.least or best and rank >= self.first:
+                    break
+                if (m := self.confirm(words[a:e], name)) and (best is None or (m[0], saved) > (best[1][0], best[0])):
                     best = saved, m, name
             if best:
                 saved, (share, i, j, changed), name = best

@@ -32,6 +32,26 @@ def test_ranking_by_savings():
     assert saved[0][1] == "GPL-3.0" and saved == sorted(saved, key=lambda x: (-x[0], x[1]))
 
 
+def test_short_license_beside_parts_of_longer_ones():
+    part = {n: " ".join(w[: int(len(w) * 0.6)]) for n, w in ((n, t.split()) for n, t in L.TEMPLATES.items())}
+    text = f"{part['GPL-header']} and so on. {part['Apache-2.0-header']} and others. Released under the MIT License. {part['MIT-grant']} it says."
+    s = L.Scanner()
+    assert "MIT" in {x[2] for x in s.scan(text)}
+
+
+def test_words_of_a_template_far_off_do_not_hide_a_match():
+    wording = L.TEMPLATES["CC0-1.0"].split()
+    near = " ".join(w if k % 5 != 4 or k > 15 else "x" for k, w in enumerate(wording))
+    text = " ".join(wording[:8]) + " filler" * 45 + " " + near
+    found = L.Scanner().confirm([L.plain(w) for w in text.split()], "CC0-1.0")
+    assert found and found[1:3] == (53, 53 + len(wording))
+
+
+def test_cue_over_line_ends(spark):
+    text = "All rights\n  reserved. No part of this work may be reproduced without asking."
+    assert [r["license"] for r in L.scan(spark.createDataFrame([(1, text)], SCHEMA)).collect()] == ["Proprietary"]
+
+
 def test_query_form(spark):
     text = "Released under the MIT License."
     long = "plain words here " * 50000 + text
