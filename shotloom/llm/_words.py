@@ -183,10 +183,19 @@ def settle(df: DataFrame, folder: str, name: str, release: bool = False) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, folder: str, name: str) -> None:
-    """Delete a settled table that no later step reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete settled tables that no later step reads."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for further columns, with underscores added to all until none is taken."""
+    taken, tail = {c.lower() for c in columns}, "_"
+    while taken & {n + tail for n in names}:
+        tail += "_"
+    return [n + tail for n in names]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

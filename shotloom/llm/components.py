@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm._words import settle
+from shotloom.llm._words import discard, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def _mark(edges: DataFrame) -> tuple:
 def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """edges(a, b) of longs to (node, component): the least node reachable. Nodes without edges are left out; loops and repeats are allowed."""
     own = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    own = settle(own, folder, f"{name}-0")
+    own = settle(own, folder, f"{name}/0")
     seen, k = _mark(own), 0
     while seen[0]:
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,8 @@ def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         k += 1
-        own = settle(small.where("u <> v").distinct(), folder, f"{name}-{k}")
+        own = settle(small.where("u <> v").distinct(), folder, f"{name}/{k}")
+        discard(own.sparkSession, folder, f"{name}/{k - 1}")
         now = _mark(own)
         if now == seen:
             break

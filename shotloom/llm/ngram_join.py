@@ -4,23 +4,30 @@ A document is the set of its distinct word shingles. Two sets link when 100 * |a
 
 Sizes are cut into bands such that linked sets lie in one band or in neighbouring ones; instance i serves bands i - 1 and i, so a
 set takes part in two instances. In an instance, linked sets differ in at most k elements (k follows from the band's upper
-size). The shingle domain is hashed into n1 = k // (level + 1) + 1 groups of n2 parts; in at least one group at most ``level`` elements, hence at
-most ``level`` parts, differ. A set therefore emits, for each group, one signature for each subset of n2 - level parts: the hash of its
-elements there. Linked sets share at least one signature. With subsets of one part, spare groups let sets leave out their empty parts.
+size). The shingle domain is hashed into groups of n2 = 3 parts; in at least one group at most ``level`` elements, hence at most
+``level`` = 1 parts, differ. A set therefore emits, for each group, one signature for each subset of n2 - level parts: the hash of its
+elements there. Linked sets share at least one signature. Spare groups let sets leave out the subsets whose parts are all empty.
 
 Steps, each bounded in memory and written to the shared folder:
-1. the texts give set digests and signatures; equal sets become one class, aggregated before the shuffle;
-2. classes that share a signature are linked to the least of them as candidates. A fixed array of 65,536 counts finds buckets that a
-   frequent signature dominates, and only those are salted: minima over salts come first, then the signature's;
-3. candidates are compared exactly, best centre first; components are formed; then the remaining candidates across components;
-4. last, pairs across components that share a signature without either being its centre: directly where the signature has a few sets,
-   else by the rarest elements in which sets differ from their centre (see ``_prefixes``) and a sketch of all of them, which are exact too,
-   as they only leave out what cannot link. Each round leaves out what is already joined, so a large group of close copies is compared about once a member, never in all pairs.
+1. equal sets become one class, aggregated before the shuffle. A class has its size, a sketch of 512 bits and its text, compressed;
+2. signatures are made from the classes in ``rounds`` slices of the hash domain, so that only a slice is on disk at a time, and kept where two classes
+   share them. A fixed array of 65,536 counts over all signatures finds buckets that a frequent signature dominates; those are counted
+   by partial aggregates and a join that the engine may split, the others by a window;
+3. each signature's classes have a centre: that of them which shares the most over all its signatures, so a family of near copies
+   has few centres. Every class is compared with its centres. A sketch holds, for each of its bits, the parity of the number of elements
+   hashed to it; two sketches thus differ in no more bits than their sets in elements, and pairs whose sketches differ
+   in more than linked sets may are left out before any text moves. The rest is compared exactly, and components are formed;
+4. last, pairs that share a signature without either being its centre, where components still differ. Sketches are compared directly where the
+   signature has up to ``few_members`` sets (at most half as many comparisons a row, which cost less than what follows), and above that
+   only where two sets share one of the rarest elements in which they differ from their centre (see ``_prefixes``). Both are exact, as
+   they only leave out what cannot link; texts of what remains are compared.
+
+A centre's text is sent once for each ``RUN`` of its members, next to which they are sorted. No cap is set on partners or candidates.
 
 Defined results: case is folded for A-Z only. A null or empty text, or one without words, has 0 shingles and links with nothing: its
-component is its own doc_id. Repeated rows are equal sets. Each row gets the component of its text; texts whose least ids
-coincide are one. A null id takes part through its text, and its component is the least id linked with it, null if there is none. An empty
-table gives an empty one. Texts of any length are taken whole; further columns are ignored.
+component is its own doc_id. Repeated rows are equal sets. Each row gets the component of its text. A null id takes part through its text,
+and its component is the least id linked with it, null if there is none. An empty table gives an empty one. Texts of any length are
+taken whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,11 +43,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from shotloom.llm._words import U64, Words, as_long, discard, map_texts, mix, only, settle, shared_folder, signed, windows
+from shotloom.llm._words import U64, Words, as_long, chunks, discard, fresh, map_texts, mix, only, settle, shared_folder, signed, windows
 from shotloom.llm.components import connected
 
 BUCKETS = 1 << 16
+#: Longs of a sketch.
+SKETCH = 8
+#: Members of a centre that are sorted next to one copy of its text.
+RUN = 64
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -60,13 +72,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (small + large - shared)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH places, the parity of the number of elements hashed to it."""
+    odd = np.bincount((mix(s + U64(77)) & U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class PartEnum:
     """Signatures for one threshold; ``parts`` (n2) and ``level`` (k2) choose the subsets."""
 
-    def __init__(self, percent: int = 90, parts: int = 2, level: int = 1) -> None:
+    def __init__(self, percent: int = 90, parts: int = 3, level: int = 1) -> None:
         self.percent, self.parts, self.level = percent, parts, level
         self.lows = [1]  # the least size of each band
-        self.subsets = list(itertools.combinations(range(parts), parts - level))
+        self.subsets = [list(c) for c in itertools.combinations(range(parts), parts - level)]
 
     def band(self, size: int) -> int:
         while self.lows[-1] <= size:
@@ -79,21 +97,25 @@ class PartEnum:
     @functools.lru_cache(maxsize=4096)  # noqa: B019
     def groups(self, band: int) -> tuple[int, int]:
         """The most elements in which linked sets of this instance differ, and its number of groups."""
-        self.band(self.lows[min(band, len(self.lows) - 1)])
         while len(self.lows) <= band:
             self.lows.append(self.high(len(self.lows) - 1) + 1)
         # |a ^ b| = S - 2 |a & b| with S = |a| + |b| and |a & b| >= S * p / (100 + p)
         k = 2 * self.high(band) * (100 - self.percent) // (100 + self.percent)
-        # more groups than needed, by about three times the parts that will be empty in the least sets of this instance
-        spare = math.ceil(3 * (k + 1) * math.exp(-self.lows[max(0, band - 1)] / (k + 1))) if self.parts - self.level == 1 else 0
-        return k, (k + spare) // (self.level + 1) + 1
+        least = k // (self.level + 1) + 1
+        # spare groups, so many that the least sets of this instance seldom have as many groups with a subset of empty parts
+        for spare in range(least):
+            chance = len(self.subsets) * math.exp(-(self.parts - self.level) * self.lows[max(0, band - 1)] / (self.parts * (least + spare)))
+            barren = (least + spare) * min(1.0, chance)
+            if barren + 3 * math.sqrt(barren) < 1 + spare:
+                return k, least + spare
+        return k, least
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set; none where only equal sets can link."""
         if not len(s):
             return np.zeros(0, U64)
         own, out = self.band(len(s)), []
-        where = mix(s ^ U64(0xA5A5A5A55A5A5A5A))
+        where = mix(s ^ U64(0xA5A5A5A55A5A5A5A)) >> U64(32)
         value = mix(s + U64(0x1234567))
         low, high = (value & U64(0xFFFFFFFF)).astype(np.float64), (value >> U64(32)).astype(np.float64)
         for instance in (own, own + 1):
@@ -101,231 +123,256 @@ class PartEnum:
             if k == 0:
                 continue
             cells = groups * self.parts
-            part = ((where >> U64(32)) * U64(cells) >> U64(32)).astype(np.int64)
+            part = (where * U64(cells) >> U64(32)).astype(np.int64)
             # sums of 32-bit halves are exact in doubles up to 2**21 elements a part
             total = np.bincount(part, low, cells).astype(U64) + (np.bincount(part, high, cells).astype(U64) << U64(32))
             total = mix(total + np.arange(cells, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(instance << 20)).reshape(groups, self.parts)
-            if self.parts - self.level == 1:
-                # Linked sets agree in cells - k parts or more. A set with fewer empty parts than that agrees with any partner in one that is
-                # not empty, so its empty parts, which unrelated sets have as well, need no signatures.
-                empty = np.bincount(part, minlength=cells) == 0
-                if 0 < empty.sum() < cells - k:
-                    out.append(mix(total.ravel()[~empty] + U64(1)))
-                    continue
+            empty = (np.bincount(part, minlength=cells) == 0).reshape(groups, self.parts)
+            # Linked sets differ in at most ``level`` parts in all groups but k // (level + 1). A set with fewer groups that hold a subset of empty parts
+            # than those has one of them without such a subset, and shares that, so its empty subsets, which unrelated sets have as well, are left out.
+            barren = int((empty.sum(1) >= self.parts - self.level).sum())
+            some = 0 < barren < groups - k // (self.level + 1)
             for subset in self.subsets:
-                out.append(mix(total[:, list(subset)].sum(1, dtype=U64) + U64(len(subset))))
+                found = mix(total[:, subset].sum(1, dtype=U64) + U64(len(subset)))
+                out.append(found[~empty[:, subset].all(1)] if some else found)
         return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def sets(documents: DataFrame, width: int = 3, enum: PartEnum | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's digest) and its signatures (none without ``enum``)."""
+def sets(documents: DataFrame, width: int = 3, whole: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, h1, h2 (the set's digest); with ``whole`` the sketch and the compressed text as well."""
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
         w = Words(texts, lower=True)
         found = [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        signs = [as_long(enum.signatures(s) if enum else s[:0]) for s in found]
-        ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
+        shrink = zstandard.ZstdCompressor(level=3).compress
         return {
             "doc_id": part.column(0),
             "n_shingles": [len(s) for s in found],
             "h1": [signed(int(mix(s + U64(11)).sum(dtype=U64))) for s in found],
             "h2": [signed(int(mix(s + U64(23)).sum(dtype=U64))) for s in found],
-            "signs": pa.ListArray.from_arrays(ends, np.concatenate(signs) if signs else np.zeros(0, np.int64)),
-        }
+        } | ({"bits": [sketch(s).tolist() for s in found], "packed": [shrink(t) for t in texts]} if whole else {})
 
-    return map_texts(only(documents, id, text), work, "doc_id long, n_shingles long, h1 long, h2 long, signs array<long>", text)
+    return map_texts(only(documents, id, text), work, "doc_id long, n_shingles long, h1 long, h2 long" + (", bits array<long>, packed binary" if whole else ""), text)
 
 
-def _salted(rows: DataFrame, salts: int, floor: int) -> DataFrame:
-    """Adds ``salt``: -1, but spread over ``salts`` values (and a column ``hot``) where the signature's bucket holds far more rows than the others."""
-    counts = rows.groupBy(F.pmod("sign", F.lit(BUCKETS)).alias("bucket")).count()
-    mean = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r["bucket"] for r in counts.where(F.col("count") > max(floor, 8 * mean // BUCKETS)).collect()]  # at most BUCKETS numbers
-    if not hot:
-        return rows.withColumn("salt", F.lit(-1))
-    spread = F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")
-    return rows.withColumns({"salt": F.when(F.pmod("sign", F.lit(BUCKETS)).isin(hot), spread).otherwise(F.lit(-1)), "hot": F.lit(True)})
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches whose last column is a compressed text, with the texts' sets."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for part in chunks(batch, batch.num_columns - 1, 1 << 19):
+            w = Words([unpack(x.as_py()) for x in part.column(part.num_columns - 1)], lower=True)
+            yield part, [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def _centred(rows: DataFrame, salts: int, floor: int) -> DataFrame:
-    """Rows of the signatures that two sets or more have, with ``centre``: the least of their sets, and ``size``: how many they are.
+def _frequent(classes: DataFrame, enum: PartEnum, width: int, floor: int, folder: str) -> list[int]:
+    """The buckets that hold far more signatures than the others; tasks send counts of at most BUCKETS buckets."""
 
-    Signatures in a bucket that a frequent one dominates take another way: minima over salts, then over the signature, and a join whose large
-    side the engine may split.
-    """
-    salted = _salted(rows, salts, floor)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(BUCKETS, np.int64)
+        for _, found in _unpacked(batches, width):
+            signs = np.concatenate([enum.signatures(s) for s in found]) if found else np.zeros(0, U64)
+            have += np.bincount((signs & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(have[at])], names=["bucket", "n"])
+
+    counts = classes.select("packed").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = settle(counts, folder, "buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) // BUCKETS
+    return [r["bucket"] for r in counts.where(F.col("n") > max(floor, 8 * mean)).collect()]  # under BUCKETS / 8 numbers
+
+
+def _signed(classes: DataFrame, enum: PartEnum, width: int, rounds: int, turn: int) -> DataFrame:
+    """(sign, node) of the signatures of one slice of the hash domain; each once a class."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _unpacked(batches, width):
+            signs = [np.unique(enum.signatures(s)) for s in found]
+            signs = [x[x % U64(rounds) == U64(turn)] for x in signs] if rounds > 1 else signs
+            node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
+
+    return classes.select("node", "packed").mapInArrow(emit, "sign long, node long")
+
+
+def _shared(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """(sign, node, size): the rows of signatures that two classes or more have, and how many have them."""
     same = Window.partitionBy("sign")
-    cold = salted.where("salt < 0").drop("salt").withColumns({"centre": F.min("rep").over(same), "size": F.count("*").over(same)}).where("size > 1")
-    if "hot" not in salted.columns:
-        return cold
-    hot = salted.where("salt >= 0")
-    least = hot.groupBy("sign", "salt").agg(F.min("rep").alias("m"), F.count("*").alias("k")).groupBy("sign").agg(F.min("m").alias("centre"), F.sum("k").alias("size")).where("size > 1")
-    return cold.drop("hot").unionByName(hot.drop("hot", "salt").join(least, "sign"))
+    if not hot:
+        return rows.withColumn("size", F.count("*").over(same)).where("size > 1")
+    dominated = F.col("sign").bitwiseAND(F.lit(BUCKETS - 1)).isin(hot)
+    cold = rows.where(~dominated).withColumn("size", F.count("*").over(same)).where("size > 1")
+    often = rows.where(dominated)
+    return cold.unionByName(often.join(often.groupBy("sign").agg(F.count("*").alias("size")).where("size > 1"), "sign"))
+
 
+def _centred(shared: DataFrame) -> DataFrame:
+    """Adds ``centre``: of a signature's classes, the one that shares most over all its signatures, the least node of equals."""
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    least = shared.join(weight, "node").groupBy("sign").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
+    return shared.join(least, "sign")
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts link. Rows are grouped by a within a task, so that a's set is built once for a run of them."""
-    left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("left"))
-    right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("right"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+
+def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
+    """(a, b) and what fn(a's set, b's set) returns for the pairs where it isn't None.
+
+    The rows of an a are dealt in runs of about RUN, and each run is sorted behind one copy of a's text, whose set is built once.
+    """
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs"))
+    heads = runs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")).withColumn("b", F.lit(None).cast("long"))
+    rows = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
+    texts = classes.select("node", "packed")
+    both = heads.join(texts, F.col("a") == F.col("node")).unionByName(rows.join(texts, F.col("b") == F.col("node"))).select("a", "run", "b", "packed")
+    both = both.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        last, own = None, None
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        def load(packed: bytes) -> np.ndarray:
-            w = Words([unpack(packed)], lower=True)
-            return shingle_set(w.hash, width)
+        from shotloom.llm._words import _ddl
 
-        for batch in batches:
+        out, own = to_arrow_schema(_ddl(f"a long, b long{schema}")), None
+        for part, found in _unpacked(batches, width):
             keep = []
-            for k, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if a != last:
-                    last, own = a, load(x.as_py())
-                if linked(own, load(y.as_py()), percent):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for a, b, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), found, strict=True):
+                if b is None:
+                    own = s
+                elif (row := fn(own, s)) is not None:
+                    keep.append((a, b, *row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], f.type) for k, f in enumerate(out)], schema=out)
 
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(work, f"a long, b long{schema}")
 
 
-#: Longs of a difference's sketch.
-SKETCH = 8
+def _verified(pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts link."""
+    return _beside(pairs, classes, width, lambda x, y: () if linked(x, y, percent) else None, "")
 
 
-def _pairs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of rows that agree in the keys, are in different components and of sizes that can link.
+def _close(percent: int) -> Column:
+    """Whether sets of the sizes an and bn with the sketches abits and bbits may link: each bit in which they differ is an element of one set alone."""
+    apart = reduce(Column.__add__, (F.bit_count(F.col("abits")[k].bitwiseXOR(F.col("bbits")[k])) for k in range(SKETCH)))
+    return (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
 
-    Where rows have sketches (a bit for the place of each element in which a set differs from the centre), each bit in which two sketches
-    differ is an element of one set alone, so pairs with more such bits than linked sets may have are left out at once.
-    """
-    sketch = [c for c in rows.columns if c.startswith("bits")]
-    a, b = (rows.select(*keys, *(F.col(c).alias(f"{x}{c}") for c in ("rep", "n", "component", *sketch))) for x in "ab")
-    close = (F.col("arep") < F.col("brep")) & (F.col("acomponent") != F.col("bcomponent")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    if sketch:
-        apart = reduce(Column.__add__, (F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in sketch))
-        close &= apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent)
-    return a.join(b, keys).where(close).select(F.col("arep").alias("a"), F.col("brep").alias("b"))
 
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and sketches let link."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}bits")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_close(percent)).select("a", "b")
 
-def _prefixes(owned: DataFrame, texts: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
-    """Rows (centre, element, rep, n, component) such that linked sets of one centre and of different components share an element.
+
+def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """Rows (centre, element, node) such that linked sets of one centre and of different components share an element; stars(a, b) are its members.
 
     Let d(x) be the elements in which x differs from the centre. Sets x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| elements, at most
-    k if they link, so d(x) and d(y) share t = (|d(x)| + |d(y)| - k) / 2 or more. As their sizes differ by k at most, t >= |d(x)| - k; and
-    t >= 9 |d(x)| / 19 where x links with the centre, since then y doesn't. Under any order of the elements the first |d(x)| - t + 1 of both
-    have one in common; those that the centre lacks come first, the rarer before the others, then the centre's own, in the order of how many sets list
-    them. What the centre has isn't listed where the rest fills the first places anyway, as it does for sets unlike the centre. Close copies that all differ among themselves thus meet only where they share a
-    change, and no pairs of a group are formed for what its centre alone has.
+    k if they link, so d(x) and d(y) share t = (|d(x)| + |d(y)| - k) / 2 or more. As |d(y)| >= |d(x)| - k, t >= |d(x)| - k; and
+    t > |d(x)| * p / (100 + p) where x links with the centre, since then y doesn't. Under any order of the elements the first |d(x)| - t + 1 of
+    both have one in common. The order is one for all sets of a centre: elements that the centre lacks come first, then the centre's own; within
+    both, those that fewer sets list before the others. What the centre has isn't listed by sets whose other elements fill the first
+    places anyway; that makes their own first places no different, and the places of such elements only follow from counts. Elements that one
+    set alone lists can't be shared and have no row. Close copies that all differ among themselves thus meet only where they share a change.
     """
-    stars = owned.where("centre < rep").select("centre", "rep", "n", "component").distinct()
-    left = texts.select(F.col("rep").alias("centre"), F.col("packed").alias("left"))
-    both = stars.join(texts, "rep").join(left, "centre").select("centre", "rep", "n", "component", "left", "packed")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        last, own = None, None
-        for batch in batches:
-            lists, first, sketches, added = [], [], [], []
-            for c, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                if c != last:
-                    w = Words([unpack(x.as_py())], lower=True)
-                    last, own = c, shingle_set(w.hash, width)
-                w = Words([unpack(y.as_py())], lower=True)
-                other = shingle_set(w.hash, width)
-                more, less = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
-                d = np.concatenate([more, less])
-                k = (len(other) + len(other) * 100 // percent) * (100 - percent) // (100 + percent)
-                close = len(d) * (100 + percent) <= (len(own) + len(other)) * (100 - percent)
-                shared = max(1, -(-len(d) * percent // (2 * 100)) if close else len(d) - k)
-                places = len(d) - min(shared, len(d)) + 1 if len(d) else 0
-                lists.append(as_long(more if len(more) >= places else d))
-                added.append(len(more))
-                bits = np.zeros(64 * SKETCH, np.uint8)
-                bits[mix(d) & U64(64 * SKETCH - 1)] = 1
-                sketches.append(np.packbits(bits).view(np.int64))
-                first.append(places)
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.stack(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
-            arrays = [*batch.columns[:4], pa.array(first, pa.int32()), pa.array(added, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(lists) if lists else np.zeros(0, np.int64)), *(pa.array(flat[:, k]) for k in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["centre", "rep", "n", "component", "first", "added", "elements", *sketch])
-
-    sketch = [f"bits{k}" for k in range(SKETCH)]
-    apart = settle(both.mapInArrow(work, "centre long, rep long, n long, component long, first int, added int, elements array<long>" + "".join(f", {c} long" for c in sketch)), folder, "apart", release=True)
-    each = apart.select("centre", "rep", "added", F.posexplode("elements").alias("at", "element")).select("centre", "rep", (F.col("at") >= F.col("added")).alias("own"), "element")
+    def apart(own: np.ndarray, other: np.ndarray) -> tuple:
+        more, less = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+        d = len(more) + len(less)
+        if d * (100 + percent) <= (len(own) + len(other)) * (100 - percent):
+            places = d - d * percent // (100 + percent) if d else 0
+        else:
+            k = (len(other) + len(other) * 100 // percent) * (100 - percent) // (100 + percent)
+            places = min(d, k + 1)
+        return places, len(more), as_long(more if len(more) >= places else np.concatenate([more, less]))
+
+    lists = settle(_beside(stars, classes, width, apart, ", first int, added int, elements array<long>"), folder, "apart", release=True)
+    each = lists.select(F.col("a").alias("centre"), F.col("b").alias("node"), "added", F.posexplode("elements").alias("at", "element")).select("centre", "node", (F.col("at") >= F.col("added")).alias("own"), "element")
     common = settle(each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1"), folder, "common", release=True)
-    shared = each.join(common, ["centre", "element"]).groupBy("centre", "rep").agg(F.sort_array(F.collect_list(F.struct("own", "have", "element"))).alias("shared"))  # at most a set
-    # Elements without a row take up places too: those that the centre lacks and no other set has come first of all. The centre's own come after all
-    # others, those that one set lists before the rest; sets that don't list theirs have no places for them.
+    met = each.join(common, ["centre", "element"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("own", "have", "element"))).alias("shared"))  # at most a set
+    # Elements without a row take up places too: of those that the centre lacks, the ones that no other set has come first; of the centre's own, those that one set lists.
     others = F.size(F.filter("shared", lambda e: ~e["own"]))
     lacking = F.least(others, F.col("first") - F.col("added") + others)
     owns = F.col("first") - F.size("elements") + F.size("shared") - others
-    kept = apart.join(shared, ["centre", "rep"]).withColumn("take", F.greatest(lacking, F.lit(0)) + F.greatest(owns, F.lit(0))).where("take > 0")
-    rows = kept.select("centre", "rep", "n", "component", *sketch, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("e"))
-    return settle(rows.select("centre", F.col("e.element").alias("element"), "rep", "n", "component", *sketch), folder, "prefixes", release=True)
+    kept = lists.select(F.col("a").alias("centre"), F.col("b").alias("node"), "first", "added", "elements").join(met, ["centre", "node"])
+    kept = kept.withColumn("take", F.greatest(lacking, F.lit(0)) + F.greatest(owns, F.lit(0))).where("take > 0")
+    rows = kept.select("centre", "node", F.explode(F.slice("shared", F.lit(1), F.col("take"))["element"]).alias("element"))
+    rows = settle(rows.select("centre", "element", "node"), folder, "prefixes", release=True)
+    discard(rows.sparkSession, folder, "apart", "common")
+    return rows
 
 
-def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    if parts is None:
-        return pairs
-    a, b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+def _meet(rows: DataFrame, keys: list[str], about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows that agree in the keys, are in different components and may link by their sizes and sketches."""
+    full = rows.select(*keys, "node").join(about, "node")
+    a, b = (full.select(*keys, *(F.col(c).alias(x + c) for c in ("node", "n", "component", "bits"))) for x in "ab")
+    return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & _close(percent)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
 
-def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, salts: int = 64, floor: int = 200_000, few_members: int = 12, text: str = "text", id: str = "doc_id") -> DataFrame:
+def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 2, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets."""
-    enum = enum or PartEnum(percent)
-    folder = shared_folder(documents.sparkSession)
-    base = settle(sets(documents, width, None, text, id).drop("signs"), folder, "sets")
-    some = sets(documents, width, enum, text, id).where("n_shingles > 0")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signs").alias("signs")).where("rep is not null")
-    classes = settle(classes, folder, "classes", release=True)
-    rows = classes.select(F.explode("signs").alias("sign"), "rep", "n")
-    members = settle(_centred(rows, salts, floor).select("sign", "centre", "rep", "n", "size"), folder, "members", release=True)
-    classes = settle(classes.select("h1", "h2", "rep"), folder, "digests")
-    discard(documents.sparkSession, folder, "classes")  # signatures are the largest table, and no longer needed
-    stars = settle(members.where("centre < rep").groupBy("centre", "rep").agg(F.count("*").alias("shared")), folder, "stars")
-
-    ids = members.select("rep").distinct()
-
-    def pack(part: pa.RecordBatch, texts: list[bytes]) -> dict:
-        shrink = zstandard.ZstdCompressor(level=3).compress
-        return {"rep": part.column(0), "packed": [shrink(t) for t in texts]}
-
-    packed = map_texts(only(documents, id, text).where(F.col(id).isNotNull()), pack, "rep long, packed binary", text)
-    texts = settle(packed.join(ids, "rep").groupBy("rep").agg(F.first("packed").alias("packed")), folder, "texts", release=True)
-
-    best = stars.groupBy("rep").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre"))
-    edges = settle(_verified(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), texts, width, percent), folder, "links-1", release=True)
+    enum, spark = enum or PartEnum(percent), documents.sparkSession
+    folder = shared_folder(spark)
+    some = sets(documents, width, True, text, id).where("n_shingles > 0")
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes", release=True)  # fixed once written
+
+    hot = _frequent(classes, enum, width, floor, folder)
+    turns = [settle(_shared(_signed(classes, enum, width, rounds, k), hot), folder, f"shared-{k}", release=True) for k in range(rounds)]
+    members = settle(_centred(reduce(DataFrame.unionByName, turns)), folder, "members", release=True)
+    discard(spark, folder, *(f"shared-{k}" for k in range(rounds)))
+
+    stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars = settle(_sketched(stars, classes, percent), folder, "stars", release=True)
+    edges = settle(_verified(stars, classes, width, percent), folder, "links-1", release=True)
     parts = connected(edges, folder, "parts-1")
-    rest = _across(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), parts).join(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-    more = settle(_verified(rest, texts, width, percent), folder, "links-2", release=True)
-    edges = edges.unionByName(more)
-    parts = connected(edges, folder, "parts-2")
 
     # pairs that share a signature of which neither is the centre, across components
-    owned = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = owned.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
-    owned = settle(owned.join(mixed, "sign").select("sign", "centre", "rep", "n", "size", "component"), folder, "mixed", release=True)
-    few = owned.where(F.col("size") <= few_members)
-    rest = _pairs(few, ["sign"], percent).unionByName(_pairs(_prefixes(owned.where(F.col("size") > few_members), texts, width, percent, folder), ["centre", "element"], percent)).distinct()
-    rest = rest.join(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-    more = settle(_verified(rest, texts, width, percent), folder, "links-3", release=True)
-    parts = connected(edges.unionByName(more), folder, "parts-3")
-
-    least = classes.select("h1", "h2", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = base.join(least, ["h1", "h2"], "left")
+    owned = settle(members.join(mixed, "sign"), folder, "mixed", release=True)
+    about = classes.select("node", "n", "bits").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few = settle(_meet(owned.where(F.col("size") <= few_members), ["sign"], about, percent).distinct(), folder, "few", release=True)
+    many = owned.where((F.col("size") > few_members) & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, percent).unionByName(few).distinct()
+    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
+    parts = connected(edges.unionByName(more), folder, "parts-2")
+
+    least = classes.select("h1", "h2", "rep", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = settle(least.join(lowest, "component").select("h1", "h2", "component_id"), folder, "least", release=True)
+    discard(spark, folder, "buckets", "classes", "members", "stars", "links-1", "parts-1", "mixed", "few", "prefixes", "rest", "links-2", "parts-2")
+    out = sets(documents, width, False, text, id).join(least, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
 
 
-def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """One document of each linked group, that with the least id, with all its columns; one row of those that share its id.
+def _digested(documents: DataFrame, width: int, names: tuple[str, str, str], text: str) -> DataFrame:
+    """The rows with the number of shingles and the digest of their sets in further columns."""
+    at, columns = documents.columns.index(text), documents.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, at, 1 << 20):
+                w = Words([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()], lower=True)
+                found = [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                more = [[len(s) for s in found], *([signed(int(mix(s + U64(salt)).sum(dtype=U64))) for s in found] for salt in (11, 23))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in more)], names=[*columns, *names])
+
+    return documents.mapInArrow(work, StructType([*documents.schema.fields, *(StructField(n, LongType()) for n in names)]))
+
+
+def representatives(documents: DataFrame, width: int = 3, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """One document of each linked group, that with the least id, with all its columns.
 
-    Documents without words stay, and so do rows without an id.
+    Rows with one id and different sets are different documents. Of rows with one id and one set one stays, the least when all columns are read as
+    strings. Documents without words stay, and so do rows without an id.
     """
-    found = link(documents, text=text, id=id, **options)
-    keep = found.where("doc_id is not null and (n_shingles = 0 or doc_id = component_id)").select(F.col("doc_id").alias(id)).distinct()
-    named = documents.where(F.col(id).isNotNull()).join(keep, id, "left_semi").dropDuplicates([id]).select(documents.columns)
-    return named.unionByName(documents.where(F.col(id).isNull()))
+    columns, spark = documents.columns, documents.sparkSession
+    n, h1, h2, times, row = fresh(columns, "n", "h1", "h2", "times", "row")
+    found = link(documents, width, text=text, id=id, **options)
+    found = found.where("doc_id is not null and (n_shingles = 0 or doc_id = component_id)").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias(times))
+    state = settle(found.select(F.col("doc_id").alias(id), F.col("h1").alias(h1), F.col("h2").alias(h2), times), shared_folder(spark), "kept", release=True)
+    marked = _digested(documents, width, (n, h1, h2), text)
+    joined = marked.join(state, [id, h1, h2])
+    own = [F.col(f"`{c}`") for c in columns]
+    out = joined.where((F.col(times) == 1) | (F.col(n) == 0)).select(*own).unionByName(documents.where(F.col(f"`{id}`").isNull()))
+    if not state.where(F.col(times) > 1).isEmpty():
+        again = joined.where((F.col(times) > 1) & (F.col(n) > 0)).groupBy(id, h1, h2).agg(F.min_by(F.struct(*own), F.struct(*own).cast("string")).alias(row))
+        out = out.unionByName(again.select(f"{row}.*"))
+    return out

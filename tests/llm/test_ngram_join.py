@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -52,7 +53,7 @@ def families(seed, members, length, edits, start=0):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"few_members": 2, "floor": 5, "salts": 3}, {"enum": N.PartEnum(90, 3, 1)}, {"percent": 80, "width": 5, "few_members": 3}])
+@pytest.mark.parametrize("options", [{}, {"few_members": 2, "floor": 5, "rounds": 3}, {"enum": N.PartEnum(90, 2, 1), "rounds": 1}, {"enum": N.PartEnum(90, 4, 2)}, {"percent": 80, "width": 5, "few_members": 3}])
 def test_equals_brute_force_on_families_around_the_threshold(spark, options):
     rows = families(1, 40, 150, [0, 1, 2, 3, 4], 0) + families(2, 30, 60, [0, 1, 2], 100) + families(3, 25, 12, [0, 1], 200) + families(4, 30, 400, [4, 6, 8], 300)
     rows += [(500 + k, t) for k, t in enumerate(["", None, "one", "One", "two words", "two  WORDS", "a b c", "É b c", "é b c"])]
@@ -64,10 +65,12 @@ def test_equals_brute_force_on_families_around_the_threshold(spark, options):
 def met(spark, folder, sets, percent):
     """The pairs that share an element of their prefixes; the first set is the centre."""
     pack = zstandard.ZstdCompressor().compress
-    texts = spark.createDataFrame([(k, pack(" ".join(sorted(s)).encode())) for k, s in enumerate(sets)], "rep long, packed binary")
-    owned = spark.createDataFrame([(0, k, len(s), k) for k, s in enumerate(sets)], "centre long, rep long, n long, component long")
-    rows = N._prefixes(owned, texts, 1, percent, folder)
-    return {tuple(r) for r in N._pairs(rows, ["centre", "element"], percent).collect()}
+    classes = spark.createDataFrame([(k, pack(" ".join(sorted(s)).encode())) for k, s in enumerate(sets)], "node long, packed binary")
+    stars = spark.createDataFrame([(0, k) for k in range(1, len(sets))], "a long, b long")
+    holders = defaultdict(set)
+    for centre, element, node in N._prefixes(stars, classes, 1, percent, folder).collect():
+        holders[element].add(node)
+    return {(a, b) for nodes in holders.values() for a in nodes for b in nodes if a < b}
 
 
 def test_prefixes_where_only_some_sets_list_what_the_centre_has(spark, tmp_path):
@@ -90,6 +93,45 @@ def test_prefixes_where_only_some_sets_list_what_the_centre_has(spark, tmp_path)
         assert linked and linked <= met(spark, str(tmp_path / f"t{turn}"), sets, percent)
 
 
+@pytest.mark.parametrize("seed, percent", [(1, 90), (3, 80)])
+def test_hubs_and_sets_unlike_them_equal_brute_force_with_default_parameters(spark, seed, percent):
+    """Sets around hubs: some lack much of the hub, some hold little of it, and pairs among them lie around the threshold."""
+    rng = random.Random(seed)
+    rows = []
+    for hub in range(3):
+        size = rng.choice([20, 60, 110])
+        base = [f"h{hub}-{k}" for k in range(size)]
+        rows.append(base)
+        for f in range(8):
+            gone = set(rng.sample(base, rng.randrange(1, size * 2 // 3)))
+            own = [f"f{hub}-{f}-{k}" for k in range(rng.randrange(0, size // 3))]
+            for m in range(4):
+                kept = [w for w in base if w not in gone or rng.random() < 0.1]
+                rows.append([w for w in kept + own if rng.random() > 0.03] + [f"m{hub}-{f}-{m}-{k}" for k in range(rng.randrange(4))])
+    rows = [(1000 + k, " ".join(rng.sample(r, len(r)))) for k, r in enumerate(rng.sample(rows, len(rows)))]
+    want = brute(rows, 1, percent)
+    assert 3 < len({c for _, c in want.values()}) < len(rows) - 10
+    for options in ({}, {"few_members": 1}):
+        got = {r[0]: (r[1], r[2]) for r in N.link(spark.createDataFrame(rows, SCHEMA), width=1, percent=percent, **options).select("doc_id", "n_shingles", "component_id").collect()}
+        assert got == want
+
+
+def test_signatures_meet_for_all_linked_sets():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        for parts, level in ((2, 1), (3, 1), (4, 2)):
+            enum = N.PartEnum(percent, parts, level)
+            for size in (6, 9, 14, 30, 75, 200):
+                for _ in range(20):
+                    a = np.unique(rng.integers(1, 1 << 60, size).astype(np.uint64))
+                    most = 2 * len(a) * (100 - percent) // (100 + percent)
+                    out = int(rng.integers(0, most // 2 + 1))
+                    b = np.unique(np.concatenate([a[out:], rng.integers(1, 1 << 60, int(rng.integers(0, most - out + 1))).astype(np.uint64)]))
+                    if N.linked(a, b, percent) and len(np.setxor1d(a, b)):
+                        assert len(np.intersect1d(enum.signatures(a), enum.signatures(b)))
+                        assert sum(int(x).bit_count() for x in (N.sketch(a) ^ N.sketch(b)).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_unlinked_copies_form_few_pairs(spark, monkeypatch):
     """A group of copies that all lie just beyond the threshold isn't compared in all pairs."""
     rows = families(7, 80, 200, [5], 0)
@@ -101,9 +143,10 @@ def test_unlinked_copies_form_few_pairs(spark, monkeypatch):
         return verified(pairs, *rest)
 
     monkeypatch.setattr(N, "_verified", count)
-    got = {r[0]: r[2] for r in N.link(spark.createDataFrame(rows, SCHEMA), few_members=2).collect()}
-    assert got == {i: c for i, (_, c) in brute(rows).items()}
-    assert compared[2] < 80 < 80 * 79 / 2, compared
+    for few in (2, 4096):
+        got = {r[0]: r[2] for r in N.link(spark.createDataFrame(rows, SCHEMA), few_members=few).collect()}
+        assert got == {i: c for i, (_, c) in brute(rows).items()}
+    assert compared[1] < 80 < 80 * 79 / 2, compared
 
 
 def test_repeated_rows_null_ids_and_further_columns(spark):
@@ -114,6 +157,22 @@ def test_repeated_rows_null_ids_and_further_columns(spark):
     assert got == [(-1, 3), (3, 3), (5, 3), (5, 3), (9, 9)]
 
 
+def test_a_null_id_joins_what_it_links(spark):
+    """Its text links two others that don't link, and their component has the least id."""
+    base = [f"t{k}" for k in range(100)]
+    rows = [(7, " ".join(["x0", "x1", *base[:-1]])), (None, " ".join(base)), (4, " ".join([*base[1:], "y0", "y1"])), (None, "nothing else like it")]
+    got = {(r["doc_id"], r["component_id"]) for r in N.link(spark.createDataFrame(rows, SCHEMA), percent=94).collect()}
+    assert got == {(None, None), (None, 4), (4, 4), (7, 4)}
+
+
+def test_representatives_of_rows_that_share_an_id(spark):
+    words = " ".join(f"t{k}" for k in range(40))
+    rows = [(5, words, 2), (5, words.upper(), 1), (5, "another text with the same id", 3), (6, words, 4), (None, words, 5), (8, None, 6), (8, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_ long")
+    kept = sorted(N.representatives(df, 5, percent=80).collect(), key=lambda r: r["n_"])
+    assert [r["n_"] for r in kept] == [1, 3, 5, 6, 7] and kept[0].asDict() == {"doc_id": 5, "text": words.upper(), "n_": 1}
+
+
 def test_empty_table(spark):
     assert N.link(spark.createDataFrame([], SCHEMA)).collect() == []
 
