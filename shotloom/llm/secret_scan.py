@@ -5,8 +5,8 @@ first-order model of random strings explains better than one of ordinary identif
 one aggregation; add-half smoothing; the table of ratios has one whole number (thousandths) for each pair of the K characters, so its size
 is fixed, sums are exact and every engine agrees.
 
-Positions are code points, end exclusive. They come from one fold over the pieces between matches and the matches themselves, without
-leaving the JVM. A markov span inside a pattern's span is not repeated.
+Positions are code points, end exclusive. They come from folds over the pieces between matches and the matches themselves, without
+leaving the JVM, in time proportional to the text (see ``folded``). A markov span inside a pattern's span is not repeated.
 
 Defined results: a null or empty text has no spans and the digest of the empty string. Repeated rows give equal rows, an empty table an empty
 one; further columns are ignored; texts are scanned whole.
@@ -14,6 +14,9 @@ one; further columns are ignored; texts are scanned whole.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +90,6 @@ def train(labelled: DataFrame) -> list[int]:
     counts = pairs.select("label", F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a >= 0 and b >= 0").groupBy("a", "b").agg(F.count_if(F.col("label") == 1).alias("r"), F.count_if(F.col("label") == 0).alias("o"))
     cells = spark.range(K * K).select((F.col("id") / K).cast("int").alias("a"), (F.col("id") % K).cast("int").alias("b"))
     rows = {(x["a"], x["b"]): (x["r"], x["o"]) for x in cells.join(counts, ["a", "b"]).collect()}  # at most K * K rows
-    import math
-
     out = []
     for a in range(K):
         row = [rows.get((a, b), (0, 0)) for b in range(K)]
@@ -112,21 +113,48 @@ def ratio(token: Column, table: list[int]) -> Column:
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
+#: Items that one inner fold of ``folded`` takes.
+STRIDE = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The arrays emit(state, item) of all items, joined; the state before the first is zero, and step(state, item) follows each.
+
+    An array that grows by one element a step is copied at each, so a fold that lists its results takes quadratic time. Here the items are
+    cut into strides: one fold lists the states at their starts, then each stride is folded by itself, so the time is that of the items.
+    """
+    none = F.array().cast(kind)
+
+    def stride(part: Column, start: Column) -> Column:
+        grow = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], emit(s["at"], x)).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), grow, lambda s: s["out"])
+
+    def starts(parts: Column) -> Column:
+        grow = lambda s, part: F.struct(F.aggregate(part, s["at"], step).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), grow, lambda s: s["out"])
+
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.size(z) - 1, F.lit(0)), F.lit(STRIDE)), lambda k: F.slice(z, k + 1, STRIDE))
+    return let(items, lambda z: let(cut(z), lambda parts: F.flatten(F.zip_with(parts, starts(parts), stride))))
+
+
 def spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Column:
     """The matches of the pattern as (start, end, kind) where keep(match, group) holds. Only texts with a match are taken apart."""
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     groups = F.regexp_extract_all(text, F.lit(pattern), group) if group else matches
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), matches.alias("match"), groups.alias("group"))
+    none = F.array().cast(SPAN)
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["before"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & keep(x["match"], x["group"]), F.concat(s["out"], found)).otherwise(s["out"]).alias("out"))
+    def emit(at: Column, x: Column) -> Column:
+        start = at + F.length(x["before"])
+        found = F.array(F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind")))
+        return F.when(x["match"].isNotNull() & keep(x["match"], x["group"]), found).otherwise(none)
 
-    none = F.array().cast(SPAN)
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return F.when(text.rlike(pattern), folded(zipped, F.lit(0), lambda at, x: at + F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0)), emit, SPAN)).otherwise(none)
 
 
 def scan(documents: DataFrame, table: list[int] | None = None, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -139,8 +167,10 @@ def scan(documents: DataFrame, table: list[int] | None = None, text: str = "text
     base = F.array_sort(F.concat(assign, spans(body, ACCESS_LONG, 1, lambda m, g: F.lit(True)), spans(body, HEX_LONG, 2, lambda m, g: F.lit(True))), _ordered)
     more = spans(body, TOKEN, 3, lambda m, g: ratio(m, table) >= CUT)
     found = rows.withColumn("base", base).withColumn("more", more)
-    new = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    return found.withColumn("found", F.array_sort(F.concat("base", new), _ordered)).drop("more")
+    # in order of starts, base spans first, a markov span lies inside a base span where one of those before it ends no sooner
+    both = F.array_sort(F.concat("base", "more"), _ordered)
+    new = folded(both, F.lit(-1), lambda most, x: F.when(x["kind"] < 3, F.greatest(most, x["end"])).otherwise(most), lambda most, x: F.when((x["kind"] == 3) & (most >= x["end"]), F.array().cast(SPAN)).otherwise(F.array(x)), SPAN)
+    return found.withColumn("found", F.when(F.size("more") == 0, F.col("base")).otherwise(new)).drop("more")
 
 
 def _ordered(a: Column, b: Column) -> Column:
@@ -165,14 +195,11 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text", id:
     columns = documents.columns
     rest = tuple(c for c in columns if c not in (id, text))
     found = scan(documents, table, text, id, rest)
-    pieces = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, F.length("body"))),
+    # the text as an array of characters, as cutting a string at a place takes time in proportion to the place
+    body = lambda chars: F.concat(
+        folded(F.col("found"), F.lit(0), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.when(x["start"] >= at, F.concat(F.slice(chars, at + 1, x["start"] - at), F.array(F.lit(mark)))).otherwise(F.array().cast("array<string>")), "array<string>"),
+        let(F.array_max(F.transform("found", lambda x: x["end"])), lambda end: F.slice(chars, end + 1, F.greatest(F.size(chars) - end, F.lit(0)))),
     )
+    pieces = F.array_join(let(F.split("body", ""), body), "")
     clean = F.when(F.col("rest._null"), F.lit(None)).when(F.size("found") == 0, F.col("body")).otherwise(pieces)
     return found.select(*(F.col("doc_id").alias(c) if c == id else clean.alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in columns))

@@ -61,6 +61,25 @@ def test_redaction_takes_effect_and_keeps_the_rest(spark, table):
     assert got == sorted([(7, "a [SECRET] b [SECRET] c", 1)] * 2 + [(8, "clean text", 2), (9, None, 3)], key=str)
 
 
+def test_time_is_linear_in_the_matches_of_one_text(spark, table):
+    """20,000 matches in one text, of all kinds; positions stay right over the strides."""
+    import time
+
+    one = [f"token={k:08d} AKIA{k:016d} {k:024x} wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLE{k}" for k in range(5000)]
+    took = []
+    for n in (500, 2500, 5000):
+        rows = spark.createDataFrame([(1, "\n".join(one[:n]))], SCHEMA)
+        began = time.perf_counter()
+        got = tuple(N.report(rows).first())
+        clean = N.redact(rows, table=table).first()["text"]
+        took.append(time.perf_counter() - began)
+        assert got[1:4] == (n, n, n)
+        assert clean == "\n".join(["[SECRET] [SECRET] [SECRET] [SECRET]"] * n)
+        if n == 500:
+            assert got[1:] == brute("\n".join(one[:n]), table)
+    assert took[2] < 4 * took[1] + 5, took
+
+
 def test_plan_has_no_python(spark, table):
     plan = N.scan(spark.createDataFrame([(1, "x")], SCHEMA), table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
