@@ -7,7 +7,8 @@ live left neighbour and the unlinked one), each in a logarithmic number of steps
 
 Two forms of the same tree exist. ``merge_long`` walks one tree for one piece of any length. ``merge_batch`` holds the
 trees of many short pieces as rows of one array and does each step for all of them at once; it serves the pieces of at
-most SHORT bytes, which are nearly all. Encoded pieces are memorised in a table of bounded size per worker.
+most SHORT bytes, which are nearly all. Short pieces, and short runs of them, are memorised
+in tables whose bytes are bounded for each worker; long ones, whole texts among them, are not.
 
 Defined results: a null or empty text has 0 tokens; its ids_sha256 and decoded_sha256 are those of the empty string.
 Rows are independent, so repeated rows give equal results and an empty table gives an empty one; extra columns are ignored.
@@ -29,6 +30,8 @@ from shotloom.llm._words import map_texts, only
 NONE = 1 << 30
 SHORT = 32
 BATCH = 1024
+#: The greatest length of a memo's key and value together, and about what an entry takes besides.
+MEMORISED, ENTRY = 1024, 200
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class SegmentBPE:
     """Encoder and decoder for one rank table; ids are ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 128 << 20) -> None:
         import regex
 
         self.ranks = ranks
@@ -77,7 +80,7 @@ class SegmentBPE:
         self.cache: dict[str, str] = {}
         self.units: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {"": b""}
-        self.limit = cache
+        self.memory, self.held = memory, 0  # bytes that the three memos may hold, and about what they hold
         self.joined = re.compile(r"\s ").search
         self.text_of = {str(r): t for r, t in self.tokens.items()}
 
@@ -201,39 +204,52 @@ class SegmentBPE:
         out = ids[live].tolist()
         return [out[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that the memo lacks; the memo holds decimal ids joined by commas."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > self.limit:
+    def keep(self, memo: dict, new: dict) -> None:
+        """Add to a memo what is short; ``forget`` empties the memos when they hold too much."""
+        short = {k: v for k, v in new.items() if len(k) + len(v) <= MEMORISED}
+        memo.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
+
+    def forget(self) -> None:
+        if self.held > self.memory:
             self.cache.clear()
-            new = list(pieces)
+            self.units.clear()
+            self.decoded = {"": b""}
+            self.held = 0
+
+    def learn(self, pieces: Iterable[str]) -> dict[str, str]:
+        """The pieces' decimal ids joined by commas; those that the memo lacks are encoded."""
+        known = self.cache
+        out = {p: known[p] for p in pieces if p in known}
+        new = [p for p in pieces if p not in out]
+        found: dict[str, str] = {}
         groups: dict[int, list[str]] = {}
         for p in new:
             raw = p.encode()
             whole = self.ranks.get(raw)
             if whole is not None:  # a piece that is itself in the table is one token, as in the published library
-                self.cache[p] = str(whole)
+                found[p] = str(whole)
             elif len(raw) > SHORT:
-                self.cache[p] = ",".join(map(str, self.merge_long(raw)))
+                found[p] = ",".join(map(str, self.merge_long(raw)))
             else:
                 groups.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append(p)
         for size, own in groups.items():
             for k in range(0, len(own), BATCH):
                 part = own[k : k + BATCH]
                 for p, ids in zip(part, self.merge_batch([p.encode() for p in part], size), strict=True):
-                    self.cache[p] = ",".join(map(str, ids))
+                    found[p] = ",".join(map(str, ids))
+        self.keep(known, found)
+        return out | found
 
     def encode_units(self, texts: list[str]) -> list[list[str]]:
         """For each text its units' ids, each unit decimal and joined by commas.
 
         A unit is what stands between two spaces, with the space before it. Where every space follows a character that isn't
-        white space, no match of the pattern crosses a unit's start, so units can be encoded apart and memorised; other
-        texts are one unit.
+        white space, no match of the pattern crosses a unit's start, so units can be encoded apart and memorised if short; other
+        texts are one unit, which isn't memorised.
         """
         cut = [[t] if self.joined(t) else [t[:k], *t[k + 1 :].split(" ")] if (k := t.find(" ")) >= 0 else [t] for t in texts]
-        if len(self.units) > self.limit:
-            self.units.clear()
-            self.decoded = {"": b""}
+        self.forget()
         known, heads, fresh, pieces = self.units, {}, {}, {}
         for parts in cut:
             heads[parts[0]] = self.split(parts[0])
@@ -242,20 +258,24 @@ class SegmentBPE:
         for group in (heads, fresh):
             for found in group.values():
                 pieces.update(dict.fromkeys(found))
-        self.learn(pieces)
-        one = self.cache.__getitem__
+        one = self.learn(pieces).__getitem__
         head = {u: ",".join(map(one, found)) for u, found in heads.items()}
-        known.update({u: ",".join(map(one, found)) for u, found in fresh.items()})
+        now = {u: ",".join(map(one, found)) for u, found in fresh.items()}
+        self.keep(known, now)
+        far = {u: ids for u, ids in now.items() if u not in known}  # too long for the memo
+        if far:
+            return [[head[parts[0]], *(far[u] if u in far else known[u] for u in parts[1:])] for parts in cut]
         return [[head[parts[0]], *map(known.__getitem__, parts[1:])] for parts in cut]
 
     def decode_units(self, units: list[str]) -> bytes:
-        """The bytes of runs of ids; runs seen before are memorised."""
+        """The bytes of runs of ids; short runs seen before are memorised."""
+        known = self.decoded
         try:
-            return b"".join(map(self.decoded.__getitem__, units))
+            return b"".join(map(known.__getitem__, units))
         except KeyError:
-            for u in set(units).difference(self.decoded):
-                self.decoded[u] = b"".join(map(self.text_of.__getitem__, u.split(",")))
-            return b"".join(map(self.decoded.__getitem__, units))
+            now = {u: b"".join(map(self.text_of.__getitem__, u.split(","))) for u in set(units).difference(known)}
+            self.keep(known, now)
+            return b"".join([now[u] if u in now else known[u] for u in units])
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for u in self.encode_units([text])[0] if u for x in u.split(",")]

@@ -18,7 +18,7 @@ def path():
 @pytest.fixture(scope="module")
 def both(path):
     ranks = bpe.load_ranks(path)
-    return bpe.SegmentBPE(ranks, tokenizers.PATTERN, cache=300), tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bpe.SegmentBPE(ranks, tokenizers.PATTERN, memory=20_000), tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @settings(max_examples=200, deadline=None)
@@ -48,3 +48,19 @@ def test_query_form(spark, path, both):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), path, tokenizers.PATTERN).collect() == []
+
+
+def test_memory_of_the_memos_is_bounded(path):
+    """Texts without units of their own, long pieces and many different words leave no more behind than the bound and one call's short entries."""
+    ranks = bpe.load_ranks(path)
+    own = bpe.SegmentBPE(ranks, tokenizers.PATTERN, memory=200_000)
+    for k in range(0, 100_000, 500):
+        texts = [f"a{j}  b{j} c" for j in range(k, k + 500)]
+        for t, units in zip(texts, own.encode_units(texts)):
+            assert own.decode_units(units) == t.encode()
+        assert own.held <= 200_000 + 500 * 4 * (bpe.ENTRY + 60)
+    own.encode("x" * 50_000 + " " + "y z" * 20_000)
+    own.encode("some words " + "q" * 9_000 + " " + "r" * 9_000)
+    for memo in (own.cache, own.units, own.decoded):
+        assert all(len(a) + len(b) <= bpe.MEMORISED for a, b in memo.items())
+        assert sum(len(a) + len(b) + bpe.ENTRY for a, b in memo.items()) <= own.held + bpe.ENTRY
