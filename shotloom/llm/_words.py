@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
+#: The base of a second, independent hash of windows.
+OTHER = 0xA24BAED4963EE407 | 1
 MASK = (1 << 64) - 1
 
 
@@ -92,10 +94,10 @@ class Words:
         return windows(self.hash[self.first[i] : self.first[i + 1]], size)
 
 
-def windows(h: np.ndarray, size: int) -> np.ndarray:
+def windows(h: np.ndarray, size: int, base: int = _Q) -> np.ndarray:
     if len(h) < size:
         return np.zeros(0, U64)
-    p, q = powers(_Q, len(h) + 1)
+    p, q = powers(base, len(h) + 1)
     sums = np.zeros(len(h) + 1, U64)
     np.cumsum(h * p[:-1], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * q[: len(h) - size + 1] + U64(size))

@@ -10,11 +10,14 @@ next, until no candidates survive or the target length is decided:
    windows of the full length choose equal ones inside, so any repeated window has a repeated kept half, at about 7 % of the rows.
    The least and greatest id of each hash are aggregated; hashes with one document are dropped.
 3. Length size: starts whose window holds a surviving half are extended, and the least id of each full hash is aggregated. A start whose
-   id is greater than that least id is repeated. Doubling goes on (``longest``) for callers that want longer repeats.
+   id is greater than that least id is repeated.
+4. With a greater ``longest``, doubling goes on: a start is extended to twice the length where the windows at it and right behind it
+   both survived, until no candidates survive or ``longest`` is reached (see ``longest_repeats``). ``dedup`` and ``without_repeats`` need
+   the windows of ``size`` only, so one doubling decides there.
 
-Hashes are 64-bit; equality of a full window is decided on the sum of both its halves' hashes and its own. Hot windows (a passage in a
-third of all documents) only ever meet as partial minima and in a join whose skewed side the engine splits. Texts travel
-compressed, and no more than once for each level and once for the result.
+Halves only choose candidates and have 64-bit hashes; equality of full windows is decided by two independent 64-bit hashes together. Hot
+windows (a passage in a third of all documents) only ever meet as partial minima and in a join whose skewed side the engine splits.
+Texts travel compressed, once for each level and once for the result. Tables of steps that are done are deleted.
 
 Defined results: a null or empty text has no words and keeps nothing; texts under ``size`` words lose nothing. Rows with one id and
 equal words are judged alike; of rows with one id and different words neither removes from the other. A null id removes nothing and is
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shotloom.llm._words import U64, Words, as_long, chunks, digest, map_texts, only, settle, shared_folder, windows
+from shotloom.llm._words import OTHER, U64, Words, as_long, chunks, digest, discard, fresh, map_texts, only, settle, shared_folder, windows
 
 
 def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
@@ -100,52 +103,99 @@ def pack(documents: DataFrame, text: str, id: str) -> DataFrame:
     return map_texts(only(documents, id, text), work, "doc_id long, k1 long, k2 long, packed binary", text)
 
 
-def repeated_hashes(rows: DataFrame) -> DataFrame:
-    """rows(hash, doc_id) to (hash, first): the hashes in two documents or more, with the least id."""
-    return rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
+def repeated_hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, doc_id) to (keys, first): the hashes in two documents or more, with the least id."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*keys, "first")
 
 
-def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The profile of every row, and removals: (doc_id, k1, k2, spans) for the representatives that lose words."""
-    folder = folder or shared_folder(documents.sparkSession)
+OWN = ["doc_id", "k1", "k2"]
+
+
+def around(h: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
+    """Starts of windows of ``size`` words that hold a window of half the size whose hash is kept."""
     half = size // 2
-    base = settle(profile(documents, size, text, id), folder, "profile")
-    rows = base.where(f"n_words >= {size} and doc_id is not null")
-    heads = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
+    at = np.flatnonzero(np.isin(windows(h, half).view(np.int64), kept))
+    flags = np.zeros(len(h) - size + 2, np.int64)
+    np.add.at(flags, np.maximum(0, at - (size - half)), 1)
+    np.add.at(flags, np.minimum(len(h) - size, at) + 1, -1)
+    return np.flatnonzero(np.cumsum(flags)[:-1] > 0)
+
+
+def twofold(h: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
+    """Starts of windows of ``size`` words whose halves both start where one survived."""
+    return np.intersect1d(kept, kept - size // 2)
 
-    # length size / 2
-    halves = heads.select(F.explode("halves").alias("hash"), "doc_id", "k1", "k2")
-    halves = settle(halves, folder, "halves")
-    # written first, so that both sides of the join are plain shuffles and the engine can split a hot hash
-    twice = settle(repeated_hashes(halves.select("hash", "doc_id")).select("hash"), folder, "halves-repeated")
-    alive = halves.join(twice, "hash")
-    alive = alive.groupBy("doc_id", "k1", "k2").agg(F.collect_list("hash").alias("hashes"))  # bounded by one text's length
 
-    # length size: extend what survived
+def _grown(documents: DataFrame, alive: DataFrame, size: int, starts, text: str, id: str) -> DataFrame:
+    """(doc_id, k1, k2, hash, more, start) of the windows of ``size`` words at the starts that starts(h, kept, size) finds; alive has a list ``kept`` a text."""
+
     def extend(part: pa.RecordBatch, packed: list[bytes]) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
         w = Words([unpack(x) for x in packed])
-        out: dict = {"hashes": [], "starts": []}
+        out: dict = {"hashes": [], "mores": [], "starts": []}
         for i, keep in enumerate(part.column(4)):
             h = w.hash[w.first[i] : w.first[i + 1]]
-            v = windows(h, half)
-            at = np.flatnonzero(np.isin(v.view(np.int64), keep.values.to_numpy()))
-            flags = np.zeros(len(h) - size + 2, np.int64)
-            np.add.at(flags, np.maximum(0, at - (size - half)), 1)
-            np.add.at(flags, np.minimum(len(h) - size, at) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(flags)[:-1] > 0)
-            out["hashes"].append(as_long(windows(h, size)[starts]))
-            out["starts"].append(starts.astype(np.int32))
+            at = starts(h, keep.values.to_numpy(), size)
+            out["hashes"].append(as_long(windows(h, size)[at]))
+            out["mores"].append(as_long(windows(h, size, OTHER)[at]))
+            out["starts"].append(at.astype(np.int32))
         ends = np.cumsum([0, *map(len, out["starts"])]).astype(np.int32)
         lists = {k: pa.ListArray.from_arrays(ends, np.concatenate(x)) for k, x in out.items()}
         return {"doc_id": part.column(0), "k1": part.column(1), "k2": part.column(2)} | lists
 
-    texts = pack(documents, text, id).join(alive, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", "packed", "hashes")
-    grown = settle(map_texts(texts, extend, "doc_id long, k1 long, k2 long, hashes array<long>, starts array<int>", "packed"), folder, "grown", release=True)
-    full = grown.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("doc_id", "k1", "k2", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
-    least = settle(repeated_hashes(full.select("hash", "doc_id")), folder, "full-repeated")
-    hits = full.join(least, "hash").where("first < doc_id").groupBy("doc_id", "k1", "k2").agg(F.collect_list("start").alias("starts"))  # bounded by one text
-    return base, settle(hits, folder, "hits", release=True)
+    texts = pack(documents, text, id).join(alive, OWN).dropDuplicates(OWN).select(*OWN, "packed", "kept")
+    return map_texts(texts, extend, "doc_id long, k1 long, k2 long, hashes array<long>, mores array<long>, starts array<int>", "packed")
+
+
+def find(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id", folder: str | None = None, longest: int = 0) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """A row for every row of documents (doc_id, n_words, k1, k2, whole), and for ``size`` and each double of it up to ``longest`` that has repeats the removals:
+    (doc_id, k1, k2, starts) for the representatives with repeated windows."""
+    spark = documents.sparkSession
+    folder = folder or shared_folder(spark)
+    profiles = settle(profile(documents, size, text, id), folder, "profile")
+    base = settle(profiles.drop("halves"), folder, "base")
+    rows = profiles.where(f"n_words >= {size} and doc_id is not null")
+    heads = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
+
+    # length size / 2
+    halves = settle(heads.select(F.explode("halves").alias("hash"), *OWN), folder, "halves", release=True)
+    discard(spark, folder, "profile")
+    # written first, so that both sides of the join are plain shuffles and the engine can split a hot hash
+    twice = settle(repeated_hashes(halves.select("hash", "doc_id"), ["hash"]).select("hash"), folder, "halves-repeated")
+    alive = settle(halves.join(twice, "hash").groupBy(*OWN).agg(F.collect_list("hash").alias("kept")), folder, f"alive-{size}", release=True)  # bounded by one text's length
+    discard(spark, folder, "halves", "halves-repeated")
+
+    found, starts = {}, around
+    while not found or not alive.isEmpty():
+        grown = settle(_grown(documents, alive, size, starts, text, id), folder, f"grown-{size}", release=True)
+        full = grown.select(*OWN, F.explode(F.arrays_zip("hashes", "mores", "starts")).alias("w")).select(*OWN, F.col("w.hashes").alias("hash"), F.col("w.mores").alias("more"), F.col("w.starts").alias("start"))
+        least = settle(repeated_hashes(full.select("hash", "more", "doc_id"), ["hash", "more"]), folder, f"repeated-{size}")
+        again = full.join(least, ["hash", "more"])
+        hits = again.where("first < doc_id").groupBy(*OWN).agg(F.collect_list("start").alias("starts"))  # bounded by one text
+        found[size] = settle(hits, folder, f"hits-{size}", release=True)
+        discard(spark, folder, f"alive-{size}")
+        if 2 * size <= longest:
+            alive = settle(again.groupBy(*OWN).agg(F.collect_list("start").alias("kept")), folder, f"alive-{2 * size}", release=True)
+        discard(spark, folder, f"grown-{size}", f"repeated-{size}")
+        if 2 * size > longest:
+            break
+        size, starts = 2 * size, twofold
+    return base, found
+
+
+def longest_repeats(documents: DataFrame, size: int = 50, longest: int = 6400, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, longest: the greatest of the lengths size, 2 * size, ... up to ``longest`` at which a window also starts in a document with
+    a smaller id; 0 if none does. For a whole copy that is the greatest such length that its text has."""
+    base, found = find(documents, size, text, id, None, longest)
+    rows = base.join(_later(base, size), ["k1", "k2"], "left")
+    lengths = sorted(found)
+    for n in lengths:
+        rows = rows.join(found[n].select(*OWN, F.lit(True).alias(f"at{n}")), OWN, "left")
+    later = (F.col("head") < F.col("doc_id")) & (F.col("n_words") >= size)
+    steps = [size << k for k in range((longest // size).bit_length())]
+    whole = F.coalesce(*(F.when(F.col("n_words") >= n, n) for n in reversed(steps)))
+    reached = F.coalesce(*(F.when(F.col(f"at{n}"), n) for n in reversed(lengths)), F.lit(0))
+    return rows.select("doc_id", "n_words", F.when(later, whole).otherwise(reached).alias("longest"))
 
 
 def _later(base: DataFrame, size: int) -> DataFrame:
@@ -156,8 +206,9 @@ def _later(base: DataFrame, size: int) -> DataFrame:
 def dedup(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     folder = shared_folder(documents.sparkSession)
-    base, hits = find(documents, size, text, id, folder)
-    rows = base.drop("halves").join(_later(base, size), ["k1", "k2"], "left")
+    base, found = find(documents, size, text, id, folder)
+    hits = found[size]
+    rows = base.join(_later(base, size), ["k1", "k2"], "left")
     later = (F.col("n_words") >= size) & F.col("doc_id").isNotNull() & (F.col("head") < F.col("doc_id"))
 
     def cut(part: pa.RecordBatch, packed: list[bytes]) -> dict:
@@ -183,8 +234,10 @@ def keep(text: bytes, starts: np.ndarray, size: int) -> tuple[int, bytes]:
 def without_repeats(documents: DataFrame, size: int = 50, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows, all columns: a text that loses words becomes its kept words joined by one space, the others stay as they are."""
     folder = shared_folder(documents.sparkSession)
-    base, hits = find(documents, size, text, id, folder)
+    base, found = find(documents, size, text, id, folder)
+    hits = found[size]
     columns = documents.columns
+    k1, k2, n_words, hit, gone = fresh(columns, "k1", "k2", "n_words", "hit", "starts")
     later = base.join(_later(base, size), ["k1", "k2"]).where(f"n_words >= {size} and head < doc_id").select("doc_id", "k1", "k2").distinct()
     marks = hits.select("doc_id", "k1", "k2", "starts").unionByName(later.withColumn("starts", F.lit(None).cast("array<int>")))
     at = columns.index(text)
@@ -196,21 +249,21 @@ def without_repeats(documents: DataFrame, size: int = 50, text: str = "text", id
                 w = Words([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()])
                 spans = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 arrays = [*part.columns, pa.array([digest(h, 3) for h in spans], pa.int64()), pa.array([digest(h, 5) for h in spans], pa.int64()), pa.array([len(h) for h in spans], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "k1_", "k2_", "n_words_"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, k1, k2, n_words])
 
     def cut(batches):
         for batch in batches:
             for part in chunks(batch, at, 1 << 20):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
-                for k, (hit, starts) in enumerate(zip(part.column("hit_").to_pylist(), part.column("starts_"), strict=True)):
-                    if hit:
+                for k, (cut_, starts) in enumerate(zip(part.column(hit).to_pylist(), part.column(gone), strict=True)):
+                    if cut_:
                         texts[k] = keep(texts[k], starts.values.to_numpy(), size)[1] if starts.is_valid else b""
                 out = [pa.array(texts, pa.binary()).cast(part.column(at).type) if k == at else part.column(k) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    marked = documents.mapInArrow(digests, _with(fields, ("k1_", "k2_", "n_words_")))
-    marks = marks.select(F.col("doc_id").alias(id), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.lit(True).alias("hit_"), F.col("starts").alias("starts_"))
-    joined = marked.join(marks, [id, "k1_", "k2_"], "left").select(*columns, "hit_", "starts_")
+    marked = documents.mapInArrow(digests, _with(fields, (k1, k2, n_words)))
+    marks = marks.select(F.col("doc_id").alias(id), F.col("k1").alias(k1), F.col("k2").alias(k2), F.lit(True).alias(hit), F.col("starts").alias(gone))
+    joined = marked.join(marks, [id, k1, k2], "left").select(*(F.col(f"`{c}`") for c in (*columns, hit, gone)))
     return joined.mapInArrow(cut, fields)
 
 

@@ -70,6 +70,13 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert N.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_longest_repeats_double_until_none_survive(spark):
+    rows = corpus(3) + [(300 + k, " ".join(f"p{j}" for j in range(k, 430 + k))) for k in range(2)]
+    got = {r["doc_id"]: r["longest"] for r in N.longest_repeats(spark.createDataFrame(rows, SCHEMA), 50, 800).collect()}
+    want = {i: max([n for n in (50, 100, 200, 400, 800) if brute(rows, n)[i][1]], default=0) for i, _ in rows}
+    assert got == want and {0, 50, 100, 400} <= set(got.values())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 12))
 def test_chosen_windows_follow_content(values, span):
