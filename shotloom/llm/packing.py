@@ -1,13 +1,13 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Lengths are words. A document longer than the greatest capacity is cut into pieces of that size and a rest. Pieces are dealt by a hash of
-document and piece into shards of about ``shard`` pieces, so no group grows with the input, and each shard is packed by itself:
+id, text and piece into shards of about ``shard`` pieces, so no group grows with the input, and each shard is packed by itself:
 longest piece first, into the open bin with the least room that fits. Where none fits, a bin of the least-cost size opens: for each
 permitted size, the pieces still to come are imagined to fill it greedily, and the size with the least cost a packed word wins (a sequence
 costs its capacity and ``overhead``). At last each bin is downsized to the least permitted capacity that holds its contents.
 
 Defined results: a null or empty text, or one without words, has one row with 0 words and null shard, bin, position and capacity. Ties in
-length go by document and piece, null ids first. Repeated rows are packed each. An empty table gives an empty one; further columns are
+length go by id, piece and text, null ids first. Repeated rows are packed each. An empty table gives an empty one; further columns are
 ignored. Every word of every document is in exactly one bin.
 """
 
@@ -87,12 +87,12 @@ SCHEMA = "doc_id long, piece int, word_start long, n_words int, shard int, bin i
 
 
 def pieces(documents: DataFrame, most: int, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, word_start, n_words: the documents cut to at most ``most`` words."""
-    counted = only(documents, id, text).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    """doc_id, piece, word_start, n_words, content (a hash of the whole text): the documents cut to at most ``most`` words."""
+    counted = only(documents, id, text).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n"), F.xxhash64(text).alias("content"))
     last = F.greatest(F.floor((F.col("n") - 1) / most), F.lit(0)).cast("int")
-    cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    cut = counted.select("doc_id", "n", "content", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * most
-    return cut.select("doc_id", "piece", start.alias("word_start"), F.least(F.lit(most).cast("long"), F.col("n") - start).cast("int").alias("n_words"))
+    return cut.select("doc_id", "piece", start.alias("word_start"), F.least(F.lit(most).cast("long"), F.col("n") - start).cast("int").alias("n_words"), "content")
 
 
 def pack(documents: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, shard: int = 20_000, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -103,11 +103,11 @@ def pack(documents: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead:
     shards = max(1, -(-total // shard))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable")
+        pdf = pdf.sort_values(["n_words", "doc_id", "piece", "content"], ascending=[False, True, True, True], na_position="first", kind="stable")
         bins, offsets, final = best_fit(pdf["n_words"].tolist(), sizes, overhead)
         return pdf.assign(bin=np.asarray(bins, np.int32), position=np.asarray(offsets, np.int32), capacity=np.asarray(final, np.int32)[bins])
 
-    dealt = cut.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = cut.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "content"), F.lit(shards)).cast("int"))
     packed = dealt.groupBy("shard").applyInPandas(lambda pdf: work(pdf)[[x.split()[0] for x in SCHEMA.split(", ")]], SCHEMA)
     nothing = cut.where("n_words = 0").select("doc_id", "piece", "word_start", "n_words", *(F.lit(None).cast("int").alias(c) for c in ("shard", "bin", "position", "capacity")))
     return packed.unionByName(nothing)

@@ -80,3 +80,25 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 def test_stages_are_five_and_without_sql():
     assert [n for n, _ in C.STAGES] == ["quality", "near_duplicates", "repeats", "secrets", "packed"] and C.ORACLE_SQL is None
+
+
+def test_nulls_repeated_ids_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, one id with two texts, repeated rows, and columns named like the operators' own."""
+    long = " ".join(f"word{k} and" for k in range(60))
+    rows = [(1, long), (1, long), (1, "another text under the same id " + " ".join(f"other{k}" for k in range(60))), (None, long), (None, None), (2, None), (3, ""), (4, long + " more"), (4, "token = 0123456789abcdef0123456789abcdef here")]
+    names = ["k1_", "h1", "hit", "starts", "base", "rest", "found", "n", "times_", "bin", "score"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", None, 1, *names) for i, t in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, now = dict(C.STAGES), docs
+    for name in ("quality", "near_duplicates", "repeats", "secrets"):
+        now = stages[name](spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    now = now.persist()
+    got = sorted(((r["doc_id"] or -1), r["text"] or "") for r in now.collect())
+    assert [i for i, _ in got] == [-1, -1, 1, 1, 2, 3, 4] and got[-1][1] == "token = [SECRET] here".replace("token = ", "")
+    assert all([r[n] for n in names] == names for r in now.collect())
+    assert stages["packed"](spark, now, str(tmp_path)).where("doc_id = 2").first()["n_words"] == 0
+    empty = docs.where("false")
+    for name, stage in C.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
