@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the shared folder and reads again as
 the next stage's documents. All but the last keep the columns of ``documents``. SQL cannot train the classifier, so ORACLE_SQL is None;
 tests compare every stage with a brute-force version.
+
+Defined results. Null texts: scored as empty ones; where the classifier keeps them they pass all stages and are packed as rows of 0 words. Null
+ids: kept by every stage that doesn't score them away; they are never dropped as copies, and lose no words. Repeated rows (one id, one set of
+shingles): one stays after near_duplicates; rows with one id and different texts are different documents. Ties: the least id of a group stays,
+and of equal passages that in the least id. Empty tables give an empty result. Further columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
