@@ -131,3 +131,15 @@ class InvertedFile:
     def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP, probes: int = 8, vector: str = "txt_vec", id: str = "unit_id") -> DataFrame:
         chosen = np.argsort(-(self.centroids @ np.asarray(query, np.float64)))[:probes]
         return top_k(assigned.where(F.col("list").isin(*chosen.tolist())), query, k, vector, id)
+
+    def search_batch(self, assigned: DataFrame, queries: DataFrame, k: int = TOP, probes: int = 8, vector: str = "txt_vec", id: str = "unit_id", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
+        """query_id, id, distance, rank: each query meets the units of the ``probes`` lists nearest to it, by a join on the list."""
+        centroids = self.centroids
+
+        @F.pandas_udf("array<int>")
+        def near(v: pd.Series) -> pd.Series:
+            return pd.Series(list(np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ centroids.T), axis=1)[:, :probes].astype(np.int32)))
+
+        asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector, F.explode(near(query_vector)).alias("list"))
+        met = assigned.select(id, vector, "list").join(asked, "list").select(query_id, id, V.distance(F.col(vector), F.col(query_vector)).alias("distance")).where("distance is not null")
+        return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id))).where(F.col("rank") <= k)

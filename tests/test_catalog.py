@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from shotloom import catalog
+from shotloom import catalog, catalog_ingest  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
