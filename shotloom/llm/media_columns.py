@@ -4,7 +4,8 @@ A payload is stored losslessly as 8-bit unsigned mono PCM in a WAV container; ev
 read back. Features: a polyphase resampler (12 kHz to 8 kHz: 2 up, 3 down), overlapped Hann frames of 256 samples every 128,
 a mel filterbank with log compression, and segments by hysteresis on frame energy (a segment opens above the high threshold and
 closes below the low one). Spans are cut into fixed-shape tensors of TENSOR frames x MELS, the last one padded with the
-floor; ``tensor_array`` gives them Arrow's fixed-shape tensor type.
+floor, rounded to eighths, and stored with their time spans as an Arrow stream whose column has the fixed-shape tensor type; ``tensor_array`` gives a
+Spark column of them that type.
 
 Every computation depends on one text alone, in blocks whose shapes depend on its length alone, so equal texts have equal values.
 Defined results: a null or empty text is 192 bytes of padding. Repeated rows give equal rows, an empty table an empty one; further
@@ -20,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 
 from shotloom.llm._words import map_texts, only
@@ -190,25 +192,48 @@ def media_tensors(media: DataFrame) -> DataFrame:
     return map_texts(only(media, "doc_id", "media"), work, "doc_id long, piece int, t_start double, t_end double, tensor array<float>", "media", 1 << 18)
 
 
-def describe(payload: bytes) -> str:
-    """frames;segments;tensors;mean log-mel of each band;crc32 of the tensors and spans, both rounded."""
+#: The stored form of a text's tensors.
+STORED = pa.schema([("t_start", pa.float64()), ("t_end", pa.float64()), ("tensor", pa.fixed_shape_tensor(pa.float32(), (TENSOR, MELS)))])
+
+
+def store_tensors(found: np.ndarray, times: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of one batch: a fixed-shape tensor and its time span in each row."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), TENSOR * MELS)
+    arrays = [pa.array([a for a, _ in times], pa.float64()), pa.array([e for _, e in times], pa.float64()), pa.ExtensionArray.from_storage(STORED.field("tensor").type, flat)]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, STORED) as writer:
+        writer.write_batch(pa.record_batch(arrays, schema=STORED))
+    return out.getvalue().to_pybytes()
+
+
+def load_tensors(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensors (pieces, TENSOR, MELS) and their time spans."""
+    table = pa.ipc.open_stream(stored).read_all()
+    column = table.column("tensor").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy_ndarray() if len(column) else np.zeros((0, TENSOR, MELS), np.float32), list(zip(table.column("t_start").to_pylist(), table.column("t_end").to_pylist(), strict=True))
+
+
+def describe(payload: bytes) -> tuple[str, bytes]:
+    """frames;segments;tensors;mean log-mel of each band;crc32 of the tensors and spans, both rounded. And the stored tensors."""
     mels, spans = features(payload)
     found, times = tensors(mels, spans)
-    crc = zlib.crc32(np.round(found * 8).astype(np.int16).tobytes(), zlib.crc32(repr(times).encode()))
-    return f"{len(mels)};{len(spans)};{len(found)};{','.join(f'{x:.2f}' for x in mels.mean(0, dtype=np.float64))};{crc}"
+    steps = np.round(found * 8)  # the last bits of a sum may differ between machines
+    crc = zlib.crc32(steps.astype(np.int16).tobytes(), zlib.crc32(repr(times).encode()))
+    return f"{len(mels)};{len(spans)};{len(found)};{','.join(f'{x:.2f}' for x in mels.mean(0, dtype=np.float64))};{crc}", store_tensors(steps / 8, times)
 
 
 def summary(documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Store each text as media, read it back, and give the digests and features of what was read."""
+    """Store each text as media, read it back, and give the digests, features and tensors (see ``load_tensors``) of what was read."""
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
-        out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors")}
         for t in texts:
             media = encode_wav(payload_of(t))
             back = decode_wav(media)
-            row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(back))
+            row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), *describe(back))
             for name, x in zip(out, row, strict=True):
                 out[name].append(x)
         return {"doc_id": part.column(0)} | out
 
-    return map_texts(only(documents, id, text), work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", text)
+    return map_texts(only(documents, id, text), work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors binary", text)

@@ -63,3 +63,12 @@ def test_query_form(spark):
     tensors = M.media_tensors(M.media_column(df.select("doc_id", "text"))).collect()
     assert all(len(r["tensor"]) == M.TENSOR * M.MELS and r["t_end"] > r["t_start"] for r in tensors)
     assert M.summary(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_result_has_the_tensors_as_an_arrow_stream(spark):
+    rows = [(1, "calm words then LOUD!!! " * 200), (2, ""), (None, None), (4, "x" * 5000)]
+    for r in M.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found, times = M.load_tensors(bytes(r["tensors"]))
+        want, spans = M.tensors(*M.features(M.payload_of((dict(rows)[r["doc_id"]] or "").encode())))
+        assert found.dtype == np.float32 and np.allclose(found, want, atol=0.0626) and np.array_equal(found * 8, np.round(found * 8)) and times == spans and found.shape[1:] == (M.TENSOR, M.MELS)
+        assert len(found) == int(r["feature"].split(";")[2])
