@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from shotloom.functions.vectors import cosine
 
+#: Rows of a scene that are compared with the others at once.
+BLOCK = 1024
+
 
 def links(shots: DataFrame, similar: float = 0.75, gap: float = 2.5) -> DataFrame:
     """Adds ``linked``: the shot continues the one before it, by looks (vec) or by dialogue that goes on (speech_start, speech_end: first and last line)."""
@@ -30,25 +33,29 @@ def group_uncapped(linked: DataFrame) -> DataFrame:
 def group(linked: DataFrame, longest: float = 300.0) -> DataFrame:
     """film_id, pos, scene_no: a scene also ends where the next shot would take it over ``longest`` seconds.
 
-    The cap makes this a fold over a film's shots in order; a film is one sorted array of four numbers a shot.
+    The cap makes this a fold over shots in order. Shots are first cut into the runs that the cap leaves out of account, and each run is folded by itself
+    into the places where its scenes start; so no film is one array, and the fold lists scenes, not shots.
     """
-    rows = linked.groupBy("film_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t_start", "t_end", "linked"))).alias("s"))
-    none = F.array().cast("array<struct<pos:int,scene_no:int>>")
+    runs = group_uncapped(linked).select("film_id", F.col("pos").cast("int").alias("pos"), "t_start", "t_end", F.col("scene_no").alias("run"))
+    folded = runs.groupBy("film_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "t_start", "t_end"))).alias("s"))
 
     def step(acc, x):
-        goes_on = x["linked"] & (x["t_end"] - acc["since"] <= longest) & (acc["scene"] >= 0)
-        scene = F.when(goes_on, acc["scene"]).otherwise(acc["scene"] + 1)
-        item = F.struct(x["pos"].cast("int").alias("pos"), scene.alias("scene_no"))
-        return F.struct(scene.alias("scene"), F.when(goes_on, acc["since"]).otherwise(x["t_start"]).alias("since"), F.concat(acc["out"], F.array(item)).alias("out"))
+        goes_on = x["t_end"] - acc["since"] <= longest
+        since = F.when(goes_on, acc["since"]).otherwise(x["t_start"].cast("double"))
+        return F.struct(since.alias("since"), F.when(goes_on, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(x["pos"]))).alias("starts"))
 
-    start = F.struct(F.lit(-1).alias("scene"), F.lit(0.0).alias("since"), none.alias("out"))
-    return rows.select("film_id", F.inline(F.aggregate("s", start, step, lambda a: a["out"])))
+    none = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<int>").alias("starts"))
+    starts = folded.select("film_id", F.explode(F.aggregate("s", none, step, lambda a: a["starts"])).alias("pos"), F.lit(1).alias("start"))
+    order = Window.partitionBy("film_id").orderBy("pos")
+    marked = runs.select("film_id", "pos").join(starts, ["film_id", "pos"], "left")
+    return marked.select("film_id", "pos", (F.sum(F.coalesce("start", F.lit(0))).over(order) - 1).cast("int").alias("scene_no"))
 
 
 def cluster(shots: DataFrame, distance: float = 0.12, id: str = "unit_id", vector: str = "vec") -> DataFrame:
     """Takes within a scene: single linkage at a cosine distance. Adds cluster_id (the least id) and is_representative (the longest, ties by id).
 
-    A scene is bounded by its capped duration, so its pairs are compared in one task.
+    A scene's shots are compared in one task, in blocks of ``BLOCK`` rows, so its memory grows with the shots and not with their pairs; its time
+    grows with the pairs, which ``group``'s cap on the duration bounds.
     """
     kind = dict(shots.dtypes)[id]
 
@@ -57,15 +64,14 @@ def cluster(shots: DataFrame, distance: float = 0.12, id: str = "unit_id", vecto
         x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
         n = np.linalg.norm(x, axis=1)
         x = x / np.where(n > 0, n, 1)[:, None]
-        near = (np.round(1 - x @ x.T, 6) <= distance) & (n > 0)[:, None] & (n > 0)[None, :]
-        label = np.arange(len(x))
-        while True:
-            low = np.where(near, label[None, :], len(x)).min(1)
-            low = np.minimum(label, low)
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
+        label, real = np.arange(len(x)), n > 0
+        for at in range(0, len(x), BLOCK):
+            end = min(at + BLOCK, len(x))
+            near = (np.round(1 - x[at:end] @ x[:end].T, 6) <= distance) & real[at:end, None] & real[None, :end]
+            for row in near:
+                joined = np.unique(label[:end][row])
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
         longest = (pdf["t_end"] - pdf["t_start"]).to_numpy()
         best = pd.DataFrame({"c": label, "d": -longest, "i": np.arange(len(x))}).sort_values(["c", "d", "i"]).drop_duplicates("c")["i"].to_numpy()
         return pd.DataFrame({"film_id": pdf["film_id"], "scene_id": pdf["scene_id"], id: pdf[id], "cluster_id": pdf[id].to_numpy()[label], "is_representative": np.isin(np.arange(len(x)), best)})
