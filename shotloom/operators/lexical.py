@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from shotloom.functions.text import tokens
 
 K1, LENGTH = 1.2, 0.75
+#: Pairs of query and term up to which they are sent to every task.
+TERMS = 100_000
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = LENGTH, id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """query_id, id, score, rank of the k best rows (all with None). A query term counts once.
 
-    Only occurrences of query terms are kept: the corpus is exploded, cut to the terms by a join, and summed before the shuffle.
+    The corpus is read and cut into tokens once: of its tokens only query terms go on, with one empty token a row, which sums up to the corpus'
+    totals before the shuffle. Frequencies of terms, totals and scores all use that one shuffle, whose keys (term, row) are many. Up to ``TERMS``
+    pairs of query and term are broadcast, so no term's occurrences meet in one task; more are joined, where skewed ones are split at run time.
     """
-    counted = corpus.select(id, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("n", F.size("t"))
-    total = counted.agg(F.count("*").cast("double").alias("docs"), F.avg("n").alias("mean"))
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    hits = counted.select(id, "n", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term").groupBy("term", id, "n").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    few = terms.limit(TERMS + 1).count() <= TERMS
+    sent = F.broadcast if few else (lambda df: df)
+    cut = corpus.select(id, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("n", F.size("t"))
+    spread = cut.select(id, "n", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).where("term is not null")
+    if few:
+        spread = spread.join(F.broadcast(terms.select("term").union(corpus.sparkSession.sql("SELECT '' AS term")).distinct()), "term", "left_semi")
+    real = F.col("term") != ""
+    keys = "term", F.when(real, F.col(id)).alias(id), F.when(real, F.col("n")).alias("n")
+    hits = spread.groupBy(*keys).agg(F.count("*").alias("tf"), F.sum(F.when(~real, F.col("n"))).alias("words"))
+    total = hits.where("words is not null").select(F.col("tf").cast("double").alias("docs"), (F.col("words") / F.col("tf")).alias("mean"))
+    found = hits.where("words is null")
+    df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # of tf, so that the shuffle is the same as that of the scores
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = terms.join(df, "term").join(F.broadcast(total)).select(query_id, "term", "mean", idf.alias("idf"))  # one row of totals
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = hits.join(df, "term").join(F.broadcast(total)).select("term", id, (idf * weight).alias("w"))  # one row of totals
-    found = terms.join(scored, "term").groupBy(query_id, id).agg(F.round(F.sum("w"), 6).alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id)))
+    scored = found.join(sent(asked), "term").groupBy(query_id, id).agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -93,6 +93,23 @@ def test_bm25(spark):
     assert [(r["doc_id"], r["score"]) for r in got] == [(1, round(weight(2, 1, 4) + weight(1, 2, 4), 6)), (2, round(weight(1, 2, 2), 6))]
 
 
+def test_bm25_reads_the_corpus_once_and_joins_many_terms_alike(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([(1, "a bb c"), (2, "h zz"), (3, ""), (4, None)], "query_id long, query string")
+    found = lexical.bm25(docs, queries, None)
+    got = sorted(map(tuple, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    assert {r[0] for r in got} == {1, 2}
+    monkeypatch.setattr(lexical, "TERMS", 1)
+    assert sorted(map(tuple, lexical.bm25(docs, queries, None).collect())) == got
+    assert lexical.bm25(docs.where("doc_id < 0"), queries).collect() == []
+
+
 def test_fusion_and_prior(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, unit_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1)], "query_id int, unit_id string, rank int")
@@ -162,6 +179,21 @@ def test_capped_scenes_equal_the_loop(spark):
     assert sorted(map(tuple, scenes.group(df).collect())) == sorted(want)
 
 
+def test_takes_in_blocks_equal_those_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, "f", "s", [float(y) for y in rng.normal(size=3)], 0.0, float(k % 7)) for k in range(150)]
+    df = spark.createDataFrame(rows, "unit_id long, film_id string, scene_id string, vec array<float>, t_start double, t_end double")
+    whole = sorted(map(tuple, scenes.cluster(df, 0.02).collect()))
+    near = lambda a, b: 1 - np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) <= 0.02
+    close = [[j for j in range(150) if near(rows[i][3], rows[j][3])] for i in range(150)]
+    label = list(range(150))
+    while (new := [min(label[j] for j in close[i]) for i in range(150)]) != label:
+        label = new
+    assert [r[3] for r in whole] == label and len(set(label)) > 3
+    monkeypatch.setattr(scenes, "BLOCK", 7)
+    assert sorted(map(tuple, scenes.cluster(df, 0.02).collect())) == whole
+
+
 def test_takes_and_scores(spark):
     v = lambda *x: [float(y) for y in x]
     rows = [("a", "f", "s", v(1, 0), 0.0, 5.0), ("b", "f", "s", v(1, 0.1), 5.0, 12.0), ("c", "f", "s", v(1, 0.55), 12.0, 19.0), ("d", "f", "s", v(0, 1), 19.0, 20.0), ("e", "f", "t", v(1, 0), 20.0, 21.0), ("z", "f", "t", v(0, 0), 21.0, 22.0)]
