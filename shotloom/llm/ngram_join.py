@@ -10,9 +10,9 @@ elements there. Linked sets share at least one signature. Spare groups let sets
 
 Steps, each bounded in memory and written to the shared folder:
 1. equal sets become one class, aggregated before the shuffle. A class has its size, a sketch of 512 bits and its text, compressed;
-2. signatures are made from the classes in ``rounds`` slices of the hash domain, so that only a slice is on disk at a time, and kept where two classes
-   share them. A fixed array of 65,536 counts over all signatures finds buckets that a frequent signature dominates; those are counted
-   by partial aggregates and a join that the engine may split, the others by a window;
+2. signatures are made from the classes and written; ``rounds`` slices of the hash domain are shuffled one after the other, so that only a
+   slice's shuffle is on disk at a time, and kept where two classes share them. Counts of 65,536 buckets over all signatures find those that a
+   frequent signature dominates; they are counted by partial aggregates and a join that the engine may split, the others by a window;
 3. each signature's classes have a centre: that of them which shares the most over all its signatures, so a family of near copies
    has few centres. Every class is compared with its centres. A sketch holds, for each of its bits, the parity of the number of elements
    hashed to it; two sketches thus differ in no more bits than their sets in elements, and pairs whose sketches differ
@@ -164,36 +164,26 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[p
             yield part, [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def _frequent(classes: DataFrame, enum: PartEnum, width: int, floor: int, folder: str) -> list[int]:
-    """The buckets that hold far more signatures than the others; tasks send counts of at most BUCKETS buckets."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(BUCKETS, np.int64)
-        for _, found in _unpacked(batches, width):
-            signs = np.concatenate([enum.signatures(s) for s in found]) if found else np.zeros(0, U64)
-            have += np.bincount((signs & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(have[at])], names=["bucket", "n"])
-
-    counts = classes.select("packed").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = settle(counts, folder, "buckets")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) // BUCKETS
-    return [r["bucket"] for r in counts.where(F.col("n") > max(floor, 8 * mean)).collect()]  # under BUCKETS / 8 numbers
-
-
-def _signed(classes: DataFrame, enum: PartEnum, width: int, rounds: int, turn: int) -> DataFrame:
-    """(sign, node) of the signatures of one slice of the hash domain; each once a class."""
+def _signed(classes: DataFrame, enum: PartEnum, width: int) -> DataFrame:
+    """(sign, node) of all signatures; each once a class."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _unpacked(batches, width):
             signs = [np.unique(enum.signatures(s)) for s in found]
-            signs = [x[x % U64(rounds) == U64(turn)] for x in signs] if rounds > 1 else signs
             node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
             yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
 
     return classes.select("node", "packed").mapInArrow(emit, "sign long, node long")
 
 
+def _frequent(rows: DataFrame, floor: int, folder: str) -> list[int]:
+    """The buckets that hold far more signatures than the others; partial aggregates leave at most BUCKETS counts a task."""
+    counts = rows.groupBy(F.col("sign").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = settle(counts, folder, "buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) // BUCKETS
+    return [r["bucket"] for r in counts.where(F.col("n") > max(floor, 8 * mean)).collect()]  # under BUCKETS / 8 numbers
+
+
 def _shared(rows: DataFrame, hot: list[int]) -> DataFrame:
     """(sign, node, size): the rows of signatures that two classes or more have, and how many have them."""
     same = Window.partitionBy("sign")
@@ -304,7 +294,7 @@ def _meet(rows: DataFrame, keys: list[str], about: DataFrame, percent: int) -> D
     return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & _close(percent)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
 
-def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 2, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
+def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 4, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets."""
     enum, spark = enum or PartEnum(percent), documents.sparkSession
     folder = shared_folder(spark)
@@ -312,8 +302,11 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes", release=True)  # fixed once written
 
-    hot = _frequent(classes, enum, width, floor, folder)
-    turns = [settle(_shared(_signed(classes, enum, width, rounds, k), hot), folder, f"shared-{k}", release=True) for k in range(rounds)]
+    rows = settle(_signed(classes, enum, width), folder, "signed")
+    hot = _frequent(rows, floor, folder)
+    slices = [rows.where(F.pmod(F.shiftright("sign", 16), F.lit(rounds)) == k) for k in range(rounds)]
+    turns = [settle(_shared(slice_, hot), folder, f"shared-{k}", release=True) for k, slice_ in enumerate(slices)]
+    discard(spark, folder, "signed")
     members = settle(_centred(reduce(DataFrame.unionByName, turns)), folder, "members", release=True)
     discard(spark, folder, *(f"shared-{k}" for k in range(rounds)))
 
