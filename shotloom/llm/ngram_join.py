@@ -10,9 +10,9 @@ elements there. Linked sets share at least one signature. Spare groups let sets
 
 Steps, each bounded in memory and written to the shared folder:
 1. equal sets become one class, aggregated before the shuffle. A class has its size, a sketch of 512 bits and its text, compressed;
-2. signatures are made from the classes and written; ``rounds`` slices of the hash domain are shuffled one after the other, so that only a
-   slice's shuffle is on disk at a time, and kept where two classes share them. Counts of 65,536 buckets over all signatures find those that a
-   frequent signature dominates; they are counted by partial aggregates and a join that the engine may split, the others by a window;
+2. signatures are made from the classes and written, in one or more ``passes`` over parts of the hash domain. ``rounds`` slices of a pass are shuffled
+   one after the other, so that only a slice's shuffle is on disk at a time, and kept where two classes share them. Counts of 65,536 buckets
+   over all signatures of a pass find those that a frequent signature dominates; they are counted by partial aggregates and a join that the engine may split, the others by a window;
 3. each signature's classes have a centre: that of them which shares the most over all its signatures, so a family of near copies
    has few centres. Every class is compared with its centres. A sketch holds, for each of its bits, the parity of the number of elements
    hashed to it; two sketches thus differ in no more bits than their sets in elements, and pairs whose sketches differ
@@ -164,12 +164,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[p
             yield part, [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def _signed(classes: DataFrame, enum: PartEnum, width: int) -> DataFrame:
-    """(sign, node) of all signatures; each once a class."""
+def _signed(classes: DataFrame, enum: PartEnum, width: int, passes: int, turn: int) -> DataFrame:
+    """(sign, node) of the signatures of one pass, that is, one part of the hash domain; each once a class."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _unpacked(batches, width):
             signs = [np.unique(enum.signatures(s)) for s in found]
+            signs = [x[(x >> U64(40)) % U64(passes) == U64(turn)] for x in signs] if passes > 1 else signs
             node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
             yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
 
@@ -294,21 +295,25 @@ def _meet(rows: DataFrame, keys: list[str], about: DataFrame, percent: int) -> D
     return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & _close(percent)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
 
-def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 4, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets."""
+def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 4, passes: int = 1, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets. With more ``passes`` fewer signatures are on disk at a time, and
+    they are computed that often; the result is the same."""
     enum, spark = enum or PartEnum(percent), documents.sparkSession
     folder = shared_folder(spark)
     some = sets(documents, width, True, text, id).where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes", release=True)  # fixed once written
 
-    rows = settle(_signed(classes, enum, width), folder, "signed")
-    hot = _frequent(rows, floor, folder)
-    slices = [rows.where(F.pmod(F.shiftright("sign", 16), F.lit(rounds)) == k) for k in range(rounds)]
-    turns = [settle(_shared(slice_, hot), folder, f"shared-{k}", release=True) for k, slice_ in enumerate(slices)]
-    discard(spark, folder, "signed")
+    turns = []
+    for turn in range(passes):
+        rows = settle(_signed(classes, enum, width, passes, turn), folder, f"signed-{turn}")
+        hot = _frequent(rows, floor, folder)
+        for k in range(rounds):
+            part = rows.where(F.pmod(F.shiftright("sign", 16), F.lit(rounds)) == k)
+            turns.append(settle(_shared(part, hot), folder, f"shared-{len(turns)}", release=True))
+        discard(spark, folder, f"signed-{turn}")
     members = settle(_centred(reduce(DataFrame.unionByName, turns)), folder, "members", release=True)
-    discard(spark, folder, *(f"shared-{k}" for k in range(rounds)))
+    discard(spark, folder, *(f"shared-{k}" for k in range(len(turns))))
 
     stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = settle(_sketched(stars, classes, percent), folder, "stars", release=True)
@@ -350,7 +355,7 @@ def _digested(documents: DataFrame, width: int, names: tuple[str, str, str], tex
     return documents.mapInArrow(work, StructType([*documents.schema.fields, *(StructField(n, LongType()) for n in names)]))
 
 
-def representatives(documents: DataFrame, width: int = 3, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+def representatives(documents: DataFrame, width: int = 3, text: str = "text", id: str = "doc_id", passes: int = 2, **options) -> DataFrame:
     """One document of each linked group, that with the least id, with all its columns.
 
     Rows with one id and different sets are different documents. Of rows with one id and one set one stays, the least when all columns are read as
@@ -358,7 +363,7 @@ def representatives(documents: DataFrame, width: int = 3, text: str = "text", id
     """
     columns, spark = documents.columns, documents.sparkSession
     n, h1, h2, times, row = fresh(columns, "n", "h1", "h2", "times", "row")
-    found = link(documents, width, text=text, id=id, **options)
+    found = link(documents, width, text=text, id=id, passes=passes, **options)
     found = found.where("doc_id is not null and (n_shingles = 0 or doc_id = component_id)").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias(times))
     state = settle(found.select(F.col("doc_id").alias(id), F.col("h1").alias(h1), F.col("h2").alias(h2), times), shared_folder(spark), "kept", release=True)
     marked = _digested(documents, width, (n, h1, h2), text)

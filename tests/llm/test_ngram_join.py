@@ -53,7 +53,7 @@ def families(seed, members, length, edits, start=0):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"few_members": 2, "floor": 5, "rounds": 3}, {"enum": N.PartEnum(90, 2, 1), "rounds": 1}, {"enum": N.PartEnum(90, 4, 2)}, {"percent": 80, "width": 5, "few_members": 3}])
+@pytest.mark.parametrize("options", [{}, {"few_members": 2, "floor": 5, "rounds": 3, "passes": 2}, {"enum": N.PartEnum(90, 2, 1), "rounds": 1}, {"enum": N.PartEnum(90, 4, 2)}, {"percent": 80, "width": 5, "few_members": 3}])
 def test_equals_brute_force_on_families_around_the_threshold(spark, options):
     rows = families(1, 40, 150, [0, 1, 2, 3, 4], 0) + families(2, 30, 60, [0, 1, 2], 100) + families(3, 25, 12, [0, 1], 200) + families(4, 30, 400, [4, 6, 8], 300)
     rows += [(500 + k, t) for k, t in enumerate(["", None, "one", "One", "two words", "two  WORDS", "a b c", "É b c", "é b c"])]
