@@ -8,7 +8,6 @@ All hashes are 64 bits, fixed by seeded constants, and equal on every executor.
 
 from __future__ import annotations
 
-import functools
 import gc
 import os
 import uuid
@@ -44,7 +43,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     out = []
@@ -59,9 +57,17 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: The longest table that a worker keeps, one a base; longer ones are made when needed and let go.
+KEPT_POWERS = 1 << 21
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, (n - 1).bit_length())
-    p, q = _powers(base, size)
+    if n > KEPT_POWERS:
+        return _powers(base, n)
+    if base not in _kept or len(_kept[base][0]) < n:
+        _kept[base] = _powers(base, 1 << max(16, (n - 1).bit_length()))
+    p, q = _kept[base]
     return p[:n], q[:n]
 
 
