@@ -3,12 +3,14 @@
 Words are runs of bytes other than space and \\x09-\\x0D in the UTF-8 text; none of those six bytes occurs inside a
 multi-byte UTF-8 sequence, so byte-wise splitting equals splitting by code point.
 
-All hashes are 64 bits, fixed by seeded constants, and equal on every executor.
+A word of up to 15 bytes is hashed through its bytes and length as two numbers, in four rounds of a Feistel network, so its two values together are
+one to one; of a longer word BLAKE2b is taken, once for each distinct word of a batch. Word sequences are compared by 128 bits of BLAKE2b over the words (``digest``). All hashes are equal on every executor.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 #: The base of a second, independent hash of windows.
 OTHER = 0xA24BAED4963EE407 | 1
@@ -36,7 +37,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(_P))
+#: The bytes that a word of k bytes fills in an 8-byte number.
+_FILLED = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_KEYS = [U64(0x632BE59BD9B4E019), U64(0xE220A8397B1DCDAF), U64(0x6E789E6AA1B965F4), U64(0x06C45D188009454F)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,46 +77,69 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a list of texts, hashed together.
 
-    start, end: byte positions in ``data``; hash: one value a word; first[i]:first[i + 1] are text i's words.
+    start, end: byte positions in ``buf``; hash, more: two independent values a word; first[i]:first[i + 1] are text i's words. Besides the flags of its bytes, all
+    that a text takes up is a few numbers a word.
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False) -> None:
-        self.data = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(self.data, np.uint8)
+        data = b"\n".join([*texts, b"\n" * 16])  # a separator behind each text, and room to read 16 bytes anywhere
+        whole = np.frombuffer(data, np.uint8)
         if lower:
-            buf = _LOWER[buf]
-            self.data = buf.tobytes()
-        self.buf = buf
+            whole = _LOWER[whole]
+        self.buf = whole[: len(whole) - 16]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths + 1)])
-        space = np.concatenate([[True], _SPACE[buf]])
+        space = np.concatenate([[True], _SPACE[self.buf], [True]])
         turn = np.flatnonzero(space[1:] != space[:-1])
         self.start, self.end = turn[::2], turn[1::2]
-        p, q = powers(_P, len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(_TABLE[buf] * p[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * q[self.start] + (self.end - self.start).astype(U64))
         self.first = np.searchsorted(self.start, self.offset)
+        size = self.end - self.start
+        eight = np.ndarray(len(self.buf) + 9, "<u8", whole, strides=(1,))
+        low = eight[self.start] & _FILLED[np.minimum(size, 8)]
+        high = (np.minimum(size, 16).astype(U64) << U64(56)) | (eight[self.start + 8] & _FILLED[np.clip(size - 8, 0, 7)])
+        for key in _KEYS:
+            low, high = high, low ^ mix(high + key)
+        long = np.flatnonzero(size > 15)
+        if len(long):
+            ends = np.stack([self.start[long], self.end[long]], 1).ravel()
+            runs = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+            coded = runs.take(pa.array(np.arange(0, len(ends), 2))).dictionary_encode()
+            found = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist()])
+            low[long], high[long] = np.frombuffer(found, "<u8").reshape(-1, 2)[coded.indices.to_numpy()].T
+        self.hash, self.more = high, low
 
     def windows(self, i: int, size: int) -> np.ndarray:
         """The hash of each window of ``size`` consecutive words of text i."""
         return windows(self.hash[self.first[i] : self.first[i + 1]], size)
 
 
+#: The longest windows that are hashed as polynomials; modulo 2**64 those of some longer sequences agree for every base.
+POLYNOMIAL = 256
+
+
 def windows(h: np.ndarray, size: int, base: int = _Q) -> np.ndarray:
+    """The hash of each run of ``size`` values; longer ones are hashed from their halves."""
     if len(h) < size:
         return np.zeros(0, U64)
+    if size > POLYNOMIAL:
+        half = size // 2
+        left, right = windows(h, half, base), windows(h, size - half, base)
+        return mix(mix(left[: len(right) - half] + U64(size)) * U64(base) ^ right[half:])
     p, q = powers(base, len(h) + 1)
     sums = np.zeros(len(h) + 1, U64)
     np.cumsum(h * p[:-1], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * q[: len(h) - size + 1] + U64(size))
 
 
-def digest(h: np.ndarray, salt: int) -> int:
-    """One signed 64-bit value for a sequence of hashes, its order included."""
-    p, _ = powers(_Q, len(h) + 1)
-    total = int((mix(h + U64(salt)) * p[1:]).sum(dtype=U64)) if len(h) else 0
-    return signed(int(mix(np.array([(total + salt * 7919 + len(h)) & MASK], U64))[0]))
+def digest(data: bytes) -> tuple[int, int]:
+    """Two signed 64-bit values: BLAKE2b."""
+    found = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+
+
+def joined(text: bytes) -> bytes:
+    """The words, joined by one space: equal where the sequences of words are."""
+    return b" ".join(text.split())
 
 
 def signed(x: int) -> int:

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shotloom.llm._words import U64, Words, as_long, chunks, discard, fresh, map_texts, mix, only, settle, shared_folder, signed, windows
+from shotloom.llm._words import U64, Words, as_long, chunks, digest, discard, fresh, map_texts, mix, only, settle, shared_folder, windows
 from shotloom.llm.components import connected
 
 BUCKETS = 1 << 16
@@ -144,12 +144,13 @@ def sets(documents: DataFrame, width: int = 3, whole: bool = False, text: str =
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
         w = Words(texts, lower=True)
         found = [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        marks = [digest(s.tobytes()) for s in found]
         shrink = zstandard.ZstdCompressor(level=3).compress
         return {
             "doc_id": part.column(0),
             "n_shingles": [len(s) for s in found],
-            "h1": [signed(int(mix(s + U64(11)).sum(dtype=U64))) for s in found],
-            "h2": [signed(int(mix(s + U64(23)).sum(dtype=U64))) for s in found],
+            "h1": [h for h, _ in marks],
+            "h2": [h for _, h in marks],
         } | ({"bits": [sketch(s).tolist() for s in found], "packed": [shrink(t) for t in texts]} if whole else {})
 
     return map_texts(only(documents, id, text), work, "doc_id long, n_shingles long, h1 long, h2 long" + (", bits array<long>, packed binary" if whole else ""), text)
@@ -349,8 +350,8 @@ def _digested(documents: DataFrame, width: int, names: tuple[str, str, str], tex
             for part in chunks(batch, at, 1 << 20):
                 w = Words([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()], lower=True)
                 found = [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                more = [[len(s) for s in found], *([signed(int(mix(s + U64(salt)).sum(dtype=U64))) for s in found] for salt in (11, 23))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in more)], names=[*columns, *names])
+                more = zip(*((len(s), *digest(s.tobytes())) for s in found), strict=True) if found else [[]] * 3
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(list(x), pa.int64()) for x in more)], names=[*columns, *names])
 
     return documents.mapInArrow(work, StructType([*documents.schema.fields, *(StructField(n, LongType()) for n in names)]))
 

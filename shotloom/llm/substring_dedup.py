@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from shotloom.llm._words import OTHER, U64, Words, as_long, chunks, digest, discard, fresh, map_texts, only, settle, shared_folder, windows
+from shotloom.llm._words import OTHER, U64, Words, as_long, chunks, digest, discard, fresh, joined, map_texts, only, settle, shared_folder, windows
 
 
 def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
@@ -79,9 +79,11 @@ def profile(documents: DataFrame, size: int, text: str, id: str) -> DataFrame:
         halves = []
         for i, t in enumerate(texts):
             h = w.hash[w.first[i] : w.first[i + 1]]
-            out["k1"].append(digest(h, 3))
-            out["k2"].append(digest(h, 5))
-            out["whole"].append(hashlib.sha256(b" ".join(t.split())).hexdigest())
+            whole = joined(t)
+            k1, k2 = digest(whole)
+            out["k1"].append(k1)
+            out["k2"].append(k2)
+            out["whole"].append(hashlib.sha256(whole).hexdigest())
             v = windows(h, half) if len(h) >= size else np.zeros(0, U64)
             halves.append(as_long(np.unique(v[chosen(v, size - half + 1)])))
         ends = np.cumsum([0, *map(len, halves)]).astype(np.int32)
@@ -95,10 +97,9 @@ def pack(documents: DataFrame, text: str, id: str) -> DataFrame:
     """doc_id, the digest of the words, and the compressed text."""
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
-        w = Words(texts)
-        spans = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        marks = [digest(joined(t)) for t in texts]
         shrink = zstandard.ZstdCompressor(level=3).compress
-        return {"doc_id": part.column(0), "k1": [digest(h, 3) for h in spans], "k2": [digest(h, 5) for h in spans], "packed": [shrink(t) for t in texts]}
+        return {"doc_id": part.column(0), "k1": [k for k, _ in marks], "k2": [k for _, k in marks], "packed": [shrink(t) for t in texts]}
 
     return map_texts(only(documents, id, text), work, "doc_id long, k1 long, k2 long, packed binary", text)
 
@@ -132,12 +133,13 @@ def _grown(documents: DataFrame, alive: DataFrame, size: int, starts, text: str,
     def extend(part: pa.RecordBatch, packed: list[bytes]) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
         w = Words([unpack(x) for x in packed])
+        more = w.more
         out: dict = {"hashes": [], "mores": [], "starts": []}
         for i, keep in enumerate(part.column(4)):
-            h = w.hash[w.first[i] : w.first[i + 1]]
-            at = starts(h, keep.values.to_numpy(), size)
-            out["hashes"].append(as_long(windows(h, size)[at]))
-            out["mores"].append(as_long(windows(h, size, OTHER)[at]))
+            own = slice(w.first[i], w.first[i + 1])
+            at = starts(w.hash[own], keep.values.to_numpy(), size)
+            out["hashes"].append(as_long(windows(w.hash[own], size)[at]))
+            out["mores"].append(as_long(windows(more[own], size, OTHER)[at]))
             out["starts"].append(at.astype(np.int32))
         ends = np.cumsum([0, *map(len, out["starts"])]).astype(np.int32)
         lists = {k: pa.ListArray.from_arrays(ends, np.concatenate(x)) for k, x in out.items()}
@@ -246,9 +248,9 @@ def without_repeats(documents: DataFrame, size: int = 50, text: str = "text", id
     def digests(batches):
         for batch in batches:
             for part in chunks(batch, at, 1 << 20):
-                w = Words([x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()])
-                spans = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                arrays = [*part.columns, pa.array([digest(h, 3) for h in spans], pa.int64()), pa.array([digest(h, 5) for h in spans], pa.int64()), pa.array([len(h) for h in spans], pa.int64())]
+                cut_up = [(x or b"").split() for x in part.column(at).cast(pa.binary()).to_pylist()]
+                marks = [(*digest(b" ".join(words)), len(words)) for words in cut_up]
+                arrays = [*part.columns, *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, k1, k2, n_words])
 
     def cut(batches):
