@@ -79,7 +79,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 class PartEnum:
-    """Signatures for one threshold; ``parts`` (n2) and ``level`` (k2) choose the subsets."""
+    """Signatures for one threshold; ``parts`` (n2) and ``level`` (k2) choose the subsets.
+
+    ``link`` asks a scheme for the ``sketch`` of a set, for the rows (sign, node) of all classes, and for ``close``, which says of sketches whether sets may link.
+    """
+
+    sketch = staticmethod(sketch)
 
     def __init__(self, percent: int = 90, parts: int = 3, level: int = 1) -> None:
         self.percent, self.parts, self.level = percent, parts, level
@@ -137,8 +142,25 @@ class PartEnum:
                 out.append(found[~empty[:, subset].all(1)] if some else found)
         return np.concatenate(out) if out else np.zeros(0, U64)
 
+    def signed(self, classes: DataFrame, width: int, passes: int = 1, turn: int = 0) -> DataFrame:
+        """(sign, node) of the signatures of one pass, that is, one part of the hash domain; each once a class."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, found in _unpacked(batches, width):
+                signs = [np.unique(self.signatures(s)) for s in found]
+                signs = [x[(x >> U64(40)) % U64(passes) == U64(turn)] for x in signs] if passes > 1 else signs
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
+
+        return classes.select("node", "packed").mapInArrow(emit, "sign long, node long")
+
+    def close(self) -> Column:
+        """Whether sets of the sizes an and bn with the sketches abits and bbits may link: each bit in which they differ is an element of one set alone."""
+        apart = reduce(Column.__add__, (F.bit_count(F.col("abits")[k].bitwiseXOR(F.col("bbits")[k])) for k in range(SKETCH)))
+        return (100 * F.least("an", "bn") >= self.percent * F.greatest("an", "bn")) & (apart * (100 + self.percent) <= (F.col("an") + F.col("bn")) * (100 - self.percent))
+
 
-def sets(documents: DataFrame, width: int = 3, whole: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
+def sets(documents: DataFrame, width: int = 3, whole: bool = False, text: str = "text", id: str = "doc_id", sketch: Callable[[np.ndarray], np.ndarray] = sketch) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (the set's digest); with ``whole`` the sketch and the compressed text as well."""
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
@@ -165,19 +187,6 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[p
             yield part, [shingle_set(w.hash[a:b], width) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def _signed(classes: DataFrame, enum: PartEnum, width: int, passes: int, turn: int) -> DataFrame:
-    """(sign, node) of the signatures of one pass, that is, one part of the hash domain; each once a class."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _unpacked(batches, width):
-            signs = [np.unique(enum.signatures(s)) for s in found]
-            signs = [x[(x >> U64(40)) % U64(passes) == U64(turn)] for x in signs] if passes > 1 else signs
-            node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
-
-    return classes.select("node", "packed").mapInArrow(emit, "sign long, node long")
-
-
 def _frequent(rows: DataFrame, floor: int, folder: str) -> list[int]:
     """The buckets that hold far more signatures than the others; partial aggregates leave at most BUCKETS counts a task."""
     counts = rows.groupBy(F.col("sign").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
@@ -239,16 +248,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     return _beside(pairs, classes, width, lambda x, y: () if linked(x, y, percent) else None, "")
 
 
-def _close(percent: int) -> Column:
-    """Whether sets of the sizes an and bn with the sketches abits and bbits may link: each bit in which they differ is an element of one set alone."""
-    apart = reduce(Column.__add__, (F.bit_count(F.col("abits")[k].bitwiseXOR(F.col("bbits")[k])) for k in range(SKETCH)))
-    return (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
-
-
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, close: Column) -> DataFrame:
     """The pairs (a, b) that their sizes and sketches let link."""
     a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}bits")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_close(percent)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
 
 
 def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
@@ -289,25 +292,25 @@ def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, fo
     return rows
 
 
-def _meet(rows: DataFrame, keys: list[str], about: DataFrame, percent: int) -> DataFrame:
+def _meet(rows: DataFrame, keys: list[str], about: DataFrame, close: Column) -> DataFrame:
     """Pairs (a, b) of rows that agree in the keys, are in different components and may link by their sizes and sketches."""
     full = rows.select(*keys, "node").join(about, "node")
     a, b = (full.select(*keys, *(F.col(c).alias(x + c) for c in ("node", "n", "component", "bits"))) for x in "ab")
-    return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & _close(percent)).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & close).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
 
 
 def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 4, passes: int = 1, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, h1, h2; equal (h1, h2) are equal sets. With more ``passes`` fewer signatures are on disk at a time, and
-    they are computed that often; the result is the same."""
+    they are computed that often; the result is the same. ``enum`` may be another scheme of signatures and sketches (see ``PartEnum``)."""
     enum, spark = enum or PartEnum(percent), documents.sparkSession
     folder = shared_folder(spark)
-    some = sets(documents, width, True, text, id).where("n_shingles > 0")
+    some = sets(documents, width, True, text, id, enum.sketch).where("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes", release=True)  # fixed once written
 
     turns = []
     for turn in range(passes):
-        rows = settle(_signed(classes, enum, width, passes, turn), folder, f"signed-{turn}")
+        rows = settle(enum.signed(classes, width, passes, turn), folder, f"signed-{turn}")
         hot = _frequent(rows, floor, folder)
         for k in range(rounds):
             part = rows.where(F.pmod(F.shiftright("sign", 16), F.lit(rounds)) == k)
@@ -317,7 +320,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     discard(spark, folder, *(f"shared-{k}" for k in range(len(turns))))
 
     stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = settle(_sketched(stars, classes, percent), folder, "stars", release=True)
+    stars = settle(_sketched(stars, classes, enum.close()), folder, "stars", release=True)
     edges = settle(_verified(stars, classes, width, percent), folder, "links-1", release=True)
     parts = connected(edges, folder, "parts-1")
 
@@ -326,9 +329,9 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     mixed = owned.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
     owned = settle(members.join(mixed, "sign"), folder, "mixed", release=True)
     about = classes.select("node", "n", "bits").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    few = settle(_meet(owned.where(F.col("size") <= few_members), ["sign"], about, percent).distinct(), folder, "few", release=True)
+    few = settle(_meet(owned.where(F.col("size") <= few_members), ["sign"], about, enum.close()).distinct(), folder, "few", release=True)
     many = owned.where((F.col("size") > few_members) & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, percent).unionByName(few).distinct()
+    rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, enum.close()).unionByName(few).distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
     parts = connected(edges.unionByName(more), folder, "parts-2")

@@ -28,6 +28,8 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+MINHASH = f"SELECT *, doc_id = component_id AS kept FROM ({NGRAM_JOIN.replace('100 * k >= 90', '100 * k >= 85')})"
+
 SUBSTRING_DEDUP = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
  g AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
@@ -37,3 +39,24 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws
  o AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.k) AS kept, count(*) AS n FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.k = k.k WHERE c.k IS NULL GROUP BY k.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)
 """
+
+
+def _lloyd(rounds: int = 10) -> str:
+    steps = [
+        """WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ e AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range(64)) AS p FROM kept),
+ s AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v FROM kept WHERE vec_id IS NOT NULL QUALIFY k < 8),
+ c0 AS MATERIALIZED (SELECT k, unnest(v) AS x, unnest(range(64)) AS p FROM s)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""d{n} AS MATERIALIZED (SELECT r, k, d FROM (SELECT r, k, sum((e.x - c.x) * (e.x - c.x))::HUGEINT AS d FROM e JOIN c{n} c USING (p) GROUP BY r, k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT k, p, sum(x)::HUGEINT AS t, count(*) AS n FROM d{n} JOIN e USING (r) GROUP BY k, p),
+ c{n + 1} AS MATERIALIZED (SELECT c.k, c.p, coalesce((t - ((t % n) + n) % n) // n, c.x)::BIGINT AS x FROM c{n} c LEFT JOIN m{n} m ON m.k = c.k AND m.p = c.p)""")
+    return ",\n ".join(steps) + f"""
+SELECT vec_id, d.k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY d.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+ FROM d{rounds} d JOIN kept USING (r) JOIN (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS h FROM c{rounds} GROUP BY k) USING (k)"""
+
+
+LLOYD = _lloyd()

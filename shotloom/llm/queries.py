@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one of them to its whole table with production parameters."""
+"""The registered queries of the operators: each applies one of them to its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -73,6 +73,26 @@ def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.dual_tree import cluster
+
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shotloom.llm.token_align import alignment
+
+    return alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_wrapper": op2_html_wrapper,
@@ -84,10 +104,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_attention_mil": op10_attention_mil,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hyperminhash": op13_hyperminhash,
 }
 
 ORACLES: dict[str, str] = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op7_rule_ledger": oracles.RULE_LEDGER,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op11_dual_tree_lloyd": oracles.LLOYD,
+    "op13_hyperminhash": oracles.MINHASH,
 }
