@@ -423,18 +423,15 @@ GOLD_SQL = """gold AS (SELECT vec_id AS id, CASE vec_id // 100 % 4 WHEN 0 THEN '
 
 
 def gold_set(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The query vectors, whose answers are the units of their label, every fifth still a placeholder; and the ranked results."""
+    """The query vectors, every fifth still a placeholder, and their first hits among the ranked results; answers are the units of the query's label."""
     from pyspark.sql import Window
 
     units = unit_vectors(spark, d)
-    asked = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("id"), F.col("label").alias("wanted"))
-    answers = asked.join(units, (F.col("label") == F.col("wanted")) & (F.col("unit_id") != F.col("id"))).groupBy("id").agg(F.collect_list(F.struct(F.col("film_id").cast("string").alias("film_id"), "t_start", "t_end")).alias("real"))
-    fake = F.array(F.struct(F.lit(evaluation.PLACEHOLDER).alias("film_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end")))
-    intents, nth = F.array(*map(F.lit, ("vibe", "dialogue", "visual", "plot"))), F.floor(F.col("id") / 100)
-    gold = asked.join(answers, "id", "left").select("id", intents[(nth % 4).cast("int")].alias("intent"), F.when(nth % 5 == 4, fake).otherwise(F.coalesce("real", F.array(F.struct(F.lit("none").alias("film_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end"))))).alias("acceptable"))
+    intents, nth = F.array(*map(F.lit, ("vibe", "dialogue", "visual", "plot"))), F.floor(F.col("unit_id") / 100)
+    asked = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("id"), "label", intents[(nth % 4).cast("int")].alias("intent"), (nth % 5 == 4).alias("placeholder"))
     found = search.top_k_batch(units, queries_of(spark, d), 21).where("unit_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    placed = found.join(units.select("unit_id", "film_id", "t_start", "t_end"), "unit_id")
-    return gold, placed.select(F.col("query_id").alias("id"), "rank", F.col("film_id").cast("string").alias("film_id"), "t_start", "t_end")
+    placed = found.join(units.select("unit_id", "film_id", "t_start", "t_end"), "unit_id").select(F.col("query_id").alias("id"), "rank", "film_id", "t_start", "t_end")
+    return asked, evaluation.first_hits_by_table(asked.where("not placeholder"), placed, units, "label")
 
 
 EVAL_SQL = f"WITH {UNITS_SQL}, {BATCH_SQL.format(k=21)}, {GOLD_SQL}"
@@ -443,7 +440,7 @@ RATES = 'count(*) AS evaluated, round(count(*) FILTER (WHERE first_rank <= 5) /
 
 @query(f"{EVAL_SQL} SELECT id, intent, first_rank::INT AS first_rank, coalesce(first_rank <= 5, false) AS hit5, coalesce(first_rank <= 10, false) AS hit10 FROM firsts")
 def hit_at_k(spark, d):
-    first = evaluation.first_hits(*gold_set(spark, d))
+    _, first = gold_set(spark, d)
     return first.select("id", "intent", "first_rank", F.coalesce(F.col("first_rank") <= 5, F.lit(False)).alias("hit5"), F.coalesce(F.col("first_rank") <= 10, F.lit(False)).alias("hit10"))
 
 
@@ -453,25 +450,28 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f'{EVAL_SQL} SELECT evaluated, (SELECT count(*) FROM gold WHERE placeholder) AS skipped, "hit@5", "hit@10", mrr FROM (SELECT {RATES} FROM firsts)')
 def eval_metrics(spark, d):
-    return _rounded(evaluation.metrics(*gold_set(spark, d)))
+    asked, first = gold_set(spark, d)
+    return _rounded(evaluation.metrics_of(first, asked.agg(F.count_if("placeholder").alias("skipped"))))
 
 
 @query(f"{EVAL_SQL} SELECT intent, grouping(intent)::INT AS is_total, {RATES} FROM firsts GROUP BY ROLLUP (intent)")
 def eval_rollup(spark, d):
-    return _rounded(evaluation.by_intent(*gold_set(spark, d))).withColumn("is_total", F.col("is_total").cast("int"))
+    return _rounded(evaluation.by_intent_of(gold_set(spark, d)[1])).withColumn("is_total", F.col("is_total").cast("int"))
 
 
 @query(f"{EVAL_SQL} SELECT intent, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr FROM firsts GROUP BY intent")
 def mrr_by_intent(spark, d):
-    return _rounded(evaluation.by_intent(*gold_set(spark, d))).where("is_total = 0").select("intent", "mrr")
+    return _rounded(evaluation.by_intent_of(gold_set(spark, d)[1])).where("is_total = 0").select("intent", "mrr")
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, true)) t(id, placeholder)")
+@query("SELECT vec_id AS id, vec_id % 5 IN (1, 4, 0) AS placeholder FROM embeddings")
 def placeholder_skip(spark, d):
-    real, fake = "struct('f' AS film_id, 0D AS t_start, 1D AS t_end)", f"struct('{evaluation.PLACEHOLDER}' AS film_id, 0D AS t_start, 1D AS t_end)"
-    kind = "array<struct<film_id:string,t_start:double,t_end:double>>"
-    rows = spark.sql(f"SELECT * FROM VALUES (1, array({fake})), (2, array({fake}, {real})), (3, array({real})), (4, CAST(array() AS {kind})), (5, CAST(null AS {kind})) AS t(id, acceptable)")
-    return rows.select("id", evaluation.is_placeholder(F.col("acceptable")).alias("placeholder"))
+    """Gold queries of the units: answers that are all placeholders, of both kinds, real, none, or missing."""
+    answer = lambda film: F.struct(film.alias("film_id"), F.col("t_start"), F.col("t_end"))
+    fake, real = answer(F.lit(evaluation.PLACEHOLDER)), answer(F.col("film_id").cast("string"))
+    kind, n = F.array().cast("array<struct<film_id:string,t_start:double,t_end:double>>"), F.col("unit_id") % 5
+    some = F.when(n == 1, F.array(fake)).when(n == 2, F.array(fake, real)).when(n == 3, F.array(real)).when(n == 4, kind)
+    return unit_vectors(spark, d).select(F.col("unit_id").alias("id"), evaluation.is_placeholder(some).alias("placeholder"))
 
 
 @query(
@@ -479,7 +479,7 @@ def placeholder_skip(spark, d):
  SELECT intent, round(a, 9) AS base, round(b, 9) AS other, round(b - a, 9) AS delta FROM half"""
 )
 def eval_compare(spark, d):
-    one = evaluation.by_intent(*gold_set(spark, d)).where("is_total = 0")
+    one = evaluation.by_intent_of(gold_set(spark, d)[1]).where("is_total = 0")
     runs = one.select(F.lit("k5").alias("config"), "intent", F.col("`hit@5`").alias("rate")).unionByName(one.select(F.lit("k10").alias("config"), "intent", F.col("`hit@10`").alias("rate")))
     return evaluation.compare(runs, "k5", "k10", "rate").select("intent", *(F.round(c, 9).alias(c) for c in ("base", "other", "delta")))
 

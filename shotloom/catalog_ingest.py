@@ -95,7 +95,28 @@ def upsert_films(spark, d):
 
 @query("SELECT c_custkey::VARCHAR AS film_id, c_name AS title, '/films/' || c_custkey AS path, c_custkey::DOUBLE AS duration FROM customer WHERE c_custkey = 7")
 def film_lookup(spark, d):
-    return _films(spark, d).where(F.col("film_id") == "7").limit(1)
+    """One film by its key, from the files that have room for it."""
+    kept = Table(spark, scratch(spark), "films", FILMS_TABLE, "film_id").create()
+    kept.upsert(_films(spark, d))
+    return kept.lookup("7").select("film_id", "title", "path", "duration")
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS film_id, CASE WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS change, c_name AS before, CASE WHEN c_custkey % 5 <> 0 THEN 'again ' || c_name END AS after FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0
+ UNION ALL SELECT 's' || s_suppkey, 'added', NULL, s_name FROM supplier"""
+)
+def version_changes(spark, d):
+    """Films that were added, changed and removed between two versions, after further writes, a compaction and the expiry of the first version."""
+    films, kept = _films(spark, d), Table(spark, scratch(spark), "films", FILMS_TABLE, "film_id", 8).create()
+    old = kept.upsert(films)
+    k = F.col("s_suppkey").cast("string")
+    new = table(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("film_id"), F.col("s_name").alias("title"), F.concat(F.lit("/new/"), k).alias("path"), F.lit(1.0).alias("duration"))
+    kept.upsert(films.where("duration % 3 = 0").withColumn("title", F.concat(F.lit("again "), F.col("title"))).unionByName(new), "title")
+    kept.remove(films.where("duration % 5 = 0").select("film_id"))
+    kept.upsert(films.where("duration % 7 = 0 AND duration % 3 <> 0 AND duration % 5 <> 0"))  # as they were
+    last = kept.compact(files=2, share=0.1) or kept.current()
+    kept.expire(len(kept.versions()) - old)
+    return kept.changes(old, last).select("film_id", "change", F.col("before.title").alias("before"), F.col("after.title").alias("after"))
 
 
 @query(

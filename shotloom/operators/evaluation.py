@@ -29,6 +29,16 @@ def first_hits(gold: DataFrame, found: DataFrame, tolerance: float = TOLERANCE)
     return asked.join(found, "id", "left").groupBy("id", "intent").agg(F.min(F.when(hit, F.col("rank"))).alias("first_rank"))
 
 
+def first_hits_by_table(asked: DataFrame, found: DataFrame, answers: DataFrame, by: str = "id", tolerance: float = TOLERANCE) -> DataFrame:
+    """The same for answers in a table: asked: id, intent and ``by``, which names a query's set of answers; answers: ``by``, film_id, t_start, t_end, and
+    unit_id where a query (of that id) isn't its own answer. A set that many queries share is kept once, and only found rows, k a query, meet their film's answers."""
+    near = found.join(asked.select("id", by), "id")
+    own = answers.select(F.col(by).alias("_set"), F.col("film_id").alias("_film"), F.col("t_start").alias("_start"), F.col("t_end").alias("_end"), *([F.col("unit_id").alias("_unit")] if "unit_id" in answers.columns else []))
+    inside = (F.col(by) == F.col("_set")) & (F.col("film_id") == F.col("_film")) & (F.col("t_start") >= F.col("_start") - tolerance) & (F.col("t_end") <= F.col("_end") + tolerance)
+    hits = near.join(own, inside & (F.col("_unit") != F.col("id")) if "_unit" in own.columns else inside, "left_semi")
+    return asked.select("id", "intent").join(hits.groupBy("id").agg(F.min("rank").alias("first_rank")), "id", "left")
+
+
 def _metrics(k5: int, k10: int) -> list[Column]:
     rate = lambda k: F.try_divide(F.count_if(F.col("first_rank") <= k), F.count("*"))
     return [F.count("*").alias("evaluated"), rate(k5).alias("hit@5"), rate(k10).alias("hit@10"), F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first_rank")), F.lit(0.0))).alias("mrr")]
@@ -37,12 +47,21 @@ def _metrics(k5: int, k10: int) -> list[Column]:
 def metrics(gold: DataFrame, found: DataFrame, k5: int = 5, k10: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
     """One row: evaluated, skipped, hit@5, hit@10 (null without evaluated queries), mrr over the full lists. The names stay with other k."""
     skipped = gold.agg(F.count_if(is_placeholder(F.col("acceptable"))).alias("skipped"))
-    return first_hits(gold, found, tolerance).agg(*_metrics(k5, k10)).join(F.broadcast(skipped)).select("evaluated", "skipped", "hit@5", "hit@10", "mrr")  # one row each
+    return metrics_of(first_hits(gold, found, tolerance), skipped, k5, k10)
+
+
+def metrics_of(first: DataFrame, skipped: DataFrame, k5: int = 5, k10: int = 10) -> DataFrame:
+    """The metrics of first hits; skipped has one row."""
+    return first.agg(*_metrics(k5, k10)).join(F.broadcast(skipped)).select("evaluated", "skipped", "hit@5", "hit@10", "mrr")
 
 
 def by_intent(gold: DataFrame, found: DataFrame, k5: int = 5, k10: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
     """The metrics for each intent, and with a null intent over all."""
-    return first_hits(gold, found, tolerance).rollup("intent").agg(F.grouping("intent").alias("is_total"), *_metrics(k5, k10))
+    return by_intent_of(first_hits(gold, found, tolerance), k5, k10)
+
+
+def by_intent_of(first: DataFrame, k5: int = 5, k10: int = 10) -> DataFrame:
+    return first.rollup("intent").agg(F.grouping("intent").alias("is_total"), *_metrics(k5, k10))
 
 
 def compare(runs: DataFrame, base: str, other: str, metric: str = "hit@5") -> DataFrame:

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shotloom.functions import paths as P
 from shotloom.functions import vectors as V
 
 TOP = 20
-#: Queries of a block are held by every task; this bounds them.
+#: Queries or units of a block, of which a task holds one each.
 BATCH = 4096
+#: Units of a slot, about.
+SLOT = 1 << 20
 
 
 def filtered(units: DataFrame, wanted: Mapping[str, object] | None = None, representative: bool = True) -> DataFrame:
@@ -42,47 +45,113 @@ def top_k(units: DataFrame, query: Sequence[float] | Column, k: int = TOP, vecto
 def top_k_batch(units: DataFrame, queries: DataFrame, k: int = TOP, vector: str = "txt_vec", id: str = "unit_id", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
     """query_id, id, distance, rank for a batch of queries against all units.
 
-    Queries are cut into blocks of BATCH, the results of which are united; the driver holds the queries' vectors. Each task multiplies its
-    units with the queries of a block and keeps k a query, so only k rows a query and task are shuffled.
+    Up to BATCH queries are sent to every task, which reads its units once and keeps k a query. More are a table: units are packed into blocks and dealt to
+    slots of about SLOT units, once; queries are packed into blocks of about BATCH, which go to every slot; and a join on the slot brings each block
+    of queries together with the slot's blocks of units, one after the other. Only k rows a slot and query are shuffled in either case.
     """
     kind = dict(queries.dtypes)[query_id], dict(units.dtypes)[id]
-    asked = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    searched = units.select(id, vector).where(F.col(vector).isNotNull())
+    out = f"query_id {kind[0]}, id {kind[1]}, distance double"
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("query_vec")).where("query_vec is not null")
+    searched = units.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     first = asked.limit(BATCH + 1).collect()
-    rows = iter(first) if len(first) <= BATCH else asked.toLocalIterator()
-    near = [searched.mapInPandas(_nearest(list(islice(rows, BATCH)), k, vector, id), f"query_id {kind[0]}, id {kind[1]}, distance double")]
-    while block := list(islice(rows, BATCH)):
-        near.append(searched.mapInPandas(_nearest(block, k, vector, id), near[0].schema))
-    united = reduce(DataFrame.union, near)
-    ranked = united.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    if len(first) <= BATCH:
+        near = searched.mapInArrow(_nearest_of(first, to_arrow_type(queries.schema[query_id].dataType), k), out)
+    else:
+        blocks = -(-asked.count() // BATCH)
+        slots = max(1, -(-searched.count() // SLOT))
+        asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "query_vec")).alias("asked"))  # about BATCH each
+        asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        dealt = searched.mapInArrow(_packed, f"ids array<{kind[1]}>, units array<array<double>>").withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+        near = asked.hint("merge").join(dealt, "slot").select("block", "asked", "ids", "units").mapInArrow(_nearest_blocks(k), out)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_id), F.col("id").alias(id), "distance", "rank")
 
 
-def _nearest(rows: list[Row], k: int, vector: str, id: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A task's k nearest units of each query (id, vector)."""
-    names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    usable = np.flatnonzero(norms[:, 0] > 0)
-    matrix = (matrix / np.where(norms > 0, norms, 1))[usable]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = []
-        for pdf in batches:
-            if not len(pdf) or not len(usable):
-                continue
-            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1)
-            x, ids = x[n > 0] / n[n > 0, None], pdf[id].to_numpy()[n > 0]
-            far = np.round(1 - x @ matrix.T, 6) + 0.0  # no negative zeros
-            for q in range(len(usable)):
-                d, own = far[:, q], ids
-                if len(best) > q:
-                    d, own = np.concatenate([best[q][0], d]), np.concatenate([best[q][1], own])
-                keep = np.lexsort((own, d))[:k]
-                best[q : q + 1] = [(d[keep], own[keep])]
-        for q, (d, own) in enumerate(best):
-            yield pd.DataFrame({"query_id": [names[usable[q]]] * len(own), "id": own, "distance": d})
+def _matrix(rows: pa.Array) -> np.ndarray:
+    """Vectors of one length, null components as NaN."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows aren't zero or broken, and those at length 1."""
+    n = np.linalg.norm(x, axis=1)
+    usable = np.flatnonzero(n > 0)
+    return usable, x[usable] / n[usable, None]
+
+
+class _Best:
+    """The k nearest units to each query of a block so far; equal distances go by id."""
+
+    def __init__(self, names: pa.Array, vectors: np.ndarray, k: int) -> None:
+        self.usable, self.matrix = _unit(vectors)
+        self.names, self.k = names, k
+        self.query, self.distance, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, ids: pa.Array, vectors: np.ndarray) -> None:
+        rows, x = _unit(vectors)
+        if not len(rows) or not len(self.usable):
+            return
+        far = np.round(1 - self.matrix @ x.T, 6) + 0.0  # no negative zeros
+        if len(rows) > self.k:
+            q, u = np.nonzero(far <= np.partition(far, self.k - 1, axis=1)[:, self.k - 1 : self.k])  # with all that are as far as the k-th
+        else:
+            q, u = (y.ravel() for y in np.indices(far.shape))
+        query, distance = np.concatenate([self.query, q]), np.concatenate([self.distance, far[q, u]])
+        own = ids.take(pa.array(rows[u]))
+        own = pa.concat_arrays([self.ids, own]) if self.ids is not None else own
+        place = pc.rank(own, sort_keys="ascending", tiebreaker="dense").to_numpy()
+        order = np.lexsort((place, distance, query))
+        query = query[order]
+        start = np.searchsorted(query, query)
+        keep = order[np.arange(len(query)) - start < self.k]
+        self.query, self.distance, self.ids = np.concatenate([self.query, q])[keep], distance[keep], own.take(pa.array(keep))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(self.usable[self.query])), self.ids, pa.array(self.distance)], names=["query_id", "id", "distance"])
+
+
+def _nearest_of(rows: list[Row], kind: pa.DataType, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k nearest units (id, vector) to each of the queries (id, vector)."""
+    names, vectors = pa.array([r[0] for r in rows], kind), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(names, vectors, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                best.add(part.column(0), _matrix(part.column(1)))
+        yield from best.rows()
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units (id, vector) in blocks, a row each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            ends = pa.array([0, part.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(k)])) for k in (0, 1)], names=["ids", "units"])
+
+
+def _nearest_blocks(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of a block of queries and one of units: the k nearest of all units that follow each other with one block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = best = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number = batch.column(0)[r].as_py()
+                if number != block:
+                    if best is not None:
+                        yield from best.rows()
+                    asked = batch.column(1)[r].values
+                    block, best = number, _Best(asked.field(0), _matrix(asked.field(1)), k)
+                best.add(batch.column(2)[r].values, _matrix(batch.column(3)[r].values))
+        if best is not None:
+            yield from best.rows()
 
     return run
 

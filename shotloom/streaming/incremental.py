@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from shotloom.sources.store import Table, last_by_key
+from shotloom.sources.store import Table
 
 
 def files(spark: SparkSession, folder: str, schema: StructType, format: str = "parquet", per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(format).load(folder)
 
 
-def into_table(stream: DataFrame, table: Table, checkpoint: str, by: str | None = None, transform: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True) -> StreamingQuery:
-    """Each batch is transformed and upserted (or replaces the groups of ``by``). Repeating a batch after a failure changes nothing more."""
+def into_table(stream: DataFrame, table: Table, checkpoint: str, by: str | None = None, transform: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True, order: str | None = None) -> StreamingQuery:
+    """Each batch is transformed and upserted (or replaces the groups of ``by``); of a batch's rows with one key the last by ``order`` counts.
 
-    def batch(df: DataFrame, _: int) -> None:
+    The table remembers the number of the stream's last batch, so one that is repeated after a failure changes nothing.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
         rows = transform(df)
         if rows.isEmpty():
             return
-        table.replace(rows, by) if by else table.upsert(last_by_key(rows, table.key))
+        name = (checkpoint.rstrip("/"), number)
+        table.replace(rows, by, name) if by else table.upsert(rows, order, name)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

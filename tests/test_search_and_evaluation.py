@@ -218,3 +218,25 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     whole = search.top_k_batch(units, asked, 4).collect()
     monkeypatch.setattr(search, "BATCH", 3)
     assert sorted(search.top_k_batch(units, asked, 4).collect()) == sorted(whole) and len(whole) == 44
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_and_slots_equal_a_plain_search(spark, monkeypatch, kind):
+    """Ties, equal vectors, zero and null vectors, with queries and units in several blocks and slots."""
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-1, 2, (90, 3)).astype(float)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"u{k:03d}")
+    units = [(name(k), None if k % 17 == 3 else v.tolist()) for k, v in enumerate(vectors)]
+    asked = [(name(k), [0.0, 0.0, 0.0] if k == 5 else v.tolist()) for k, v in enumerate(rng.integers(-1, 2, (20, 3)).astype(float))] + [(name(99), None)]
+    want = []
+    for q, v in asked:
+        near = []
+        for u, w in units:
+            if v is not None and w is not None and any(v) and any(w):
+                near.append((round(1 - float(np.dot(np.array(w) / np.linalg.norm(w), np.array(v) / np.linalg.norm(v))), 6) + 0.0, u))
+        want += [(q, u, d, k + 1) for k, (d, u) in enumerate(sorted(near)[:7])]
+    frames = spark.createDataFrame(units, f"unit_id {kind}, txt_vec array<float>").repartition(4), spark.createDataFrame(asked, f"query_id {kind}, query_vec array<double>")
+    for batch, slot in ((4096, 1 << 20), (6, 1 << 20), (6, 20)):
+        monkeypatch.setattr(search, "BATCH", batch)
+        monkeypatch.setattr(search, "SLOT", slot)
+        assert sorted(tuple(r) for r in search.top_k_batch(*frames, 7).collect()) == sorted(want)
