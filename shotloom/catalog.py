@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shotloom.functions import paths as P
 from shotloom.functions import text as X
 from shotloom.functions import vectors as V
-from shotloom.operators import annotate, boards, dialogue, evaluation, fusion, lexical, library, media, pooling, router, scenes, search, shots
+from shotloom.operators import annotate, boards, dialogue, evaluation, fusion, intervals, lexical, library, media, pooling, router, scenes, search, shots
 from shotloom.plans import models
 from shotloom.sources import films as film_source
 from shotloom.sources.store import last_by_key, merge
@@ -271,6 +271,25 @@ def dialogue_overlap(spark, d):
     return joined.select("film_id", "shot_id", F.size("dialogue").cast("long").alias("n"), F.array_join("dialogue", " ").alias("dialogue"))
 
 
+@query(
+    """WITH p AS (SELECT *, percent_rank() OVER (ORDER BY ts) AS r, epoch_us(ts) / 1000000 AS s FROM events),
+ a AS (SELECT user_id % 3 AS film_id, event_id, s AS "start", s + value AS "end" FROM p WHERE event_id % 2 = 0), b AS (SELECT user_id % 3 AS film_id, event_id, s AS "start", s + 600 AS "end" FROM p WHERE event_id % 2 = 1)
+ SELECT a.film_id, a.event_id AS shot_id, count(b.event_id) AS n, sum(b.event_id)::BIGINT AS lines FROM a JOIN b ON a.film_id = b.film_id AND a."start" < b."end" AND b."start" < a."end" GROUP BY ALL"""
+)
+def interval_sweep(spark, d):
+    """Intervals of even and odd events that overlap, in three very long films, cut into parts of 2,000 rows."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
+    rows = table(spark, d, "events").select((F.col("user_id") % 3).alias("film_id"), "event_id", at.alias("start"), (at + F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(600.0)).alias("end"))
+    met = intervals.pairs(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), rows=2000)
+    return met.groupBy("film_id", F.col("left.event_id").alias("shot_id")).agg(F.count("*").alias("n"), F.sum("right.event_id").alias("lines"))
+
+
+@query(f"WITH {TALK_SHOTS_SQL} SELECT s.film_id, s.shot_id, count(p.pos) AS n, coalesce(string_agg(p.text, ' ' ORDER BY p.pos), '') AS dialogue FROM shots s LEFT JOIN pairs p USING (film_id, shot_id) GROUP BY s.film_id, s.shot_id")
+def dialogue_sweep(spark, d):
+    joined = dialogue.overlap(talk_shots(spark, d), talk(spark, d), rows=intervals.ROWS)
+    return joined.select("film_id", "shot_id", F.size("dialogue").cast("long").alias("n"), F.array_join("dialogue", " ").alias("dialogue"))
+
+
 @query(f"WITH {TALK_SHOTS_SQL} SELECT s.shot_id, CASE WHEN count(p.pos) = 0 THEN 'Shot ' || s.shot_id ELSE 'Shot ' || s.shot_id || ' ' || string_agg(p.text, ' ' ORDER BY p.pos) END AS searchable_text FROM shots s LEFT JOIN pairs p USING (film_id, shot_id) GROUP BY s.film_id, s.shot_id")
 def searchable_text(spark, d):
     joined = dialogue.overlap(talk_shots(spark, d), talk(spark, d), bucket=60.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import text as X
+from shotloom.operators import intervals
 
 
 def parse_srt(subtitles: DataFrame, text: str = "srt") -> DataFrame:
@@ -35,12 +36,18 @@ def to_srt(lines: DataFrame) -> DataFrame:
     return lines.withColumn("block", block).groupBy("film_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b")).select("film_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("srt"))
 
 
-def overlap(shots: DataFrame, lines: DataFrame, bucket: float | None = None) -> DataFrame:
+def overlap(shots: DataFrame, lines: DataFrame, bucket: float | None = None, rows: int | None = None) -> DataFrame:
     """Each shot with the texts of the lines that overlap it (both ends open), in the lines' order; shots without lines have none.
 
     The join always has the film as its equality. ``bucket`` (seconds) adds a time bucket for films with very many lines: a
-    pair is then met in the bucket where the later of both starts lies, so once.
+    pair is then met in the bucket where the later of both starts lies, so once. With ``rows`` films are cut into parts of about so many rows, each of
+    which is swept in order (see ``intervals``): for films of any length, without a width to choose.
     """
+    if rows:
+        met = intervals.pairs(
+            shots.select("film_id", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "shot_id"), lines.select("film_id", "start", "end", "pos", "text"), rows=rows
+        ).select("film_id", "left.shot_id", "right.pos", "right.text")
+        return _gathered(shots, met)
     said = lines.select("film_id", "pos", F.col("start").alias("l_start"), F.col("end").alias("l_end"), "text")
     meets = (F.col("l_start") < F.col("t_end")) & (F.col("l_end") > F.col("t_start"))
     keys = ["film_id"]
@@ -51,7 +58,11 @@ def overlap(shots: DataFrame, lines: DataFrame, bucket: float | None = None) ->
         said = said.withColumn("slot", spread(F.col("l_start"), F.col("l_end")))
         meets &= F.floor(F.greatest("l_start", "t_start") / bucket) == F.col("slot")
         keys.append("slot")
-    pairs = left.join(said, keys).where(meets).groupBy("film_id", "shot_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("found"))
+    return _gathered(shots, left.join(said, keys).where(meets))
+
+
+def _gathered(shots: DataFrame, met: DataFrame) -> DataFrame:
+    pairs = met.groupBy("film_id", "shot_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("found"))
     found = pairs.select("film_id", "shot_id", F.transform("found", lambda x: x["text"]).alias("dialogue"))
     return shots.join(found, ["film_id", "shot_id"], "left").withColumn("dialogue", F.coalesce("dialogue", F.array().cast("array<string>")))
 

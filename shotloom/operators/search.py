@@ -1,11 +1,10 @@
-"""Dense search: exact cosine top-k for one query or a batch, filters, and an optional inverted-file index."""
+"""Dense search: exact cosine top-k for one query or a batch, and filters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -167,48 +166,3 @@ def like_unit(units: DataFrame, unit_id, k: int = TOP, vector: str = "img_vec",
     if row is None or row[0] is None:
         return units.limit(0).withColumns({"distance": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")})
     return top_k(units.where(F.col(id) != F.lit(unit_id)), row[0], k, vector, id)
-
-
-class InvertedFile:
-    """An approximate index: units by their nearest of a few centroids, learnt from a bounded sample; searches probe some lists and rank exactly."""
-
-    def __init__(self, centroids: np.ndarray) -> None:
-        self.centroids = centroids
-
-    @classmethod
-    def fit(cls, units: DataFrame, lists: int = 64, sample: int = 20_000, vector: str = "txt_vec", id: str = "unit_id", rounds: int = 15, seed: int = 5) -> InvertedFile:
-        rows = units.select(id, vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id), id).limit(sample).collect()
-        x = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c = x[np.random.default_rng(seed).permutation(len(x))[: min(lists, len(x))]]
-        for _ in range(rounds):
-            own = (x @ c.T).argmax(1)
-            c = np.stack([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        return cls(c)
-
-    def assign(self, units: DataFrame, vector: str = "txt_vec") -> DataFrame:
-        """Adds ``list``; write the result partitioned by it, and a probe prunes files."""
-        centroids = self.centroids
-
-        @F.pandas_udf("int")
-        def nearest(v: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(v.to_numpy()).astype(np.float64) @ centroids.T).argmax(1).astype(np.int32))
-
-        return units.where(F.col(vector).isNotNull()).withColumn("list", nearest(vector))
-
-    def search(self, assigned: DataFrame, query: Sequence[float], k: int = TOP, probes: int = 8, vector: str = "txt_vec", id: str = "unit_id") -> DataFrame:
-        chosen = np.argsort(-(self.centroids @ np.asarray(query, np.float64)))[:probes]
-        return top_k(assigned.where(F.col("list").isin(*chosen.tolist())), query, k, vector, id)
-
-    def search_batch(self, assigned: DataFrame, queries: DataFrame, k: int = TOP, probes: int = 8, vector: str = "txt_vec", id: str = "unit_id", query_id: str = "query_id", query_vector: str = "query_vec") -> DataFrame:
-        """query_id, id, distance, rank: each query meets the units of the ``probes`` lists nearest to it, by a join on the list."""
-        centroids = self.centroids
-
-        @F.pandas_udf("array<int>")
-        def near(v: pd.Series) -> pd.Series:
-            return pd.Series(list(np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ centroids.T), axis=1)[:, :probes].astype(np.int32)))
-
-        asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector, F.explode(near(query_vector)).alias("list"))
-        met = assigned.select(id, vector, "list").join(asked, "list").select(query_id, id, V.distance(F.col(vector), F.col(query_vector)).alias("distance")).where("distance is not null")
-        return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id))).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
-from shotloom.operators import evaluation, fusion, lexical, pooling, router, scenes, search
+from shotloom.operators import evaluation, fusion, lexical, pooling, router, scenes, search, vector_index
 
 UNITS = "unit_id string, film_id string, txt_vec array<float>, is_representative boolean, label int"
 
@@ -56,18 +56,26 @@ def test_more_like_this_leaves_itself_out(spark, units):
     assert search.like_unit(units, "absent", 5, "txt_vec").count() == 0
 
 
-def test_inverted_file_reaches_recall(spark):
+@pytest.mark.parametrize("kind, spill", [("clusters", 1), ("noise", 3)])
+def test_product_index(spark, tmp_path, kind, spill):
+    """Recall of at least 0.9 of the ten nearest from a quarter of the lists, whose partitions alone are read; ties and equal units included."""
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(12, 16))
+    centres = rng.normal(size=(12, 16)) if kind == "clusters" else np.zeros((12, 16))
     rows = [(f"u{k:04d}", (centres[k % 12] + 0.3 * rng.normal(size=16)).astype(np.float32).tolist()) for k in range(1200)]
-    units = spark.createDataFrame(rows, "unit_id string, txt_vec array<float>")
-    index = search.InvertedFile.fit(units, lists=12)
-    assigned = index.assign(units).cache()
-    hits = 0
-    for k in range(0, 100, 10):
-        query = np.array(rows[k][1], float)
-        hits += len({r["unit_id"] for r in index.search(assigned, query.tolist(), 10, probes=4).collect()} & set(nearest(units, query, 10)))
-    assert assigned.count() == 1200 and hits >= 90
+    rows += [("copy", rows[0][1]), ("zero", [0.0] * 16), ("none", None)]
+    units = spark.createDataFrame(rows, "unit_id string, txt_vec array<float>").repartition(5)
+    asked = spark.createDataFrame([(k, rows[k][1]) for k in range(0, 1200, 40)] + [(5000, [0.0] * 16)], "query_id long, query_vec array<float>")
+    index = vector_index.ProductIndex.fit(units, lists=16, subspaces=4, codes=64, spill=spill)
+    index.write(units, str(tmp_path))
+    found = index.search(spark, str(tmp_path), asked, 10, probes=4, rerank=150)
+    got, exact = ({(r["query_id"], r["unit_id"]): r["distance"] for r in df.collect()} for df in (found, search.top_k_batch(units, asked, 10)))
+    assert len(exact) == 300 and len(set(got) & set(exact)) >= 270
+    assert all(abs(got[x] - exact[x]) < 2e-6 for x in set(got) & set(exact)) and (0, "copy") in got and not any(u in ("zero", "none") for _, u in got)
+    one = index.search(spark, str(tmp_path), asked.limit(1), 10, probes=4)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "list#" in plan and "IN" in plan
+    stored = spark.read.parquet(str(tmp_path / "codes"))
+    assert stored.selectExpr("sum(size(ids))").first()[0] == 1201 * spill and stored.selectExpr("max(length(codes) / size(ids))").first()[0] == 4
 
 
 def test_vectors(spark):

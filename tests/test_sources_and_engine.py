@@ -220,6 +220,30 @@ def test_cached_stages(spark, tmp_path):
         assert {cached[s] for s in ("dialogue", "shots", "images", "annotations")} == {want} and cached["units"] is False
 
 
+def test_a_new_film_computes_one_film(spark, tmp_path):
+    from shotloom.plans.ingest import Ingest
+
+    e = engine(spark, tmp_path)
+    names = []
+    for k, made in ((1, 1), (2, 1), (5, 3), (5, 0)):
+        for n in range(len(names), k):
+            film = tmp_path / "films" / f"F{n}.mkv"
+            film.write_bytes(b"film %d" % n)
+            names.append(str(film))
+        run = Ingest(spark, e.config, e.stages)
+        films = run.run(spark.createDataFrame([(n,) for n in names], "path string"), e.store)
+        log = {r["stage"]: r["films"] for r in run.stage_log().collect()}
+        assert [log[s] for s in ("dialogue", "shots", "images", "annotations")] == [made] * 4
+        assert films.count() == k and e.store.units.count() == 4 * k == e.store.units.read().select("unit_id").distinct().count()
+    # rows of a run that isn't in the ledger don't count
+    stage = next((tmp_path / "assets" / "stages" / "shots").iterdir())
+    whole = spark.read.parquet(str(stage / "rows"))
+    whole.where("run = (SELECT 'x')").drop("run").write.parquet(str(stage / "rows" / "run=rfailed"))
+    one = Ingest(spark, e.config, e.stages)
+    one.run(spark.createDataFrame([(names[0],)], "path string"), e.store)
+    assert e.store.units.count() == 20 and {r["films"] for r in one.stage_log().where("stage <> 'units'").collect()} == {0}
+
+
 def test_models(spark):
     assert models.dimension("pe_core_l14") == 1024 and models.dimension("siglip2_so400m") == 1152
     with pytest.raises(ValueError):
