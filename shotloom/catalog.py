@@ -503,6 +503,26 @@ def eval_compare(spark, d):
     return evaluation.compare(runs, "k5", "k10", "rate").select("intent", *(F.round(c, 9).alias(c) for c in ("base", "other", "delta")))
 
 
+_LEVELS = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in evaluation.POISSON)
+
+
+@query(
+    f"""{EVAL_SQL}, pairs AS (SELECT id, intent, (coalesce(first_rank, 99) <= 5)::INT::DOUBLE AS base, (coalesce(first_rank, 99) <= 10)::INT::DOUBLE AS other FROM firsts),
+ both_ AS (SELECT id, intent, base, other FROM pairs UNION ALL SELECT id, NULL, base, other FROM pairs),
+ drawn AS (SELECT *, {_LEVELS} AS w FROM (SELECT *, ('0x' || substr(md5(id || ':' || b), 1, 8))::UBIGINT::DOUBLE / 4294967296 AS u FROM both_, (SELECT unnest(range(200)) AS b))),
+ means AS (SELECT intent, b, sum(w * (other - base)) / nullif(sum(w), 0) AS m FROM drawn GROUP BY intent, b),
+ ends AS (SELECT intent, list_sort(list(m)) AS m FROM means WHERE m IS NOT NULL GROUP BY intent),
+ whole AS (SELECT intent, count(*) AS queries, avg(other - base) AS delta FROM both_ GROUP BY intent)
+ SELECT w.intent, queries, round(delta, 9) AS delta, round(m[greatest(1, ceil(len(m) * 0.025 - 1e-9)::INT)], 9) AS low, round(m[greatest(1, ceil(len(m) * 0.975 - 1e-9)::INT)], 9) AS high FROM whole w LEFT JOIN ends e ON w.intent IS NOT DISTINCT FROM e.intent"""
+)
+def eval_bootstrap(spark, d):
+    """hit@5 against hit@10, with the interval of the difference."""
+    rank = F.coalesce("first_rank", F.lit(99))
+    paired = gold_set(spark, d)[1].select("id", "intent", (rank <= 5).cast("int").cast("double").alias("base"), (rank <= 10).cast("int").cast("double").alias("other"))
+    found = evaluation.bootstrap(paired)
+    return found.select("intent", "queries", *(F.round(c, 9).alias(c) for c in ("delta", "low", "high")))
+
+
 # --- scenes ---
 
 GAP = 1800.0
@@ -661,12 +681,19 @@ def row_counts(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 0::BIGINT, 999::BIGINT), (2, 100, 999), (3, 500, 999), (4, NULL, NULL), (5, 0, 999), (6, NULL, NULL), (7, NULL, NULL), (8, 10, 999), (9, 0, 999)) t(id, "start", "end")"""
+    """WITH e AS (SELECT event_id, event_id % 9 AS k, event_id % 2000 AS a, user_id AS b FROM events),
+ r AS (SELECT event_id, CASE WHEN k IN (0, 1, 4, 6) THEN a WHEN k = 2 THEN greatest(0, 1000 - b) WHEN k = 5 THEN 0 END AS s, CASE WHEN k = 0 THEN a + b WHEN k = 4 THEN a - 3 WHEN k IN (1, 2, 5, 6) THEN 999 END AS e FROM e)
+ SELECT event_id, CASE WHEN s <= least(e, 999) AND s < 1000 THEN s END AS "start", CASE WHEN s <= least(e, 999) AND s < 1000 THEN least(e, 999) END AS "end" FROM r"""
 )
 def range_parse(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'bytes=0-999'), (2, 'bytes=100-'), (3, 'bytes=-500'), (4, 'totally-bogus'), (5, 'bytes=-'), (6, 'bytes=5-2'), (7, 'bytes=1000-'), (8, ' bytes=10-5000 '), (9, 'bytes=-5000') AS t(id, header)")
-    span = P.byte_range(F.col("header"), F.lit(1000))
-    return rows.select("id", span["start"].alias("start"), span["end"].alias("end"))
+    """Headers of all forms from the events' numbers, for a file of 1,000 bytes: whole, open, suffix, other units, reversed, empty and padded ones."""
+    a, b, k = (F.col("event_id") % 2000).cast("string"), F.col("user_id").cast("string"), F.col("event_id") % 9
+    whole = F.concat(F.lit("bytes="), a, F.lit("-"), (F.col("event_id") % 2000 + F.col("user_id")).cast("string"))
+    back = F.concat(F.lit("bytes="), a, F.lit("-"), (F.col("event_id") % 2000 - 3).cast("string"))
+    header = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("bytes="), a, F.lit("-"))).when(k == 2, F.concat(F.lit("bytes=-"), b)).when(k == 3, F.concat(F.lit("items="), a, F.lit("-")))
+    header = header.when(k == 4, back).when(k == 5, F.lit("bytes=-")).when(k == 6, F.concat(F.lit("  bytes="), a, F.lit("-99999 "))).when(k == 7, F.lit("")).otherwise(F.col("event_type"))
+    span = P.byte_range(header, F.lit(1000))
+    return table(spark, d, "events").select("event_id", span["start"].alias("start"), span["end"].alias("end"))
 
 
 @query(

@@ -19,6 +19,8 @@ from shotloom.schemas import FILMS_TABLE, UNITS
 from shotloom.sources import films as film_source
 from shotloom.sources import subtitles
 from shotloom.sources.store import Store, Table, last_by_key, merge
+from shotloom.streaming import incremental
+from shotloom.streaming import jobs as jobs_stream
 
 
 def scratch(spark: SparkSession) -> str:
@@ -68,12 +70,13 @@ def dialogue_json(spark, d):
 # --- stores ---
 
 
-@query(f"SELECT * FROM (VALUES ('units', 0, {len(UNITS)}), ('films', 0, {len(FILMS_TABLE)})) t(name, n, columns)")
+@query(f"SELECT 'units' AS name, 0::BIGINT AS n, {len(UNITS)} AS columns UNION ALL SELECT 'films', count(*), {len(FILMS_TABLE)} FROM customer")
 def created_tables(spark, d):
-    """The two tables of a new store, empty and with their columns; creating them again changes nothing."""
-    store = Store(spark, scratch(spark)).create().create()
-    both = (("units", store.units), ("films", store.films))
-    rows = [t.read().agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(len(t.read().columns)).alias("columns")) for name, t in both]
+    """The two tables of a store: creating them again changes neither their columns nor the films that one of them has."""
+    store = Store(spark, scratch(spark)).create()
+    store.films.upsert(_films(spark, d))
+    store.create()
+    rows = [spark.range(1).select(F.lit(name).alias("name"), F.lit(t.count()).cast("long").alias("n"), F.lit(len(t.read().columns)).alias("columns")) for name, t in (("units", store.units), ("films", store.films))]
     return rows[0].unionByName(rows[1])
 
 
@@ -144,6 +147,26 @@ def indexed_count(spark, d):
     return library.indexed_count(library.status(files, films), jobs(spark, d))
 
 
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS "key", event_type AS stage, epoch_us(ts) // 1000 AS at_ms, (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) AS passed FROM events),
+ o AS (SELECT *, coalesce(at_ms - lag(at_ms) OVER w > 1800000, true)::INT AS fresh, lead(at_ms) OVER w AS until FROM e WHERE at_ms <= passed WINDOW w AS (PARTITION BY "key" ORDER BY at_ms, stage)),
+ j AS (SELECT *, sum(fresh) OVER (PARTITION BY "key" ORDER BY at_ms, stage ROWS UNBOUNDED PRECEDING) AS job FROM o),
+ n AS (SELECT *, row_number() OVER (PARTITION BY "key", job ORDER BY at_ms, stage) AS n FROM j)
+ SELECT "key", 'stage' AS kind, stage, at_ms, (until - at_ms) / 1000 AS seconds, n FROM n WHERE until - at_ms <= 1800000
+ UNION ALL SELECT "key", 'job', NULL, min(at_ms), (max(at_ms) - min(at_ms)) / 1000, count(*) FROM n GROUP BY "key", job, passed HAVING passed > max(at_ms) + 1800000"""
+)
+def job_stages(spark, d):
+    """Events as a stream of small files, of which each user's are a job: stage times and ended jobs up to the watermark, an hour before the last event."""
+    events, folder = table(spark, d, "events").select("user_id", "event_type", "ts"), scratch(spark)
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):  # in order of time, a folder of files each
+        own = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        events.where(own).write.mode("append").parquet(f"{folder}/events")
+    stream = incremental.files(spark, f"{folder}/events", events.schema, per_trigger=1)
+    return jobs_stream.follow(spark, stream, folder).read().drop("id")
+
+
 # --- labels, media, representatives ---
 
 

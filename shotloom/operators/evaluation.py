@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +71,27 @@ def compare(runs: DataFrame, base: str, other: str, metric: str = "hit@5") -> Da
     """runs(config, intent, metric columns) to base, other and delta for each intent."""
     wide = runs.groupBy("intent").pivot("config", [base, other]).agg(F.first(metric))
     return wide.select("intent", F.col(f"`{base}`").alias("base"), F.col(f"`{other}`").alias("other"), (F.col(f"`{other}`") - F.col(f"`{base}`")).alias("delta"))
+
+
+#: The probability that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 9) for k in range(9))
+
+
+def bootstrap(paired: DataFrame, resamples: int = 200, level: float = 0.95) -> DataFrame:
+    """paired(id, intent, base, other), one row a query, to intent, queries, delta, low, high: the mean difference with its paired-bootstrap interval, for each intent and, with a
+    null intent, over all.
+
+    In resample b a query counts a Poisson number of times, which is fixed by a hash of its id and b; so all resamples are one aggregation, base and other are
+    always drawn together, and a repetition gives the same interval. Resamples without queries are left out.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = reduce(lambda total, p: total + F.when(u >= p, 1).otherwise(0), POISSON, F.lit(0))
+    both = paired.select("id", "base", "other", F.explode(F.array_distinct(F.array("intent", F.lit(None).cast("string")))).alias("intent"))
+    whole = both.groupBy("intent").agg(F.count("*").alias("queries"), F.avg(F.col("other") - F.col("base")).alias("delta"))
+    drawn = both.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
+    means = drawn.groupBy("intent", "b").agg((F.sum(F.col("w") * (F.col("other") - F.col("base"))) / F.nullif(F.sum("w"), F.lit(0))).alias("m")).where("m is not null")
+    spread = means.groupBy("intent").agg(F.sort_array(F.collect_list("m")).alias("m"))  # at most ``resamples`` numbers
+    tail = (1 - level) / 2
+    at = lambda q: F.element_at("m", F.greatest(F.lit(1), F.ceil(F.size("m") * q - 1e-9)).cast("int"))
+    ends = spread.select(F.col("intent").alias("i"), at(tail).alias("low"), at(1 - tail).alias("high"))
+    return whole.join(ends, F.col("intent").eqNullSafe(F.col("i")), "left").select("intent", "queries", "delta", "low", "high")

@@ -248,3 +248,23 @@ def test_blocks_and_slots_equal_a_plain_search(spark, monkeypatch, kind):
         monkeypatch.setattr(search, "BATCH", batch)
         monkeypatch.setattr(search, "SLOT", slot)
         assert sorted(tuple(r) for r in search.top_k_batch(*frames, 7).collect()) == sorted(want)
+
+
+def test_bootstrap_interval_equals_a_loop(spark):
+    import hashlib
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["vibe", "plot", None]), float(rng.random() < 0.4), float(rng.random() < 0.6)) for k in range(60)]
+    got = {r["intent"]: tuple(r)[1:] for r in evaluation.bootstrap(spark.createDataFrame(rows, "id long, intent string, base double, other double").repartition(3), 100, 0.9).collect()}
+    for intent in ("vibe", "plot", None):
+        own = [r for r in rows if intent is None or r[1] == intent]
+        means = []
+        for b in range(100):
+            w = [sum(int(hashlib.md5(f"{r[0]}:{b}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in evaluation.POISSON) for r in own]
+            if sum(w):
+                means.append(sum(x * (r[3] - r[2]) for x, r in zip(w, own)) / sum(w))
+        means.sort()
+        n, delta, low, high = got[intent]
+        assert n == len(own) and abs(delta - sum(r[3] - r[2] for r in own) / len(own)) < 1e-9
+        assert abs(low - means[4]) < 1e-9 and abs(high - means[94]) < 1e-9 and low <= delta <= high
+    assert set(got) == {"vibe", "plot", None}
