@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from shotloom.llm._words import discard, map_texts, only, settle, shared_folder
 
 HOT = 1 << 16
 CHUNK = 1 << 16
+#: Fixed value: the pattern by which the byte-level tokenizer splits texts, published with it.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -58,10 +61,13 @@ class Tokenizers:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, n in vocabulary.items():
             self.bytes_a[n] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.fast = _by_ranks(json.loads(self.a.to_str()), self.bytes_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(k) for k in range(len(self.b))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        texts = ([f"{n}{end}" for end in ",|;" for n in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        self.texts = [x for side in texts for x in side]  # of A and then of B: each id before a comma, a bar, a semicolon
         self.splits = not any("\u2581" in p.lstrip("\u2581") for p in pieces)  # no piece goes on over a space
 
     def chunks(self, text: str) -> list[str]:
@@ -72,25 +78,62 @@ class Tokenizers:
             at = m.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """The ids of both for each text."""
         cut = [self.chunks(t) for t in texts]
         flat = [x for c in cut for x in c]
-        a = [e.ids for e in getattr(self.a, "encode_batch_fast", self.a.encode_batch)([" " + x for x in flat], add_special_tokens=False)]
+        spaced = [" " + x for x in flat]
+        a = [self.fast.encode_ordinary(x) for x in spaced] if self.fast else [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
         b = self.b.encode(flat, num_threads=1)
         out, at = [], 0
         for c in cut:
-            own = slice(at, at + len(c))
+            out.append((a[at], b[at]) if len(c) == 1 else tuple([n for ids in side[at : at + len(c)] for n in ids] for side in (a, b)))
             at += len(c)
-            out.append(tuple(np.array([n for ids in side[own] for n in ids], np.int64) for side in (a, b)))
         return out
 
-    def align(self, text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Where groups end: places of their last tokens in both lists; None where the tokens don't spell the text."""
+    def spell(self, text: bytes, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of both are the bytes of a space and the text."""
         whole = b" " + text
-        if b"".join([self.bytes_a[n] for n in a.tolist()]) != whole or b"".join([self.bytes_b[n] for n in b.tolist()]) != whole:
-            return None
-        return boundaries(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        return b"".join([self.bytes_a[n] for n in a]) == whole and b"".join([self.bytes_b[n] for n in b]) == whole
+
+    def align(self, encoded: list[tuple[list[int], list[int]]]) -> list[tuple[str, np.ndarray]]:
+        """For texts that both spell: the groups written as a1,a2|b1;a3|b2,b3 and the linked pairs.
+
+        The texts' tokens are laid end to end, so that one index serves them all; ends of texts are ends of groups.
+        """
+        if not encoded:
+            return []
+        a, b = (np.concatenate([np.array(x[side], np.int64) for x in encoded]) for side in (0, 1))
+        last_a, last_b = boundaries(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        linked = a[last_a] << 32 | b[last_b]
+        # tokens in the order in which they are written, and what follows each: a comma, a bar behind the last A of a group, a semicolon behind its last B
+        code_a, code_b = a.copy(), b + 3 * len(self.bytes_a)
+        code_a[last_a] += len(self.bytes_a)
+        code_b[last_b] += 2 * len(self.bytes_b)
+        group_a, group_b = (np.searchsorted(last, np.arange(len(side))) for last, side in ((last_a, a), (last_b, b)))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        pieces = np.concatenate([code_a, code_b])[order].tolist()
+        ends_a, ends_b = (np.cumsum([len(x[side]) for x in encoded]) for side in (0, 1))
+        out, token, group = [], 0, 0
+        for end, until in zip((ends_a + ends_b).tolist(), np.searchsorted(last_a, ends_a).tolist(), strict=True):
+            out.append(("".join([self.texts[k] for k in pieces[token:end]])[:-1], linked[group:until]))
+            token, group = end, until
+        return out
+
+
+def _by_ranks(form: dict, bytes_of: list[bytes]):
+    """The same tokenizer as byte-level ranks, which encode faster; None where it isn't one of merges in the order of their results' ids."""
+    import tiktoken
+
+    model, split = form["model"], form["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or form["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or model.get("ignore_merges"):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["id"] for t in form["added_tokens"]}
+    if merged != sorted(set(merged)) or len(merged) + 256 != len(set(model["vocab"].values()) - special) or not all(t["special"] for t in form["added_tokens"]):
+        return None
+    ranks = {x: n for n, x in enumerate(bytes_of) if x and n not in special}
+    return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def boundaries(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +149,6 @@ def stab(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a, side="left") - 1
 
 
-def written(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-    """The groups' ids: a1,a2|b1;a3|b2,b3"""
-    x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, i, j = [], 0, 0
-    for p, q in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-        out.append(f"{x[i] if p - i == 1 else ','.join(x[i:p])}|{y[j] if q - j == 1 else ','.join(y[j:q])}")
-        i, j = p, q
-    return ";".join(out)
-
-
 @functools.lru_cache(maxsize=2)
 def _loaded(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
@@ -129,19 +162,17 @@ def aligned(documents: DataFrame, a: str, b: str, text: str = "text", id: str =
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
         both = _loaded(a, b)
-        encoded = iter(both.encode([t.decode(errors="replace") for t in texts if t]))
+        some = [k for k, t in enumerate(texts) if t]
+        encoded = zip(some, both.encode([texts[k].decode(errors="replace") for k in some]), strict=True)
+        spelt = {k: ids for k, ids in encoded if both.spell(texts[k], *ids)}
+        found = dict(zip(spelt, both.align(list(spelt.values())), strict=True))
         out: dict = {k: [] for k in ("n_a", "n_b", "n_groups", "groups_sha256")}
         pairs, times = [], []
-        for t in texts:
-            found = (ids := next(encoded)) and both.align(t, *ids) if t else None
-            if found is None:
-                row, found = (0, 0, 0, ""), (np.zeros(0, np.int64),) * 2
-                linked = found[0]
-            else:
-                linked = ids[0][found[0]] << 32 | ids[1][found[1]]
-                row = len(ids[0]), len(ids[1]), len(linked), hashlib.sha256(written(*ids, *found).encode()).hexdigest()
-            for k, x in zip(out, row, strict=True):
-                out[k].append(x)
+        for k in range(len(texts)):
+            groups, linked = found.get(k, ("", np.zeros(0, np.int64)))
+            row = (len(spelt[k][0]), len(spelt[k][1]), len(linked), hashlib.sha256(groups.encode()).hexdigest()) if k in spelt else (0, 0, 0, "")
+            for name, x in zip(out, row, strict=True):
+                out[name].append(x)
             own, n = np.unique(linked, return_counts=True)
             pairs.append(own)
             times.append(n.astype(np.int32))

@@ -69,14 +69,26 @@ def test_pieces_of_a_long_text_give_the_tokens_of_the_whole(monkeypatch):
     both = T.Tokenizers(A, B)
     assert both.splits
     rng = random.Random(5)
-    words = ["the", "Harbour", "don't", "12", "  ", "\n", "é", "漢字", "end.", "(a)", "x_y", "A"]
+    words = ["the", "Harbour", "don't", "12", "  ", "\n", "é", "漢字", "end.", "(a)", "x_y", "A", "<s>"]
     texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(20)] + ["a" * 5000, " " * 300 + "b c"]
     monkeypatch.setattr(T, "CHUNK", 10**9)
     whole = both.encode(texts)
     monkeypatch.setattr(T, "CHUNK", 40)
     assert sum(len(both.chunks(t)) for t in texts) > 200
-    for (a, b), (c, d) in zip(whole, both.encode(texts), strict=True):
-        assert (a == c).all() and (b == d).all()
+    assert both.encode(texts) == whole and all(both.spell(t.encode(), *x) for t, x in zip(texts, whole, strict=True))
+    one = [both.align([x])[0] for x in whole]
+    assert [(x, y.tolist()) for x, y in both.align(whole)] == [(x, y.tolist()) for x, y in one]
+
+
+def test_ranks_encode_like_the_tokenizer_itself():
+    both = T.Tokenizers(A, B)
+    assert both.fast is not None
+    own = Tokenizer.from_file(A)
+    own.encode_special_tokens = True
+    rng = random.Random(7)
+    letters = "aAbz .,'  \n\t\r\x0b\x1c\x85\xa0\u2003\u3000éß漢ಠ🎉٣½ªǅ\u0301\u200b0123-_/<|>sdmtlver"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 80))) for _ in range(4000)] + [t for t in ODD if t]
+    assert [both.fast.encode_ordinary(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_index_finds_all_overlaps():
