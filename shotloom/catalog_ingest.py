@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shotloom.catalog import BATCH_SQL, BM25_SQL, FILES_SQL, JOBS_SQL, TALK_SQL, UNITS_SQL, files_and_films, jobs, queries_of, query, query_texts, table, talk, unit_vectors
 from shotloom.config import Weights
 from shotloom.functions import text as X
-from shotloom.operators import annotate, fusion, library, media, scenes, search, shots, vector_index
+from shotloom.operators import annotate, fusion, lexical_index, library, media, scenes, search, shots, vector_index
 from shotloom.plans import hybrid, models
 from shotloom.schemas import FILMS_TABLE, UNITS
 from shotloom.sources import films as film_source
@@ -283,6 +283,15 @@ def image_embedding_stub(spark, d):
     return vec.select("unit_id", F.size("img_vec").alias("size"), F.round(F.sqrt(F.aggregate("img_vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("length"))
 
 
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_index_top10(spark, d):
+    """The stored index of two segments, searched by bounds of its blocks: what scoring every row gives."""
+    folder, docs = scratch(spark), table(spark, d, "documents")
+    lexical_index.add(docs.where("doc_id % 2 = 0"), folder)
+    lexical_index.add(docs.where("doc_id % 2 <> 0"), folder)
+    return lexical_index.search(spark, folder, query_texts(spark, d), 10)
+
+
 @query()
 def ann_recall(spark, d):
     """The stored product-quantised index over all units: its recall of the exact ten nearest for the stated query set, and what a search reads of it."""

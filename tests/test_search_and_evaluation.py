@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotloom.functions import vectors as V
-from shotloom.operators import evaluation, fusion, lexical, pooling, router, scenes, search, vector_index
+from shotloom.operators import evaluation, fusion, lexical, lexical_index, pooling, router, scenes, search, vector_index
 
 UNITS = "unit_id string, film_id string, txt_vec array<float>, is_representative boolean, label int"
 
@@ -268,3 +268,24 @@ def test_bootstrap_interval_equals_a_loop(spark):
         assert n == len(own) and abs(delta - sum(r[3] - r[2] for r in own) / len(own)) < 1e-9
         assert abs(low - means[4]) < 1e-9 and abs(high - means[94]) < 1e-9 and low <= delta <= high
     assert set(got) == {"vibe", "plot", None}
+
+
+def test_lexical_index_equals_scoring_every_row(spark, tmp_path, monkeypatch):
+    """Two segments of several shards and blocks; a merged index gives the same, and blocks that can't matter aren't decoded."""
+    monkeypatch.setattr(lexical_index, "BLOCK", 8)
+    monkeypatch.setattr(lexical_index, "SHARD", 150)
+    rng = random.Random(4)
+    words = ["the"] * 30 + ["of"] * 10 + [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for k in range(600)] + [(1000, None), (1001, ""), (1002, "the the the the w5"), (1003, docs_ := "w1 w2 w3"), (1004, docs_)]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the w5"), (2, "W1, w2 w3"), (3, "the of the"), (4, "absent"), (5, None), (6, "w7 absent")], "query_id int, query string")
+    index, merged = str(tmp_path / "index"), str(tmp_path / "merged")
+    lexical_index.add(corpus.where("doc_id < 300"), index)
+    lexical_index.add(corpus.where("doc_id >= 300"), index)
+    lexical_index.merge(spark, index, merged)
+    want = sorted(map(tuple, lexical.bm25(corpus, asked, 5).select("query_id", "doc_id", "score", "rank").collect()))
+    assert len(want) >= 20
+    for path in (index, merged):
+        assert sorted(map(tuple, lexical_index.search(spark, path, asked, 5).collect())) == want
+    blocks, decoded = lexical_index.scan(spark, merged, asked, 5).where("score is null and query_id in (1, 3)").agg(F.sum("blocks"), F.sum("decoded")).first()
+    assert decoded < blocks
