@@ -86,8 +86,6 @@ TEXTS: dict[str, str] = {
     "that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, "
     "and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
-#: What every whole text has; texts without it are searched for the short wording only.
-WARRANTY = re.compile(r"(?i)warrant")
 CUE = r"(?i)licen[sc]e|copyright|redistribut|permission|all[\W_]+rights[\W_]+reserved"
 _cue = re.compile(CUE)
 _word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +103,7 @@ class Scanner:
         self.cover, self.least = cover, least
         self.words = {name: [plain(w) for w in text.split()] for name, text in sorted(templates.items())}
         self.reach = max(map(len, self.words.values()))
+        self.counts = [Counter(words) for words in self.words.values()]
         self.alone = self._compressor(None)
         self.given = {name: self._compressor(" ".join(words).encode()) for name, words in self.words.items()}
 
@@ -115,6 +114,13 @@ class Scanner:
             return zstandard.ZstdCompressor(level=19, **form)
         return zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **form)
 
+    def possible(self, words: list[str]) -> bool:
+        """Whether the words hold the share ``cover`` of some template's words, in any order: without that, nothing can be confirmed."""
+        if len(words) < self.cover * min(map(len, self.words.values())):
+            return False
+        have = Counter(words)
+        return any(sum(min(n, have[w]) for w, n in own.items()) >= self.cover * own.total() for own in self.counts)
+
     def savings(self, words: list[str]) -> list[tuple[int, str]]:
         """Bytes saved by each template, most first."""
         block = " ".join(words).encode()
@@ -208,6 +214,8 @@ def find(text: str, scanners: list[Scanner]) -> list[tuple[int, int, str, int, f
     words = [plain(w) for w in raw]
     left, found = [(0, len(words))], []
     for s in scanners:
+        if not s.possible(words):
+            continue
         new = [(a + i, a + j, *rest) for a, e in left for i, j, *rest in s.within(words[a:e], raw[a:e])]
         found += new
         left = [gap for a, e in left for gap in _gaps(a, e, sorted(x[:2] for x in new))]
@@ -231,7 +239,7 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, whole:
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
         if not own:
             own.extend((Scanner(whole, cover), Scanner(templates, cover)))
-        rows = [(key, *x) for key, t in zip(part.column(0).to_pylist(), map(bytes.decode, texts), strict=True) for x in find(t, own if WARRANTY.search(t) else own[1:])]
+        rows = [(key, *x) for key, t in zip(part.column(0).to_pylist(), map(bytes.decode, texts), strict=True) for x in find(t, own)]
         names = ("doc_id", "start", "end", "license", "saved_bytes", "cover", "differences")
         return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 

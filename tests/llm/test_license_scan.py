@@ -98,3 +98,21 @@ def test_query_form(spark):
     got = sorted(((r["doc_id"] or 0), r["license"], r["start"], r["end"]) for r in L.scan(df).collect())
     assert got == [(0, "MIT", 0, 31), (1, "MIT", 0, 31), (1, "MIT", 0, 31), (4, "MIT", len(long) - 31, len(long))]
     assert L.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_whole_texts_are_found_whatever_word_is_replaced():
+    own = [L.Scanner(L.TEXTS), L.Scanner()]
+    for name, wording in L.TEXTS.items():
+        words = [L.plain(w) for w in wording.split()]
+        often = sorted(set(words), key=lambda w: (-words.count(w), w))[:12] + ["warranty", "warranties", "without"]
+        for gone in often:
+            if words.count(gone) > 0.15 * len(words):
+                continue
+            text = "Before it. " + " ".join("zzz" if L.plain(w).startswith(gone[:6]) else w for w in wording.split()) + " After it."
+            assert name in [x[2] for x in L.find(text, own)], (name, gone)
+
+
+def test_what_is_not_possible_is_not_searched():
+    s = L.Scanner(L.TEXTS)
+    words = [L.plain(w) for w in L.TEXTS["MIT-text"].split()]
+    assert s.possible(words[::-1]) and s.possible(words + ["x"] * 5000) and not s.possible(words[: len(words) // 2]) and not s.possible([])
