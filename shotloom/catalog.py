@@ -554,6 +554,23 @@ def scene_grouping_capped(spark, d):
     return scenes.group(linked_shots(spark, d), longest=43200.0)
 
 
+@query(
+    """WITH v AS (SELECT (vec_id % 20)::INT AS film_id, (vec_id // 40)::INT AS pos, vec_id // 20 % 2 AS frame, label, embedding::DOUBLE[] AS v FROM embeddings),
+ s AS (SELECT film_id, pos, list(v ORDER BY frame) AS vecs, max(label) AS label FROM v GROUP BY film_id, pos),
+ n AS (SELECT *, lag(vecs) OVER w AS prev, lag(label) OVER w AS last FROM s WINDOW w AS (PARTITION BY film_id ORDER BY pos)),
+ l AS (SELECT *, list_min(flatten(list_transform(vecs, lambda a: list_transform(prev, lambda b: list_cosine_similarity(a, b))))) AS looks, coalesce(pos * 10.0 + label - (pos * 10.0 - 10 + last + 5) < 5, false) AS talks FROM n),
+ k AS (SELECT *, (coalesce(looks > -0.05, false) OR talks) AND NOT (NOT talks AND coalesce(looks < -0.3, false)) AS linked FROM l)
+ SELECT film_id, pos, (sum((NOT linked)::INT) OVER (PARTITION BY film_id ORDER BY pos) - 1)::INT AS scene_no FROM k"""
+)
+def scene_grouping_keyframes(spark, d):
+    """Scenes by the least similarity of neighbouring shots' keyframes and by dialogue that goes on."""
+    pos = F.floor(F.col("vec_id") / 40).cast("int")
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") % 20).cast("int").alias("film_id"), pos.alias("pos"), (F.floor(F.col("vec_id") / 20) % 2).alias("frame"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    shot = rows.groupBy("film_id", "pos").agg(F.sort_array(F.collect_list(F.struct("frame", "v"))).alias("f"), F.max("label").alias("label"))  # two frames a shot
+    said = shot.select("film_id", "pos", F.transform("f", lambda x: x["v"]).alias("vecs"), (F.col("pos") * 10.0 + F.col("label")).alias("speech_start"), (F.col("pos") * 10.0 + F.col("label") + 5).alias("speech_end"))
+    return scenes.group_uncapped(scenes.links(said, similar=-0.05, gap=5.0, apart=-0.3)).select("film_id", "pos", "scene_no")
+
+
 def takes(spark: SparkSession, d: str) -> DataFrame:
     units = unit_vectors(spark, d).withColumnRenamed("txt_vec", "vec")
     return scenes.cluster(units, distance=0.9)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -15,12 +15,25 @@ from shotloom.functions.vectors import cosine
 BLOCK = 1024
 
 
-def links(shots: DataFrame, similar: float = 0.75, gap: float = 2.5) -> DataFrame:
-    """Adds ``linked``: the shot continues the one before it, by looks (vec) or by dialogue that goes on (speech_start, speech_end: first and last line)."""
+def links(shots: DataFrame, similar: float = 0.75, gap: float = 2.5, sound: float = 0.9, apart: float = 0.2) -> DataFrame:
+    """Adds ``linked``: the shot continues the one before it, by any of: looks, that is, the least similarity of a keyframe of one and a keyframe of the other (vecs, or one vec a
+    shot); dialogue that goes on (speech_start, speech_end: first and last line); sound (audio_vec), where that is known.
+
+    Where no dialogue goes on and the looks fall below ``apart``, that is a break whatever the sound.
+    """
     order = Window.partitionBy("film_id").orderBy("pos")
-    looks = cosine(F.col("vec"), F.lag("vec").over(order)) > similar if "vec" in shots.columns else F.lit(None)
-    talks = F.col("speech_start") - F.lag("speech_end").over(order) < gap if "speech_start" in shots.columns else F.lit(None)
-    return shots.withColumn("linked", F.coalesce(looks, F.lit(False)) | F.coalesce(talks, F.lit(False)))
+    before = lambda c: F.lag(c).over(order)
+    looks = F.lit(None).cast("double")
+    if "vecs" in shots.columns:
+        shots = shots.withColumn("_before", before("vecs"))
+        looks = F.array_min(F.flatten(F.transform("vecs", lambda a: F.transform("_before", lambda b: cosine(a, b)))))
+    elif "vec" in shots.columns:
+        looks = cosine(F.col("vec"), before("vec"))
+    talks = before("speech_end").isNotNull() & (F.col("speech_start") - before("speech_end") < gap) if "speech_start" in shots.columns else F.lit(None)
+    sounds = cosine(F.col("audio_vec"), before("audio_vec")) > sound if "audio_vec" in shots.columns else F.lit(None)
+    talks, alike = F.coalesce(talks, F.lit(False)), F.coalesce(looks > similar, F.lit(False))
+    cut = ~talks & F.coalesce(looks < apart, F.lit(False))
+    return shots.withColumn("linked", (alike | talks | F.coalesce(sounds, F.lit(False))) & ~cut).drop("_before")
 
 
 def group_uncapped(linked: DataFrame) -> DataFrame:
@@ -97,14 +110,8 @@ def scores(shots: DataFrame, **measures: str) -> DataFrame:
 
 def motion(flows: DataFrame, bins: int = 8) -> DataFrame:
     """shot_id, frame, dx, dy (mean optical flow of a block) to motion features of a shot: mean length, direction histogram, global share, shakiness."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            angle = np.arctan2(pdf["dy"], pdf["dx"])
-            yield pdf.assign(length=np.hypot(pdf["dx"], pdf["dy"]), direction=(np.floor((angle + np.pi) / (2 * np.pi) * bins).astype(int) % bins).astype(np.int32))
-
-    types = dict(flows.dtypes)
-    named = flows.select("shot_id", "frame", "dx", "dy").mapInPandas(run, f"shot_id {types['shot_id']}, frame {types['frame']}, dx double, dy double, length double, direction int")
+    turn = F.floor((F.atan2("dy", "dx") + math.pi) / (2 * math.pi) * bins)
+    named = flows.select("shot_id", "frame", "dx", "dy", F.hypot("dx", "dy").alias("length"), F.pmod(turn, F.lit(bins)).cast("int").alias("direction"))
     frames = named.groupBy("shot_id", "frame").agg(F.avg("dx").alias("gx"), F.avg("dy").alias("gy"), F.avg("length").alias("mean"), *(F.count_if(F.col("direction") == k).alias(f"d{k}") for k in range(bins)))
     order = Window.partitionBy("shot_id").orderBy("frame")
     jerk = F.hypot(F.col("gx") - F.lag("gx").over(order), F.col("gy") - F.lag("gy").over(order))

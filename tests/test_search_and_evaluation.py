@@ -289,3 +289,12 @@ def test_lexical_index_equals_scoring_every_row(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, lexical_index.search(spark, path, asked, 5).collect())) == want
     blocks, decoded = lexical_index.scan(spark, merged, asked, 5).where("score is null and query_id in (1, 3)").agg(F.sum("blocks"), F.sum("decoded")).first()
     assert decoded < blocks
+
+
+def test_links_by_keyframes_dialogue_and_sound(spark):
+    v = {"a": [1.0, 0.0], "b": [0.95, 0.3], "c": [0.0, 1.0], "d": [0.6, 0.8]}
+    rows = [("f", 0, ["a"], None, None, "a"), ("f", 1, ["a", "b"], None, None, "a"), ("f", 2, ["b", "c"], None, None, "c"), ("f", 3, ["d"], 10.0, 12.0, "c"), ("f", 4, ["c"], 14.0, 15.0, "a"), ("f", 5, ["a"], None, None, "a"), ("f", 6, [], 16.0, 17.0, "b")]
+    df = spark.createDataFrame([(f, p, [v[x] for x in k], s, e, v[a]) for f, p, k, s, e, a in rows], "film_id string, pos int, vecs array<array<double>>, speech_start double, speech_end double, audio_vec array<double>")
+    got = {r["pos"]: r["linked"] for r in scenes.links(df).collect()}
+    # 1 looks alike; of 2 one pair of keyframes differs and sounds don't go on; 3 sounds alike and isn't far apart; 4 goes on talking; 5 sounds alike but is a silent cut; 6 has no keyframes but sounds alike
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
