@@ -18,6 +18,11 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(t
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """
 
+RULE_ABLATION = f"""
+SELECT rule, count(*) FILTER (WHERE failures & bit <> 0) AS fails, count(*) FILTER (WHERE failures = bit) AS only_by_it FROM ({RULE_LEDGER}),
+ (VALUES ('short', 1), ('repeats', 2), ('symbols', 4), ('capitals', 8), ('bangs', 16), ('dup_lines', 32), ('long_words', 64)) r(rule, bit) GROUP BY rule
+"""
+
 NGRAM_JOIN = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(g, ' ') AS g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS g FROM w)),

@@ -55,6 +55,12 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op7_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotloom.llm.quality_rules import ablation, ledger, measure
+
+    return ablation(ledger(measure(read(spark, sf_dir, "documents"))), "v2")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shotloom.llm.license_scan import scan
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_media_audio": op6_media_audio,
     "op7_rule_ledger": op7_rule_ledger,
+    "op7_rule_ablation": op7_rule_ablation,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_attention_mil": op10_attention_mil,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op7_rule_ledger": oracles.RULE_LEDGER,
+    "op7_rule_ablation": oracles.RULE_ABLATION,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op11_dual_tree_lloyd": oracles.LLOYD,
     "op13_hyperminhash": oracles.MINHASH,
