@@ -155,9 +155,21 @@ class PartEnum:
         return classes.select("node", "packed").mapInArrow(emit, "sign long, node long")
 
     def close(self) -> Column:
-        """Whether sets of the sizes an and bn with the sketches abits and bbits may link: each bit in which they differ is an element of one set alone."""
-        apart = reduce(Column.__add__, (F.bit_count(F.col("abits")[k].bitwiseXOR(F.col("bbits")[k])) for k in range(SKETCH)))
-        return (100 * F.least("an", "bn") >= self.percent * F.greatest("an", "bn")) & (apart * (100 + self.percent) <= (F.col("an") + F.col("bn")) * (100 - self.percent))
+        """Whether sets of the sizes an and bn with the sketches abits and bbits may link."""
+        return few_differ(self.percent)
+
+    def short(self) -> Column:
+        """The part of ``bits`` that ``near`` needs, which is asked where all classes of a signature meet; ``close`` follows if that is less than all."""
+        return F.col("bits")
+
+    def near(self) -> Column:
+        return self.close()
+
+
+def few_differ(percent: int) -> Column:
+    """Each bit in which the parities abits and bbits differ is an element of one set alone; an and bn are the sets' sizes."""
+    apart = reduce(Column.__add__, (F.bit_count(F.col("abits")[k].bitwiseXOR(F.col("bbits")[k])) for k in range(SKETCH)))
+    return (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")) & (apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
 
 
 def sets(documents: DataFrame, width: int = 3, whole: bool = False, text: str = "text", id: str = "doc_id", sketch: Callable[[np.ndarray], np.ndarray] = sketch) -> DataFrame:
@@ -328,11 +340,13 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     owned = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = owned.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sign")
     owned = settle(members.join(mixed, "sign"), folder, "mixed", release=True)
-    about = classes.select("node", "n", "bits").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    few = settle(_meet(owned.where(F.col("size") <= few_members), ["sign"], about, enum.close()).distinct(), folder, "few", release=True)
+    about = classes.select("node", "n", enum.short().alias("bits")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    few = settle(_meet(owned.where(F.col("size") <= few_members), ["sign"], about, enum.near()).distinct(), folder, "few", release=True)
     many = owned.where((F.col("size") > few_members) & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, enum.close()).unionByName(few).distinct()
+    rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, enum.near()).unionByName(few).distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    if not isinstance(enum, PartEnum):
+        rest = _sketched(rest, classes, enum.close())
     more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
     parts = connected(edges.unionByName(more), folder, "parts-2")
 
