@@ -13,7 +13,8 @@ whatever its length. Registers are stored in sixes with a free bit each, which m
    no more may differ than the sets of a linked pair do. And by the estimate of the similarity, the share m / u of equal registers among
    those that either set fills, corrected for accidental equality: two different least numbers agree in a register with a probability of about
    0.17 * 4ab / (a + b) ** 2 / 2 ** 4 for sets of the sizes a and b. A pair is left out where an estimate that low has a chance under exp(-25) at the
-   threshold (Chernoff's bound). Where a whole signature's classes meet, the parities of ``ngram_join.sketch`` come first, as they are short and exact.
+   threshold (Chernoff's bound). Where a whole signature's classes meet, the parities of ``ngram_join.sketch`` come first, as they are short and exact; for
+   sets of together up to SMALL elements they leave out more than an estimate of 252 registers may, so that follows for larger ones only.
 5. The remaining pairs are confirmed on the full sets of their texts, so no link is false.
 
 Defined results: case is folded for A-Z only. A null or empty text, or one without words, has 0 shingles, links with nothing and is kept. Repeated rows are equal
@@ -40,6 +41,10 @@ LOSS = -25.0
 ACCIDENT = 0.169919487159739
 
 
+#: Elements of two sets up to which 512 parities tell differences well.
+SMALL = 2048
+
+
 def registers(s: np.ndarray) -> np.ndarray:
     """The registers of a set of 64-bit hashes: 0 for an empty bucket, else leading zeros of the least value there, inverted so that a lower value has a
     greater register, and the bits after its first one."""
@@ -97,6 +102,8 @@ def _registers(bits: str) -> Column:
 class HyperMinHash:
     """The scheme of signatures and sketches for ``ngram_join.link``."""
 
+    small = SMALL
+
     def __init__(self, percent: int = 85) -> None:
         self.percent = percent
 

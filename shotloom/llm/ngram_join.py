@@ -85,6 +85,8 @@ class PartEnum:
     """
 
     sketch = staticmethod(sketch)
+    #: The greatest sum of two sets' sizes for which ``near`` leaves nothing to ``close``.
+    small = math.inf
 
     def __init__(self, percent: int = 90, parts: int = 3, level: int = 1) -> None:
         self.percent, self.parts, self.level = percent, parts, level
@@ -305,10 +307,10 @@ def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, fo
 
 
 def _meet(rows: DataFrame, keys: list[str], about: DataFrame, close: Column) -> DataFrame:
-    """Pairs (a, b) of rows that agree in the keys, are in different components and may link by their sizes and sketches."""
+    """Pairs (a, b) of rows that agree in the keys, are in different components and may link by their sizes and sketches, and the sum of their sizes."""
     full = rows.select(*keys, "node").join(about, "node")
     a, b = (full.select(*keys, *(F.col(c).alias(x + c) for c in ("node", "n", "component", "bits"))) for x in "ab")
-    return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & close).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    return a.join(b, keys).where((F.col("anode") < F.col("bnode")) & (F.col("acomponent") != F.col("bcomponent")) & close).select(F.col("anode").alias("a"), F.col("bnode").alias("b"), (F.col("an") + F.col("bn")).alias("sizes"))
 
 
 def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum | None = None, rounds: int = 4, passes: int = 1, floor: int = 200_000, few_members: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -345,15 +347,18 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     many = owned.where((F.col("size") > few_members) & (F.col("centre") != F.col("node"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     rest = _meet(_prefixes(many, classes, width, percent, folder), ["centre", "element"], about, enum.near()).unionByName(few).distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    if not isinstance(enum, PartEnum):
-        rest = _sketched(rest, classes, enum.close())
+    if enum.small == math.inf:
+        rest = rest.select("a", "b")
+    else:
+        rest, small = settle(rest, folder, "met", release=True), F.col("sizes") <= enum.small
+        rest = rest.where(small).select("a", "b").unionByName(_sketched(rest.where(~small).select("a", "b"), classes, enum.close()))
     more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
     parts = connected(edges.unionByName(more), folder, "parts-2")
 
     least = classes.select("h1", "h2", "rep", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = settle(least.join(lowest, "component").select("h1", "h2", "component_id"), folder, "least", release=True)
-    discard(spark, folder, "buckets", "classes", "members", "stars", "links-1", "parts-1", "mixed", "few", "prefixes", "rest", "links-2", "parts-2")
+    discard(spark, folder, "buckets", "classes", "members", "stars", "links-1", "parts-1", "mixed", "few", "prefixes", "met", "rest", "links-2", "parts-2")
     out = sets(documents, width, False, text, id).join(least, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
 
