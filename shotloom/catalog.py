@@ -277,11 +277,11 @@ def dialogue_overlap(spark, d):
  SELECT a.film_id, a.event_id AS shot_id, count(b.event_id) AS n, sum(b.event_id)::BIGINT AS lines FROM a JOIN b ON a.film_id = b.film_id AND a."start" < b."end" AND b."start" < a."end" GROUP BY ALL"""
 )
 def interval_sweep(spark, d):
-    """Intervals of even and odd events that overlap, in three very long films, cut into parts of 2,000 rows."""
+    """How many intervals of odd events each of the even ones overlaps, in three very long films, swept in parts."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     rows = table(spark, d, "events").select((F.col("user_id") % 3).alias("film_id"), "event_id", at.alias("start"), (at + F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(600.0)).alias("end"))
-    met = intervals.pairs(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), rows=2000)
-    return met.groupBy("film_id", F.col("left.event_id").alias("shot_id")).agg(F.count("*").alias("n"), F.sum("right.event_id").alias("lines"))
+    met = intervals.totals(rows.where("event_id % 2 = 0").withColumnRenamed("event_id", "shot_id"), rows.where("event_id % 2 = 1"), "shot_id", "event_id", rows=2000)
+    return met.withColumnRenamed("total", "lines")
 
 
 @query(f"WITH {TALK_SHOTS_SQL} SELECT s.film_id, s.shot_id, count(p.pos) AS n, coalesce(string_agg(p.text, ' ' ORDER BY p.pos), '') AS dialogue FROM shots s LEFT JOIN pairs p USING (film_id, shot_id) GROUP BY s.film_id, s.shot_id")

@@ -52,3 +52,25 @@ def test_dialogue_by_sweep_equals_the_join(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "film_id string, start double, end double, n long")
     assert intervals.pairs(none, none).collect() == []
+
+
+@pytest.mark.parametrize("rows", [7, 40, 10**6])
+def test_totals_equal_those_of_all_pairs(spark, rows):
+    rng = random.Random(rows + 1)
+    left, right = intervals_of(rng, 90, 60, 0), intervals_of(rng, 110, 60, 1000)
+    left += [(k, a, b, i) for k, a, b, i in left[:5]]  # ids that occur twice add up
+    want: dict = {}
+    for k, i, j in brute(left, right):
+        want.setdefault((k, i), []).append(j)
+    schema = "film_id string, start double, end double, {} long"
+    got = intervals.totals(spark.createDataFrame(left, schema.format("i")), spark.createDataFrame(right, schema.format("j")), "i", "j", rows=rows).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i, len(js), sum(js)) for (k, i), js in want.items())
+
+
+def test_totals_make_no_pairs(spark):
+    """3,000 by 3,000 intervals that all meet are 9,000,000 pairs; the sweep in Python had to make each."""
+    left, right = (spark.range(3000).selectExpr("'f' AS film_id", "id / 1000 AS start", "id / 1000 + 100 AS end", f"id AS {n}") for n in ("i", "j"))
+    found = intervals.totals(left, right, "i", "j", rows=100)
+    plan = found._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan and "Cartesian" not in plan
+    assert [tuple(r) for r in found.selectExpr("count(*)", "min(n)", "max(n)", "min(total)", "max(total)").collect()] == [(3000, 3000, 3000, 4498500, 4498500)]
