@@ -156,15 +156,20 @@ def indexed_count(spark, d):
  UNION ALL SELECT "key", 'job', NULL, min(at_ms), (max(at_ms) - min(at_ms)) / 1000, count(*) FROM n GROUP BY "key", job, passed HAVING passed > max(at_ms) + 1800000"""
 )
 def job_stages(spark, d):
-    """Events as a stream of small files, of which each user's are a job: stage times and ended jobs up to the watermark, an hour before the last event."""
+    """Events as a stream of files, of which each user's are a job: stage times and ended jobs up to the watermark, an hour before the last event.
+
+    The files arrive in four parts by time. The stream runs after each, and takes all its files as one batch: a part's files lie side by side in time, so one of them alone
+    would move the watermark past events of the others.
+    """
     events, folder = table(spark, d, "events").select("user_id", "event_type", "ts"), scratch(spark)
-    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *cuts], [*cuts, None]):  # in order of time, a folder of files each
+    for low, high in zip([None, *cuts], [*cuts, None]):
         own = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
         events.where(own).write.mode("append").parquet(f"{folder}/events")
-    stream = incremental.files(spark, f"{folder}/events", events.schema, per_trigger=1)
-    return jobs_stream.follow(spark, stream, folder).read().drop("id")
+        stream = incremental.files(spark, f"{folder}/events", events.schema, per_trigger=1 << 30)
+        jobs_table = jobs_stream.follow(spark, stream, folder)
+    return jobs_table.read().drop("id")
 
 
 # --- labels, media, representatives ---

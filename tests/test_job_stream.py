@@ -45,3 +45,23 @@ def test_stages_in_any_order_within_the_delay(spark, tmp_path):
     spark.createDataFrame(more, "user_id long, event_type string, ms long").selectExpr("user_id", "event_type", "timestamp_millis(ms) AS ts").write.mode("append").parquet(source)
     jobs.follow(spark, incremental.files(spark, source, schema, per_trigger=1), root, gap=90, late="400 seconds")
     assert rows() == brute(events + more, 90_000, more[0][2] - 400_000)
+
+
+def test_files_side_by_side_in_time_lose_nothing(spark, tmp_path):
+    """Each file spans the whole time: taken one by one, the first would make the others' events late."""
+    import duckdb
+
+    from shotloom import catalog, catalog_ingest  # noqa: F401
+
+    rows = spark.range(0, 3000, 1, 4).selectExpr("id AS event_id", "id % 7 AS user_id", "concat('e', id % 5) AS event_type", "timestamp_seconds(1700000000 + pmod(id * 7919, 3000) * 120)::timestamp_ntz AS ts")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    got = catalog.QUERIES["job_stages"](spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    want = con.execute(catalog.ORACLES["job_stages"])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    assert len(want) > 2500
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(map(repr, want))
