@@ -49,8 +49,8 @@ def lines(films: DataFrame, extractor: Callable[[str], str] = extract, recognise
 
 
 def write_json(lines: DataFrame, path: str) -> None:
-    """Lines as JSON, partitioned by film."""
-    lines.write.mode("overwrite").partitionBy("film_id").json(path)
+    """Lines as JSON, those of a film side by side in files of about one size; a folder a film would be as many files as there are films, or more."""
+    lines.hint("rebalance", "film_id").sortWithinPartitions("film_id", "pos").write.mode("overwrite").json(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -93,6 +93,14 @@ def test_lines_of_films_by_route_and_json_round_trip(spark, tmp_path):
     assert read.first()["film_id"] == "my.film" and dialogue.parse_srt(read).count() == 2
 
 
+def test_json_of_many_films_is_few_files(spark, tmp_path):
+    lines = spark.range(900).selectExpr("CASE WHEN id % 300 > 1 THEN CAST(id % 300 AS STRING) WHEN id % 300 = 1 THEN '' END AS film_id", "CAST(id / 300 AS INT) AS pos", "0.5D AS start", "id / 7 AS end", "concat('l', id) AS text")
+    subtitles.write_json(lines, str(tmp_path / "lines"))
+    assert len(list((tmp_path / "lines").rglob("*.json"))) <= 8  # 300 and more when each film had a folder
+    read = subtitles.read_json(spark, str(tmp_path / "lines")).select(*lines.columns).collect()
+    assert sorted(map(repr, map(tuple, read))) == sorted(map(repr, map(tuple, lines.collect())))
+
+
 def test_labels(spark):
     row = spark.range(1).select(X.time_label(F.lit(59.9)), X.time_label(F.lit(3661)), X.elapsed_label(F.lit(-3)), X.elapsed_label(F.lit(125.5)), X.film_label(F.lit("yi_yi-McQueen")), X.strip(F.lit("  x\t"))).first()
     assert tuple(row) == ("0:59", "1:01:01", "0s", "2m 5s", "Yi Yi McQueen", "x")
