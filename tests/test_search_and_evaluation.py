@@ -118,6 +118,24 @@ def test_bm25_reads_the_corpus_once_and_joins_many_terms_alike(spark, tmp_path,
     assert lexical.bm25(docs.where("doc_id < 0"), queries).collect() == []
 
 
+def test_bm25_of_few_queries_keeps_the_best_in_each_task(spark, tmp_path, monkeypatch):
+    """No row for each pair of query and document is shuffled or summed up by the engine; ties, ids of any type and ids that occur twice give the same."""
+    rng = random.Random(4)
+    rows = [(f"d{k:03d}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for k in range(400)] + [("none", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "a b c"), (2, "h zz"), (3, ""), (4, None), (5, "a"), (6, "qq")], "query_id int, query string")
+    ranked = lambda docs, k: sorted(map(tuple, lexical.bm25(docs, queries, k).collect()))
+    for own in (docs, docs.unionByName(docs.where("doc_id < 'd050'"))):
+        every = ranked(own, None)
+        for cells in (1 << 21, 60):
+            monkeypatch.setattr(lexical, "CELLS", cells)
+            assert ranked(own, 7) == [r for r in every if r[3] <= 7]
+    found = lexical.bm25(docs, queries, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    assert ranked(docs.where("false"), 7) == []
+
+
 def test_fusion_and_prior(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, unit_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1)], "query_id int, unit_id string, rank int")
