@@ -80,7 +80,7 @@ class SegmentBPE:
         self.cache: dict[str, str] = {}
         self.units: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {"": b""}
-        self.memory, self.held = memory, 0  # bytes that the three memos may hold, and about what they hold
+        self.memory, self.held = memory, 0  # bytes that the memos of pieces and units may hold, and about what they hold
         self.joined = re.compile(r"\s ").search
         self.text_of = {str(r): t for r, t in self.tokens.items()}
 
@@ -214,7 +214,6 @@ class SegmentBPE:
         if self.held > self.memory:
             self.cache.clear()
             self.units.clear()
-            self.decoded = {"": b""}
             self.held = 0
 
     def learn(self, pieces: Iterable[str]) -> dict[str, str]:
@@ -268,14 +267,9 @@ class SegmentBPE:
         return [[head[parts[0]], *map(known.__getitem__, parts[1:])] for parts in cut]
 
     def decode_units(self, units: list[str]) -> bytes:
-        """The bytes of runs of ids; short runs seen before are memorised."""
-        known = self.decoded
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            now = {u: b"".join(map(self.text_of.__getitem__, u.split(","))) for u in set(units).difference(known)}
-            self.keep(known, now)
-            return b"".join([now[u] if u in now else known[u] for u in units])
+        """The bytes of runs of ids, token by token: a memo of runs would take room from those of pieces and units, whose entries cost more to find again."""
+        ids = ",".join(filter(None, units))
+        return self.decoded[ids] if ids in self.decoded else b"".join(map(self.text_of.__getitem__, ids.split(",")))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for u in self.encode_units([text])[0] if u for x in u.split(",")]

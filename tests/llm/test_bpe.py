@@ -64,3 +64,13 @@ def test_memory_of_the_memos_is_bounded(path):
     for memo in (own.cache, own.units, own.decoded):
         assert all(len(a) + len(b) <= bpe.MEMORISED for a, b in memo.items())
         assert sum(len(a) + len(b) + bpe.ENTRY for a, b in memo.items()) <= own.held + bpe.ENTRY
+
+
+def test_decoding_takes_no_room_from_the_memos(path):
+    """Runs of ids were memorised too, which emptied the memos of pieces and units sooner."""
+    own = bpe.SegmentBPE(bpe.load_ranks(path), tokenizers.PATTERN)
+    texts = [f"word{j} and {j} more" for j in range(300)] + ["", " "]
+    found = own.encode_units(texts)
+    held = own.held
+    assert [own.decode_units(u) for u in found] == [t.encode() for t in texts]
+    assert own.held == held
