@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotloom.llm import ngram_join, packing, quality_mil, secret_scan, substring_dedup
-from shotloom.llm._words import read, settle, shared_folder
+from shotloom.llm._words import discard, read, settle, shared_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``."""
+    """The stages in order over ``documents``. A stage's table is deleted when the next one is written."""
     folder = shared_folder(spark)
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), folder, name, release=True)
+        discard(spark, folder, *before)
+        before = [name]
     return docs

@@ -53,6 +53,8 @@ BUCKETS = 1 << 16
 SKETCH = 8
 #: Members of a centre that are sorted next to one copy of its text.
 RUN = 64
+#: Bits of the table that tells which texts a shuffle needs: 1 MB at most, whatever the number of texts.
+PLACES = 1 << 23
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -117,8 +119,8 @@ class PartEnum:
                 return k, least + spare
         return k, least
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """All signatures of a sorted set; none where only equal sets can link."""
+    def signatures(self, s: np.ndarray, parity: int | None = None) -> np.ndarray:
+        """All signatures of a sorted set, or those of its even or odd instance; none where only equal sets can link."""
         if not len(s):
             return np.zeros(0, U64)
         own, out = self.band(len(s)), []
@@ -127,7 +129,7 @@ class PartEnum:
         low, high = (value & U64(0xFFFFFFFF)).astype(np.float64), (value >> U64(32)).astype(np.float64)
         for instance in (own, own + 1):
             k, groups = self.groups(instance)
-            if k == 0:
+            if k == 0 or parity is not None and instance % 2 != parity:
                 continue
             cells = groups * self.parts
             part = (where * U64(cells) >> U64(32)).astype(np.int64)
@@ -145,12 +147,14 @@ class PartEnum:
         return np.concatenate(out) if out else np.zeros(0, U64)
 
     def signed(self, classes: DataFrame, width: int, passes: int = 1, turn: int = 0) -> DataFrame:
-        """(sign, node) of the signatures of one pass, that is, one part of the hash domain; each once a class."""
+        """(sign, node) of the signatures of one pass, each once a class. An even number of passes takes even and odd instances in turn, so no pass computes
+        what the other keeps, and half as many parts of the hash domain; an odd number takes parts of the hash domain alone."""
+        parity, shares, share = (turn % 2, passes // 2, turn // 2) if passes % 2 == 0 else (None, passes, turn)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, found in _unpacked(batches, width):
-                signs = [np.unique(self.signatures(s)) for s in found]
-                signs = [x[(x >> U64(40)) % U64(passes) == U64(turn)] for x in signs] if passes > 1 else signs
+                signs = [self.signatures(s, parity) for s in found]
+                signs = [np.unique(x[(x >> U64(40)) % U64(shares) == U64(share)] if shares > 1 else x) for x in signs]
                 node = np.repeat(part.column(0).to_numpy(), [len(x) for x in signs])
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(signs))), pa.array(node)], names=["sign", "node"])
 
@@ -227,6 +231,18 @@ def _centred(shared: DataFrame) -> DataFrame:
     return shared.join(least, "sign")
 
 
+def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node is one of the nodes, and some others: those whose hash has its bit in a table of PLACES bits, which every task gets.
+
+    It only spares the shuffle before a join on node from moving rows without a partner, so others do no harm; a full table leaves all rows in.
+    """
+    place = F.xxhash64("node").bitwiseAND(F.lit(PLACES - 1))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(node) & 63 as int))")
+    table = nodes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = [F.col(c) for c in rows.columns]
+    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*own)
+
+
 def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
     """(a, b) and what fn(a's set, b's set) returns for the pairs where it isn't None.
 
@@ -235,7 +251,7 @@ def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.n
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs"))
     heads = runs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")).withColumn("b", F.lit(None).cast("long"))
     rows = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
-    texts = classes.select("node", "packed")
+    texts = _among(classes.select("node", "packed"), pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = heads.join(texts, F.col("a") == F.col("node")).unionByName(rows.join(texts, F.col("b") == F.col("node"))).select("a", "run", "b", "packed")
     both = both.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
@@ -262,10 +278,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     return _beside(pairs, classes, width, lambda x, y: () if linked(x, y, percent) else None, "")
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, close: Column) -> DataFrame:
-    """The pairs (a, b) that their sizes and sketches let link."""
-    a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}bits")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
+def _sketched(pairs: DataFrame, classes: DataFrame, close: Column, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and sketches let link. Sizes come first, so that sketches move for few pairs."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n")), x)
+    pairs = pairs.where(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}bits")), x)
+    return pairs.where(close).select("a", "b")
 
 
 def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
@@ -334,7 +354,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     discard(spark, folder, *(f"shared-{k}" for k in range(len(turns))))
 
     stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = settle(_sketched(stars, classes, enum.close()), folder, "stars", release=True)
+    stars = settle(_sketched(stars, classes, enum.close(), percent), folder, "stars", release=True)
     edges = settle(_verified(stars, classes, width, percent), folder, "links-1", release=True)
     parts = connected(edges, folder, "parts-1")
 
@@ -351,7 +371,7 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
         rest = rest.select("a", "b")
     else:
         rest, small = settle(rest, folder, "met", release=True), F.col("sizes") <= enum.small
-        rest = rest.where(small).select("a", "b").unionByName(_sketched(rest.where(~small).select("a", "b"), classes, enum.close()))
+        rest = rest.where(small).select("a", "b").unionByName(_sketched(rest.where(~small).select("a", "b"), classes, enum.close(), percent))
     more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
     parts = connected(edges.unionByName(more), folder, "parts-2")
 
@@ -378,7 +398,7 @@ def _digested(documents: DataFrame, width: int, names: tuple[str, str, str], tex
     return documents.mapInArrow(work, StructType([*documents.schema.fields, *(StructField(n, LongType()) for n in names)]))
 
 
-def representatives(documents: DataFrame, width: int = 3, text: str = "text", id: str = "doc_id", passes: int = 2, **options) -> DataFrame:
+def representatives(documents: DataFrame, width: int = 3, text: str = "text", id: str = "doc_id", passes: int = 4, rounds: int = 3, **options) -> DataFrame:
     """One document of each linked group, that with the least id, with all its columns.
 
     Rows with one id and different sets are different documents. Of rows with one id and one set one stays, the least when all columns are read as
@@ -386,7 +406,7 @@ def representatives(documents: DataFrame, width: int = 3, text: str = "text", id
     """
     columns, spark = documents.columns, documents.sparkSession
     n, h1, h2, times, row = fresh(columns, "n", "h1", "h2", "times", "row")
-    found = link(documents, width, text=text, id=id, passes=passes, **options)
+    found = link(documents, width, text=text, id=id, passes=passes, rounds=rounds, **options)
     found = found.where("doc_id is not null and (n_shingles = 0 or doc_id = component_id)").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias(times))
     state = settle(found.select(F.col("doc_id").alias(id), F.col("h1").alias(h1), F.col("h2").alias(h2), times), shared_folder(spark), "kept", release=True)
     marked = _digested(documents, width, (n, h1, h2), text)

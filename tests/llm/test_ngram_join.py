@@ -182,3 +182,30 @@ def test_representatives_keep_one_of_each_group(spark):
     kept = N.representatives(spark.createDataFrame(rows, SCHEMA), width=5, percent=80)
     want = {i for i, (n, c) in brute(rows, 5, 80).items() if n == 0 or i == c}
     assert {r[0] for r in kept.collect()} == want and kept.columns == ["doc_id", "text"]
+
+
+def test_passes_share_the_signatures_and_no_pass_makes_them_all():
+    enum, rng = N.PartEnum(80), np.random.default_rng(5)
+    for n in (3, 40, 700, 5000):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        whole, parts = np.unique(enum.signatures(s)), [np.unique(enum.signatures(s, p)) for p in (0, 1)]
+        assert np.array_equal(np.unique(np.concatenate(parts)), whole)
+        assert n < 40 or max(map(len, parts)) < 0.7 * len(whole)
+
+
+def test_signed_is_the_same_in_any_number_of_passes(spark):
+    rows = [(k, f"a b{k % 7} c d{k} e f{k % 3} " * 9) for k in range(40)]
+    classes = N.sets(spark.createDataFrame(rows, SCHEMA), 3, True).selectExpr("doc_id AS node", "packed")
+    want = sorted(map(tuple, N.PartEnum(80).signed(classes, 3).collect()))
+    for passes in (2, 3, 4):
+        parts = [list(map(tuple, N.PartEnum(80).signed(classes, 3, passes, turn).collect())) for turn in range(passes)]
+        assert sorted(sum(parts, [])) == want and max(map(len, parts)) < 2 * len(want) / passes
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark):
+    rows = spark.range(20_000).selectExpr("id * 8589934592 + id AS node", "'text' AS packed")
+    wanted = rows.where("node % 50 = 0").select("node")
+    found = {r["node"] for r in N._among(rows, wanted).collect()}
+    need = {r["node"] for r in wanted.collect()}
+    assert need <= found and len(found) < len(need) + 100
+    assert N._among(rows, wanted).columns == ["node", "packed"] and N._among(rows, wanted.where("false")).collect() == []

@@ -102,3 +102,17 @@ def test_nulls_repeated_ids_clashing_columns_and_empty_tables(spark, tmp_path):
     empty = docs.where("false")
     for name, stage in C.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == [], name
+
+
+def test_a_stage_table_goes_when_the_next_is_written(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    there = []
+
+    def stage(_, docs, __):
+        there.append(sorted(p.name for p in (tmp_path / "shared").glob("*")))
+        return docs
+
+    monkeypatch.setattr(C, "shared_folder", lambda _: str(tmp_path / "shared"))
+    monkeypatch.setattr(C, "STAGES", [(n, stage) for n in "abcd"])
+    assert sorted(map(tuple, C.run(spark, str(tmp_path)).collect())) == [(1, "a"), (2, "b")]
+    assert there == [[], ["a"], ["b"], ["c"]] and [p.name for p in (tmp_path / "shared").glob("*")] == ["d"]
