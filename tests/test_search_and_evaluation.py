@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -309,6 +310,24 @@ def test_lexical_index_equals_scoring_every_row(spark, tmp_path, monkeypatch):
     assert decoded < blocks
 
 
+def test_lexical_index_sends_a_shards_blocks_once_for_many_queries(spark, tmp_path, monkeypatch):
+    """A group for each query and shard (12,000 here) would take minutes; parts of queries and slices of a shard's tokens give the same rows."""
+    monkeypatch.setattr(lexical_index, "SHARD", 50)
+    monkeypatch.setattr(lexical_index, "BLOCK", 8)
+    monkeypatch.setattr(lexical_index, "QUERIES", 150)
+    monkeypatch.setattr(lexical_index, "TOKENS", 300)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    corpus = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for k in range(2000)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 12))) for q in range(300)], "query_id int, query string")
+    index = str(tmp_path / "index")
+    lexical_index.add(corpus, index)
+    began = time.perf_counter()
+    got = sorted(map(tuple, lexical_index.search(spark, index, asked, 5).collect()))
+    assert time.perf_counter() - began < 30
+    assert got == sorted(map(tuple, lexical.bm25(corpus, asked, 5).select("query_id", "doc_id", "score", "rank").collect()))
+
+
 def test_links_by_keyframes_dialogue_and_sound(spark):
     v = {"a": [1.0, 0.0], "b": [0.95, 0.3], "c": [0.0, 1.0], "d": [0.6, 0.8]}
     rows = [("f", 0, ["a"], None, None, "a"), ("f", 1, ["a", "b"], None, None, "a"), ("f", 2, ["b", "c"], None, None, "c"), ("f", 3, ["d"], 10.0, 12.0, "c"), ("f", 4, ["c"], 14.0, 15.0, "a"), ("f", 5, ["a"], None, None, "a"), ("f", 6, [], 16.0, 17.0, "b")]
