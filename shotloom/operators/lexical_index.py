@@ -25,7 +25,7 @@ from shotloom.operators.lexical import K1, LENGTH
 
 BLOCK, SHARD, BUCKETS = 128, 20_000, 64
 #: A shard's characters a row, on average, beyond which there are more shards; and the tokens that a task holds at a time.
-CHARS, TOKENS = 4000, 1 << 22
+CHARS, TOKENS = 4000, 1 << 20
 QUERIES = 512
 _CODED = "term string, shard int, first int, last int, n int, most int, least int, data binary"
 
@@ -52,7 +52,7 @@ def add(corpus: DataFrame, path: str, id: str = "doc_id", text: str = "text") ->
 
 def _code(batches: Iterator[pa.RecordBatch], block: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, no, length, tokens) to blocks; those of a shard that follow each other go together, up to ``most`` tokens."""
-    held: list[pa.RecordBatch] = []
+    held: list[tuple] = []
     shard, count = None, 0
     for batch in batches:
         of, total = batch.column(0).to_numpy(), np.cumsum(batch.column(2).to_numpy(), dtype=np.int64)
@@ -62,20 +62,24 @@ def _code(batches: Iterator[pa.RecordBatch], block: int, most: int) -> Iterator[
                 continue
             n = int(total[b - 1] - (total[a - 1] if a else 0))
             if held and (of[a] != shard or count + n > most):
-                yield _blocks(held, block)
+                yield _blocks(shard, held, block)
                 held, count = [], 0
-            held.append(batch.slice(a, b - a))
+            lists = batch.column(3).slice(a, b - a)  # only the tokens' numbers are held
+            held.append((*(batch.column(c).to_numpy()[a:b].copy() for c in (1, 2)), pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()))
             shard, count = of[a], count + n
     if held:
-        yield _blocks(held, block)
-
-
-def _blocks(parts: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
-    table = pa.Table.from_batches(parts).sort_by("no").combine_chunks()
-    nos, lengths = (table.column(c).to_numpy().astype(np.int32) for c in ("no", "length"))
-    lists = table.column("t").combine_chunks()
-    terms = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(nos)), pc.list_value_length(lists).to_numpy())
+        yield _blocks(shard, held, block)
+
+
+def _blocks(shard: int, parts: list[tuple], block: int) -> pa.RecordBatch:
+    """Of the rows' numbers, lengths, list sizes and tokens the blocks by term, each in the order of the numbers."""
+    nos, lengths, sizes = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in range(3))
+    terms = pa.chunked_array([p[3] for p in parts]).unify_dictionaries().combine_chunks()
+    order = np.argsort(nos, kind="stable")
+    rank = np.empty(len(nos), np.int64)
+    rank[order] = np.arange(len(nos))
+    row = np.repeat(rank, sizes)
+    nos, lengths = nos[order], lengths[order]
     cell, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * len(nos) + row, return_counts=True)
     which, row = cell // len(nos), cell % len(nos)
     no, length, tf = nos[row], lengths[row], tf.astype(np.int32)
@@ -92,7 +96,7 @@ def _blocks(parts: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
     raw = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(12 * start, 12 * len(which)).astype(np.int32)), pa.py_buffer(data)])
     last = start + n - 1
     most, least = (f.reduceat(x, start) if len(start) else x for f, x in ((np.maximum, tf), (np.minimum, length)))
-    columns = terms.dictionary.take(pa.array(which[start])), np.full(len(start), table.column("shard")[0].as_py(), np.int32), no[start], no[last], n.astype(np.int32), most, least, raw
+    columns = terms.dictionary.take(pa.array(which[start])), np.full(len(start), shard, np.int32), no[start], no[last], n.astype(np.int32), most, least, raw
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[c.split()[0] for c in _CODED.split(", ")])
 
 
