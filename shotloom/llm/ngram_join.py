@@ -20,9 +20,10 @@ Steps, each bounded in memory and written to the shared folder:
 4. last, pairs that share a signature without either being its centre, where components still differ. Sketches are compared directly where the
    signature has up to ``few_members`` sets (at most half as many comparisons a row, which cost less than what follows), and above that
    only where two sets share one of the rarest elements in which they differ from their centre (see ``_prefixes``). Both are exact, as
-   they only leave out what cannot link; texts of what remains are compared.
+   they only leave out what cannot link. Sketches with a bit or two an element leave out nearly all that is left and can't link; texts of what remains are compared.
 
-A centre's text is sent once for each ``RUN`` of its members, next to which they are sorted. No cap is set on partners or candidates.
+A centre's text is sent once for each ``RUN`` of its members, next to which they are sorted, and pairs are compared in slices that move a quarter of
+all texts each (``SHARE``), so what lies on disk doesn't follow the number of pairs. No cap is set on partners or candidates.
 
 Defined results: case is folded for A-Z only. A null or empty text, or one without words, has 0 shingles and links with nothing: its
 component is its own doc_id. Repeated rows are equal sets. Each row gets the component of its text. A null id takes part through its text,
@@ -55,6 +56,8 @@ SKETCH = 8
 RUN = 64
 #: Bits of the table that tells which texts a shuffle needs: 1 MB at most, whatever the number of texts.
 PLACES = 1 << 23
+#: What a slice of compared pairs moves: this share of the bytes of all texts (or sketches), and so many at least.
+SHARE, LEAST_BYTES = 0.25, 1 << 26
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
@@ -224,11 +227,14 @@ def _shared(rows: DataFrame, hot: list[int]) -> DataFrame:
     return cold.unionByName(often.join(often.groupBy("sign").agg(F.count("*").alias("size")).where("size > 1"), "sign"))
 
 
-def _centred(shared: DataFrame) -> DataFrame:
-    """Adds ``centre``: of a signature's classes, the one that shares most over all its signatures, the least node of equals."""
+def _centred(shared: DataFrame, folder: str) -> DataFrame:
+    """Adds ``centre``: of a signature's classes, the one that shares most over all its signatures, the least node of equals. Written in two
+    steps, so that of the shuffles by node and by signature only one is on disk at a time."""
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     least = shared.join(weight, "node").groupBy("sign").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
-    return shared.join(least, "sign")
+    out = settle(shared.join(settle(least, folder, "centres", release=True), "sign"), folder, "members", release=True)
+    discard(shared.sparkSession, folder, "centres")
+    return out
 
 
 def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,17 +249,19 @@ def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*own)
 
 
-def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
-    """(a, b) and what fn(a's set, b's set) returns for the pairs where it isn't None.
+def _beside(pairs: DataFrame, table: DataFrame, load: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]], fn: Callable[[np.ndarray, np.ndarray], tuple | None], schema: str, folder: str, name: str, whole: DataFrame | None = None) -> DataFrame:
+    """(a, b) and what fn(a's value, b's value) returns for the pairs where it isn't None; ``load`` makes the values of table(node, packed).
 
-    The rows of an a are dealt in runs of about RUN, and each run is sorted behind one copy of a's text, whose set is built once.
+    The rows of an a are dealt in runs of about RUN, and each run is sorted behind one copy of what a has, which is loaded once. What the pairs move
+    may be many times the table, so runs are dealt to slices that move about SHARE of it each, one after the other.
     """
+    size = F.length("packed").alias("bytes")
+    moved = table.select("node", size).join(pairs.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("times")), "node", "left")
+    whole, moved = moved.agg(F.sum("bytes"), F.sum(F.col("bytes") * F.col("times"))).first()
+    slices = max(1, math.ceil((moved or 0) / max(LEAST_BYTES, SHARE * (whole or 0))))
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).alias("runs"))
     heads = runs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")).withColumn("b", F.lit(None).cast("long"))
     rows = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
-    texts = _among(classes.select("node", "packed"), pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    both = heads.join(texts, F.col("a") == F.col("node")).unionByName(rows.join(texts, F.col("b") == F.col("node"))).select("a", "run", "b", "packed")
-    both = both.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -261,7 +269,7 @@ def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.n
         from shotloom.llm._words import _ddl
 
         out, own = to_arrow_schema(_ddl(f"a long, b long{schema}")), None
-        for part, found in _unpacked(batches, width):
+        for part, found in load(batches):
             keep = []
             for a, b, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), found, strict=True):
                 if b is None:
@@ -270,12 +278,54 @@ def _beside(pairs: DataFrame, classes: DataFrame, width: int, fn: Callable[[np.n
                     keep.append((a, b, *row))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], f.type) for k, f in enumerate(out)], schema=out)
 
-    return both.mapInArrow(work, f"a long, b long{schema}")
+    done = []
+    for k in range(slices):
+        mine = F.pmod(F.xxhash64("run", "a"), F.lit(slices)) == k
+        these, own = rows.where(mine), heads.where(mine)
+        texts = _among(table.select("node", "packed"), these.select(F.explode(F.array("a", "b")).alias("node")))
+        both = own.join(texts, F.col("a") == F.col("node")).unionByName(these.join(texts, F.col("b") == F.col("node"))).select("a", "run", "b", "packed")
+        both = both.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+        done.append(settle(both.mapInArrow(work, f"a long, b long{schema}"), folder, f"{name}/{k}", release=True))
+    return reduce(DataFrame.unionByName, done)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, width: int, percent: int, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) whose texts link."""
-    return _beside(pairs, classes, width, lambda x, y: () if linked(x, y, percent) else None, "")
+    return _beside(pairs, classes, functools.partial(_unpacked, width=width), lambda x, y: () if linked(x, y, percent) else None, "", folder, name)
+
+
+def parities(s: np.ndarray) -> bytes:
+    """The size of a set, and a sketch with a bit or two an element: for each place, the parity of the number of elements hashed to it."""
+    places = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + U64(77)) & U64(places - 1)).astype(np.int64), minlength=places) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets with these sizes and parities may link. Each place where they differ is an element of one set alone; the halves of a table, taken together, are that of half as many places."""
+    sizes, (x, y) = int(x[0]) + int(y[0]), (x[1:], y[1:])
+    while len(x) != len(y):
+        x, y = (h[: len(h) // 2] ^ h[len(h) // 2 :] if len(h) > min(len(x), len(y)) else h for h in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= sizes * (100 - percent)
+
+
+def _few_apart(pairs: DataFrame, classes: DataFrame, width: int, percent: int, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) that sketches as long as the sets let link. Those of SKETCH longs can't tell sets of more than about a thousand elements apart,
+    and unrelated ones of that size that share a frequent element are pairs whose number grows with the square of the input; so texts move for few of them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _unpacked(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parities(s) for s in found], pa.binary())], names=["node", "packed"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for part in batches:
+            yield part, [np.frombuffer(x, U64) for x in part.column(part.num_columns - 1).to_pylist()]
+
+    own = _among(classes.select("node", "packed"), pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    own = settle(own.mapInArrow(work, "node long, packed binary"), folder, f"{name}-parities")
+    out = _beside(pairs, own, load, lambda x, y: () if may_link(x, y, percent) else None, "", folder, name, classes)
+    discard(pairs.sparkSession, folder, f"{name}-parities")
+    return out
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, close: Column, percent: int) -> DataFrame:
@@ -310,7 +360,7 @@ def _prefixes(stars: DataFrame, classes: DataFrame, width: int, percent: int, fo
             places = min(d, k + 1)
         return places, len(more), as_long(more if len(more) >= places else np.concatenate([more, less]))
 
-    lists = settle(_beside(stars, classes, width, apart, ", first int, added int, elements array<long>"), folder, "apart", release=True)
+    lists = _beside(stars, classes, functools.partial(_unpacked, width=width), apart, ", first int, added int, elements array<long>", folder, "apart")
     each = lists.select(F.col("a").alias("centre"), F.col("b").alias("node"), "added", F.posexplode("elements").alias("at", "element")).select("centre", "node", (F.col("at") >= F.col("added")).alias("own"), "element")
     common = settle(each.groupBy("centre", "element").agg(F.count("*").alias("have")).where("have > 1"), folder, "common", release=True)
     met = each.join(common, ["centre", "element"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("own", "have", "element"))).alias("shared"))  # at most a set
@@ -350,12 +400,12 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
             part = rows.where(F.pmod(F.shiftright("sign", 16), F.lit(rounds)) == k)
             turns.append(settle(_shared(part, hot), folder, f"shared-{len(turns)}", release=True))
         discard(spark, folder, f"signed-{turn}")
-    members = settle(_centred(reduce(DataFrame.unionByName, turns)), folder, "members", release=True)
+    members = _centred(reduce(DataFrame.unionByName, turns), folder)
     discard(spark, folder, *(f"shared-{k}" for k in range(len(turns))))
 
     stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = settle(_sketched(stars, classes, enum.close(), percent), folder, "stars", release=True)
-    edges = settle(_verified(stars, classes, width, percent), folder, "links-1", release=True)
+    edges = _verified(stars, classes, width, percent, folder, "links-1")
     parts = connected(edges, folder, "parts-1")
 
     # pairs that share a signature of which neither is the centre, across components
@@ -372,13 +422,14 @@ def link(documents: DataFrame, width: int = 3, percent: int = 90, enum: PartEnum
     else:
         rest, small = settle(rest, folder, "met", release=True), F.col("sizes") <= enum.small
         rest = rest.where(small).select("a", "b").unionByName(_sketched(rest.where(~small).select("a", "b"), classes, enum.close(), percent))
-    more = settle(_verified(settle(rest, folder, "rest", release=True), classes, width, percent), folder, "links-2", release=True)
+    rest = _few_apart(settle(rest, folder, "rest", release=True), classes, width, percent, folder, "close")
+    more = _verified(rest, classes, width, percent, folder, "links-2")
     parts = connected(edges.unionByName(more), folder, "parts-2")
 
     least = classes.select("h1", "h2", "rep", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = settle(least.join(lowest, "component").select("h1", "h2", "component_id"), folder, "least", release=True)
-    discard(spark, folder, "buckets", "classes", "members", "stars", "links-1", "parts-1", "mixed", "few", "prefixes", "met", "rest", "links-2", "parts-2")
+    discard(spark, folder, "buckets", "classes", "members", "stars", "links-1", "parts-1", "mixed", "few", "prefixes", "met", "rest", "close", "links-2", "parts-2")
     out = sets(documents, width, False, text, id).join(least, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
 

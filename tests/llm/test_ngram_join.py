@@ -209,3 +209,46 @@ def test_texts_without_a_partner_are_not_shuffled(spark):
     need = {r["node"] for r in wanted.collect()}
     assert need <= found and len(found) < len(need) + 100
     assert N._among(rows, wanted).columns == ["node", "packed"] and N._among(rows, wanted.where("false")).collect() == []
+
+
+def test_long_sketches_keep_linked_sets_and_part_unlike_ones():
+    rng = np.random.default_rng(9)
+    draw = lambda n: np.unique(rng.integers(1, 1 << 60, n).astype(np.uint64))
+    read = lambda s: np.frombuffer(N.parities(s), np.uint64)
+    for percent in (80, 90):
+        for size in (1, 5, 60, 130, 1000, 2040, 5000, 30_000):
+            for _ in range(10):
+                a = draw(size)
+                gone = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
+                b = np.unique(np.concatenate([a[gone:], draw(int(rng.integers(0, gone + 2)))]))
+                if N.linked(a, b, percent):
+                    assert N.may_link(read(a), read(b), percent) and N.may_link(read(b), read(a), percent)
+                unlike = np.unique(np.concatenate([a[: len(a) // 2], draw(size - len(a) // 2)]))
+                assert size < 1000 or not N.may_link(read(a), read(unlike), percent)
+
+
+def test_long_texts_that_share_frequent_words_move_no_texts(spark, monkeypatch):
+    """The number of pairs of unlike long sets with a frequent element in common grows with the square of the input."""
+    rng = random.Random(8)
+    often = [f"often{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.sample([*often, *(f"w{rng.randrange(10**7)}" for _ in range(rng.randrange(1700, 1900)))], 1700))) for i in range(60)]
+    rows += [(100 + i, t + " more words") for i, t in rows[:5]]
+    compared = []
+    verified = N._verified
+
+    def count(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(N, "_verified", count)
+    got = {r[0]: r[2] for r in N.link(spark.createDataFrame(rows, SCHEMA), width=1, percent=80).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 1, 80).items()} and compared[1] <= 5, compared
+
+
+@pytest.mark.parametrize("few", [2, 4096])
+def test_pairs_compared_in_slices_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "LEAST_BYTES", 1)
+    monkeypatch.setattr(N, "RUN", 8)
+    rows = families(21, 40, 150, [0, 1, 3, 5], 0) + families(22, 30, 60, [0, 1, 2], 100) + families(23, 30, 400, [4, 6, 8], 300)
+    got = {r[0]: r[2] for r in N.link(spark.createDataFrame(rows, SCHEMA), few_members=few).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()}

@@ -116,3 +116,20 @@ def test_a_stage_table_goes_when_the_next_is_written(spark, tmp_path, monkeypatc
     monkeypatch.setattr(C, "STAGES", [(n, stage) for n in "abcd"])
     assert sorted(map(tuple, C.run(spark, str(tmp_path)).collect())) == [(1, "a"), (2, "b")]
     assert there == [[], ["a"], ["b"], ["c"]] and [p.name for p in (tmp_path / "shared").glob("*")] == ["d"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from shotloom.llm._words import CLEANUP, settle
+
+    folders = [Path(f.toString()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for f in folders for p in f.rglob("shuffle_*.data")}
+    there, before = files(), spark.conf.get(CLEANUP, None)
+    written = settle(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), str(tmp_path), "counts")
+    end = time.time() + 5
+    while files() - there and time.time() < end:  # they are deleted in the background
+        time.sleep(0.1)
+    assert not files() - there and spark.conf.get(CLEANUP, None) == before
+    assert written.count() == 7
