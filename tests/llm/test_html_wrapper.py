@@ -198,3 +198,54 @@ def test_wide_lists_of_distinct_items_are_aligned_in_time():
     wide = ["<ul>" + "".join(f"<li class=c{(j * 7 + k) % 990}>item <b class=d{(j + k) % 9}>{k}</b></li>" for j in range(2970)) + "</ul>" for k in range(4)]
     H.induce(wide)
     assert time.perf_counter() - began < 20
+
+
+def test_long_lists_are_aligned_whole():
+    """Parts of long lists that face each other don't hold what is shifted by more than a part."""
+    import random
+
+    rng = random.Random(4)
+    for turn in range(12):
+        page = lambda names: H.parse("<ul>" + "".join(f"<li class=c{k}>{k}<b class=d{rng.randrange(3)}>x</b></li>" for k in names) + "</ul>")
+        names = [rng.randrange(9 if turn % 2 else 400) for _ in range(rng.randrange(90, 200))]
+        other = [rng.randrange(500, 600) for _ in range(rng.randrange(40, 120))] + [k for k in names if rng.random() < 0.9] + [600]
+        a, b = page([700, *names]), page(other)
+        size, pairs = H.match(a, b)
+        assert size == len(pairs) == plain_match(a, b)
+    menu = lambda n: "".join(f"<i class=m{k}>x</i>" for k in range(n))
+    a, b = (H.parse(f"<div>{x}<p class=t>text</p>{y}</div>") for x, y in ((menu(90), "<b>1</b>"), ("<em>0</em>" * 300, "<s>2</s>")))
+    assert any(x.label == "p.t" for x, _ in H.match(a, b)[1])
+
+
+def test_rows_of_numbers_equal_the_definition_on_random_trees(monkeypatch):
+    monkeypatch.setattr(H, "TABLE", 0)
+    test_matching_equals_its_definition_on_random_trees()
+
+
+def test_the_text_far_down_one_page_and_high_up_another_is_a_slot(spark):
+    """Links that no two pages share stand before and behind it, so many that parts of the lists would not face each other."""
+    rows, want = [], {}
+    for k in range(6):
+        before = "".join(f"<a href=/{j} class=m{k}-{j}></a>" for j in range(100 if k == 0 else 20 * k))
+        after = "".join(f"<a href=/{j} class=n{k}-{j}></a>" for j in range(0 if k == 0 else 150))
+        rows.append((k, "http://h.org/", f"<body><div class=z>{before}<article><p>Join the club</p></article><div class=y1><p>{'real%d ' % k * 30}</p></div>{after}</div></body>"))
+        want[k] = " ".join([f"real{k}"] * 30)
+    got = {r[0]: r[2] for r in H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_lists_of_thousands_take_memory_by_their_length():
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(2), 20_000
+    gains, (left, right) = np.eye(50, dtype=np.int64), rng.integers(0, 50, (2, n))
+    began = time.perf_counter()
+    tracemalloc.start()
+    pairs = H.aligned(gains, left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and time.perf_counter() - began < 60
+    assert all(left[i] == right[j] for i, j in pairs) and all(p[0] > q[0] and p[1] > q[1] for p, q in zip(pairs, pairs[1:]))
